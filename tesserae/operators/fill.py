@@ -58,7 +58,7 @@ BAR_FIELDS = (Numeric("close"), Numeric("volume", zero_is_real=True, far=50.0))
 def stand_ins(df: DataFrame, fields: tuple[Numeric, ...], group: str, least_groups: int = 3, share: float = 0.02) -> DataFrame:
     """The constants feeds use for "no value", as (field, value): readings that cannot be and either have the form of
     such a constant or recur in at least ``least_groups`` groups and ``share`` of all groups with an impossible reading.
-    A positive constant must recur in any case. ``df`` has ``_level_<field>``, its group's median."""
+    A positive constant of fewer than five nines must recur in any case. ``df`` has ``_level_<field>``, its group's median."""
     cells = reduce(
         DataFrame.unionByName,
         [
@@ -69,7 +69,7 @@ def stand_ins(df: DataFrame, fields: tuple[Numeric, ...], group: str, least_grou
     each = cells.groupBy("_field", "_value", "_group").count().groupBy("_field", "_value").agg(F.count("_group").alias("_groups"))
     total = cells.groupBy("_field", "_group").count().groupBy("_field").agg(F.count("_group").alias("_all"))  # a row a field
     recurs = (F.col("_groups") >= least_groups) & (F.col("_groups") >= share * F.col("_all"))
-    by_form = stand_in_form(F.col("_value")) & ((F.col("_value") <= 0) | (F.col("_groups") >= 2))
+    by_form = stand_in_form(F.col("_value")) & ((F.col("_value") <= 0) | (F.col("_value") >= 99999) | (F.col("_groups") >= 2))
     return each.join(F.broadcast(total), "_field").where(recurs | by_form).select("_field", "_value")  # broadcast: one row a field
 
 

@@ -45,7 +45,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
     rows = rolling.trailing(_usable_bars(spark, d))
-    sums = {c: F.round(c, 4) for c in rows.columns if "_sum_" in c or "_avg_" in c}
+    # prices have four decimals, so averages often end in a 5 there: a small amount keeps both engines on one side
+    sums = {c: F.round(F.col(c) + 1e-7, 4) for c in rows.columns if "_sum_" in c or "_avg_" in c}
     return rows.withColumns(sums | {"day": F.date_format("day", "yyyy-MM-dd")})
 
 
@@ -61,7 +62,7 @@ calendar AS (SELECT ticker, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CA
 def _period(n: int) -> str:
     parts = [f"sum(coalesce(bars, 0)) OVER w{n} AS bars_{n}"]
     for f in ("close", "volume"):
-        parts += [f"round(coalesce(sum({f}) OVER w{n}, 0), 4) AS {f}_sum_{n}", f"round(avg({f}) OVER w{n}, 4) AS {f}_avg_{n}"]
+        parts += [f"round(coalesce(sum({f}) OVER w{n}, 0) + 1e-7, 4) AS {f}_sum_{n}", f"round(avg({f}) OVER w{n} + 1e-7, 4) AS {f}_avg_{n}"]
     return ", ".join(parts)
 
 

@@ -44,7 +44,7 @@ class Compactor:
     @property
     def staged(self) -> DataFrame:
         schema = self.spark.read.parquet(self.source).schema
-        return self.spark.read.schema(schema).parquet(f"{self.work}/stage")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.work}/stage")
 
     def _write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.work}/stage/batch={batch_id:09d}")
