@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import fill, rolling
+from tesserae.operators import fill, rolling, spikes
 from tesserae.streaming.compact import compact
 
 
@@ -33,6 +33,14 @@ def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
     return compact(spark, f"{d}/rfpredictions.parquet").merge()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible(_bars(spark, d))
+
+
+def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.verdicts(_bars(spark, d))
+
+
 def _usable_bars(spark: SparkSession, d: str) -> DataFrame:
     ok = fill.usable(_bars(spark, d))
     return ok.drop("close", "volume").withColumnsRenamed({"_ok_close": "close", "_ok_volume": "volume"})
@@ -50,7 +58,7 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns(sums | {"day": F.date_format("day", "yyyy-MM-dd")})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_sectors, p3_found, p3_compacted, p5_found, p5_trailing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_sectors, p3_found, p3_compacted, p4_found, p4_verdicts, p5_found, p5_trailing)}
 
 _GONE_CLOSE = "(close IS NULL OR isnan(close) OR isinf(close) OR close IN (0, -1, -999, -9999, 999999))"
 _GONE_VOLUME = "(volume IS NULL OR isnan(volume) OR isinf(volume) OR volume IN (-1, -999, -9999))"
