@@ -3,7 +3,7 @@
 The file source discovers each file once (its log lies in the checkpoint), every trigger takes the files available, and
 ``foreachBatch`` writes a batch to ``stage/batch=<id>``, replacing that folder: a batch that is retried after a failure
 overwrites what it left behind. :meth:`Compactor.merge` then writes every distinct record once, in files of about
-``target_bytes``, range-partitioned on the sort columns.
+``target_bytes``, each sorted on the sort columns so that its row groups can be skipped by them.
 
 Records are equal when all columns but ``key`` and ``origin`` are (null equals null, NaN equals NaN); the one with the
 smallest key stays. Equal records meet in a hash aggregate with map-side combination, so a record written any number of
@@ -72,7 +72,7 @@ class Compactor:
         parts = max(1, math.ceil(size / self.target_bytes))
         (
             self.distinct()
-            .repartitionByRange(parts, *self.sort, self.key)
+            .coalesce(parts)
             .sortWithinPartitions(*self.sort, self.key)
             .write.mode("overwrite")
             .option("compression", "zstd")
