@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import pack as packing
 from tesserae.llm import percentiles as pct
+from tesserae.llm.leaks import leaks
+from tesserae.llm.residue import residue, without_residue
 from tesserae.llm.topn import top_n
 
 PROBABILITIES = [0.01, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -63,7 +65,19 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_best_by_model, p6_ranks_by_date, p6_percentiles_by_date, p6_percentiles_by_model, p6_p99_by_feature, p6_bounded_by_date, p7_found, p7_containers)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "eval_id").distinct()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(_table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    return without_residue(_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_best_by_model, p6_ranks_by_date, p6_percentiles_by_date, p6_percentiles_by_model, p6_p99_by_feature, p6_bounded_by_date, p7_found, p7_containers, p8_found, p9_found, p9_kept)}
 
 _SCORED = "upprobability IS NOT NULL AND NOT isnan(upprobability)"
 
