@@ -11,6 +11,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A lookup side up to this many rows is broadcast (counted, never guessed).
 BROADCAST_ROWS = 50_000
@@ -76,3 +77,22 @@ def lookup_join(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     return salted.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+
+
+def running_total(df: DataFrame, order: str, value: str, descending: bool = False) -> DataFrame:
+    """``df`` (one row a distinct ``order`` value) with ``_upto``, the running sum of ``value``, and ``_all``, its total.
+
+    Range-sorted: partitions are summed on their own and shifted by the totals of those before, so no task ever holds
+    more than a range partition; the totals are one row a partition."""
+    key = F.desc(order) if descending else F.asc(order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_t")).orderBy("_part").collect()  # one row a partition
+    before, at = {}, 0
+    for r in totals:
+        before[r["_part"]], at = at, at + (r["_t"] or 0)
+    shift = F.lit(0)
+    for p, b in before.items():
+        shift = F.when(F.col("_part") == p, F.lit(b)).otherwise(shift)
+    w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("_upto", F.sum(value).over(w) + shift).withColumn("_all", F.lit(at)).drop("_part")
