@@ -16,8 +16,8 @@ def asof(left: DataFrame, right: DataFrame, time: str, by: list[str] | None = No
     values = values or [c for c in right.columns if c not in (time, *(by or []))]
     if not by:
         times = left.select(time).distinct()
-        found = _carry(times, right, time, [], values, allow_equal)
-        return left.join(found, left[time].eqNullSafe(found[time]), "left").select(*[left[c] for c in left.columns], *[found[v] for v in values])
+        found = _carry(times, right, time, [], values, allow_equal).withColumnsRenamed({time: "_time"} | {v: f"_v_{v}" for v in values})
+        return left.join(found, F.col(time).eqNullSafe(F.col("_time")), "left").select(*left.columns, *[F.col(f"_v_{v}").alias(v) for v in values])
     return _carry(left, right, time, by, values, allow_equal)
 
 
