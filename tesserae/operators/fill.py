@@ -181,10 +181,22 @@ def fill_categorical(df: DataFrame, field: str, group: str, time: str, blank: tu
     every = Window.partitionBy(F.lit(1))  # a row a category, never a row a record
     marginal = cut(gc.groupBy("_c").agg(F.sum("_n").alias("_n")).withColumn("_p", F.col("_n") / F.sum("_n").over(every)).select("_c", "_p"))
 
+    square = marginal.agg(F.sum(F.col("_p") ** 2)).first()[0] or 0.0
+
+    def concentration(counts: DataFrame, key: str) -> float:
+        """Of the Dirichlet prior, from how often two records of a key agree: A = S + (1 - S) / (1 + k)."""
+        each = counts.groupBy(key).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * (F.col("_n") - 1)).alias("same"))
+        one = each.agg(F.sum("same").alias("same"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs")).first()
+        if not one["pairs"]:
+            return 1.0
+        agree = one["same"] / one["pairs"]
+        return min(max((1 - agree) / max(agree - square, 1e-9), 0.05), 1000.0)
+
     def lift(counts: DataFrame, key: str, out: str) -> DataFrame:
+        k = concentration(counts, key)
         total = F.sum("_n").over(Window.partitionBy(key))  # a row a category seen with the key
-        shrunk = (F.col("_n") + F.col("_p")) / (total + 1)
-        return lookup_join(counts, marginal, ["_c"]).withColumn(out, F.ln(shrunk / F.col("_p"))).withColumn(out + "0", -F.ln(total + 1)).select(key, "_c", out, out + "0", "_p")
+        shrunk = (F.col("_n") + k * F.col("_p")) / (total + k)
+        return lookup_join(counts, marginal, ["_c"]).withColumn(out, F.ln(shrunk / F.col("_p"))).withColumn(out + "0", F.ln(k / (total + k))).select(key, "_c", out, out + "0", "_p")
 
     by_time, by_group = cut(lift(tc, time, "_lt")), cut(lift(gc, group, "_lg"))
     best_time = cut(by_time.withColumn("_s", F.ln("_p") + F.col("_lt")).groupBy(time).agg(F.max_by("_c", F.struct("_s", "_p")).alias("_best")))
