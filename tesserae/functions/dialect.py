@@ -119,7 +119,7 @@ class Dialect:
     def rank(self, x: str, over: str | None = None) -> str:
         """Average rank among the known values of a partition."""
         p = over or self.time
-        return f"(CASE WHEN ({x}) IS NOT NULL THEN rank() OVER (PARTITION BY {p}, ({x}) IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {p}, {x}) - 1) / 2.0 END)"
+        return f"(CASE WHEN ({x}) IS NOT NULL THEN rank() OVER (PARTITION BY {p}, ({x}) IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {p}, {x}) - 1) * 0.5e0 END)"
 
     def pct_rank(self, x: str, over: str | None = None) -> str:
         return f"({self.rank(x, over)} / count({x}) OVER (PARTITION BY {over or self.time}))"

@@ -298,3 +298,119 @@ def hygiene(q: Dialect) -> Stages:
     """Forward fill without and with limit, backward fill (looks ahead), lag-one agreement."""
     gap = "(CASE WHEN volume % 7 < 2 THEN NULL ELSE close END)"
     return [{"_gappy": gap}, {"filled": q.ffill("_gappy"), "filled_2": q.ffill("_gappy", 2), "filled_back": q.bfill("_gappy")}]
+
+
+def _safe_log(x: str) -> str:
+    return f"ln(greatest({x}, 1e-14))"
+
+
+def _ratio(a: str, b: str) -> str:
+    """Null stays null; a zero denominator gives 0."""
+    return f"(CASE WHEN ({a}) IS NULL OR ({b}) IS NULL THEN NULL WHEN ({b}) = 0 THEN 0.0 ELSE ({a}) / ({b}) END)"
+
+
+@block("open", "high", "low", "close", "volume")
+def genetic_algebra(q: Dialect) -> Stages:
+    """Algebraic indicators on lags of the bar; every lag has 1e-10 added."""
+    lags = {f"_{f[0]}{k}": f"({q.lag(f, k)} + {E})" for f, ks in (("high", (1, 2, 3, 4, 5, 7)), ("low", (1, 2, 5)), ("volume", (1,)), ("open", (1, 2))) for k in ks}
+    r, lg = _ratio, _safe_log
+    out = {
+        "g_momentum_confluence_indicator": r("_h2", "_h2 * open"), "g_price_gap_analyzer": r(lg("_o2"), "_h1"), "g_triple_high_trend_indicator": r("_h2", "_h1 * high"),
+        "g_cyclical_price_oscillator": r(r(f"cos({r('_h2', 'high')})", "_h1"), f"sqrt(_o1 + {E})"), "g_volume_adjusted_price_indicator": r("_h2", r("volume", "_l1")),
+        "g_volume_weighted_high_ratio": r(r("high", "_h1"), lg("(volume + 1)")), "g_high_price_momentum_indicator": r("high", "(_h1 + _h2) / 2"),
+        "g_price_volatility_gauge": r("abs(_h2 - high)", "open"), "g_logarithmic_trend_detector": f"(-{lg(r('_h2', '_h4'))})",
+        "g_complex_price_pattern_indicator": lg(r(f"pow(_h7 * _h4 + {E}, 0.0625)", "close")), "g_log_scaled_price_ratio": lg(r("high", "(_h1 + _h2) / 2")),
+        "g_volume_price_impact_indicator": r(f"(-_h1 + {r('_h3', 'close')})", "volume"), "g_volume_trend_analyzer": lg(r("volume", "_v1")),
+        "g_price_open_ratio_indicator": r(r(lg(r("_h2", "high")), r("high", "_o2")), r("high", "_o2")), "g_price_differential_analyzer": _pdr(E),
+        "g_price_volatility_trend_measure": f"(0.278 - abs({r('low', 'high')} / {r('_h5', '_l5')}))", "g_lagged_price_volume_convergence": r("_l2", f"(_h2 + {r('0.791', 'low * high')})"),
+        "g_price_volume_disparity_index": f"(abs({r('_l2', '_h2')}) / ({r('_h5', '_l5')} / -0.2831))",
+        "g_advanced_trend_synthesizer": f"({lg(r('_h1 + _h5', '_h1'))} * abs(0 - _h7) * {r('_o2', 'close')})",
+        "g_multi_point_price_analyzer": f"abs({r(r(lg(r('high', '_h2')), r('close', '_h2')), r('close', '_h2') + ' * ' + r('close', '_h1'))})",
+    }
+    return [lags, {k: f"(CASE WHEN _h7 IS NOT NULL THEN {v} END)" for k, v in out.items()}]
+
+
+@block("high", "low", "close", "volume")
+def panel_inputs(q: Dialect) -> Stages:
+    """The window inputs of the cross-section formulas that are plain aggregates (60 bars, 30 known)."""
+    n, mp = 60, 30
+    a = {"_pc": q.lag("close"), "in_return": f"coalesce({q.change('close')}, 0.0)"}
+    b = {"in_high_close": "((high - _pc) / (_pc + 1e-10))", "in_low_close": "((low - _pc) / (_pc + 1e-10))", "in_high_low": "((high - low) / (close + 1e-10))", "_r1": q.lag("in_return"), "_fast": q.mean("close", 5, 2), "_slow": q.mean("close", 20, 5)}
+    c = {"_asym": "((in_return * in_return * _r1 - _r1 * _r1 * in_return) * 1000000)", "_turn": "abs(in_return - _r1)", "_i1": "(close - _fast)", "_i2": "(_fast - _slow)"}
+    d = {
+        "in_asymmetry": q.mean("_asym", n, mp), "in_rate_of_change": q.mean("_turn", n, mp), "in_imf1_energy": q.mean("(_i1 * _i1)", n, mp), "in_imf1_std": q.std("_i1", n, mp), "in_imf2_energy": q.mean("(_i2 * _i2)", n, mp), "in_imf2_std": q.std("_i2", n, mp),
+        "in_skew": q.skew("in_return", n, mp), "in_kurt": q.kurt("in_return", n, mp), "in_autocorr": q.corr("_r1", "in_return", n, mp),
+    }
+    return [a, b, c, d]
+
+
+@block("in_return", "in_high_close", "in_low_close", "in_rate_of_change", "in_imf1_energy", "in_autocorr")
+def panel_formulas(q: Dialect) -> Stages:
+    """Three of the cross-section formulas: inputs null to 0, ranked to (-1, 1) among the day's entities, combined, and
+    ranked (or standardised) again."""
+    centred = lambda x: f"(CASE WHEN count(*) {q.across} >= 2 THEN {q.rank(x)} / (count(*) {q.across} + 1) * 2 - 1 ELSE 0.0 END)"
+    src = {"0": "in_return", "2": "in_high_close", "3": "in_low_close", "7": "in_rate_of_change", "8": "in_imf1_energy", "19": "in_autocorr"}
+    a = {f"_f{k}": f"coalesce({c}, 0.0)" for k, c in src.items()}
+    b = {f"_x{k}": centred(f"_f{k}") for k in src}
+    c = {"_e3": "(-0.07320318705361156 * _x0)", "_e4": f"coalesce((0.17726009244632013 + _x2) / nullif(_x3 + _x7 + {2.6940490745579684 ** 2!r} + _x8, 0), 0.0)", "_e1": "(CASE WHEN 1.77026646253569 + _x19 > 0 THEN -0.9931974192883872 * _x3 ELSE -(1.77026646253569 + _x19) END)"}
+    c["_e3"] = f"round({c['_e3']}, 9)"
+    mu, sd = f"avg(_e4) {q.across}", f"stddev_pop(_e4) {q.across}"
+    d = {"gp_f3": centred("_e3"), "gp_f4": f"((_e4 - {mu}) / ({sd} + 1e-10))"}
+    return [a, b, c, d]
+
+
+@block("close", "vix")
+def vix_family(q: Dialect) -> Stages:
+    """Regime, changes, momentum, moving averages, crosses, scores, realised volatility and factors of an index series
+    that has been joined as of each bar."""
+    a = {f"vix_change_{k}": q.diff("vix", k) for k in (1, 5, 10, 20)} | {f"vix_ma_{n}": q.mean("vix", n, shift=1) for n in (10, 20, 50)} | {f"_vs{n}": q.std("vix", n, shift=1) for n in (20, 50)}
+    a |= {f"_l{n}": q.known_list("vix", q.frame(n, 1)) for n in (30, 60)} | {f"_n{n}": f"count(vix) {q.frame(n, 1)}" for n in (30, 60)} | {"_lr": f"({q.log('close')} - {q.lag(q.log('close'))})"}
+    b = {
+        "vix_regime": "(CASE WHEN vix < 15 THEN 0 WHEN vix < 20 THEN 1 WHEN vix < 30 THEN 2 WHEN vix IS NOT NULL THEN 3 END)", "vix_momentum": "(vix - vix_ma_10)", "vix_acceleration": q.diff("vix_change_1"),
+        "vix_ma_cross": q.sign("round(vix_ma_10 - vix_ma_20, 9)"), "realized_vol_10": f"({q.std('_lr', 10)} * sqrt(252))", "realized_vol_21": f"({q.std('_lr', 21)} * sqrt(252))", "vix_factor": q.clip("(20 / vix)", 0.5, 2),
+    }
+    b |= {f"vix_percentile_{n}": f"(CASE WHEN _n{n} >= {n} THEN {q.share_upto(f'_l{n}', 'vix')} END)" for n in (30, 60)}
+    b |= {f"vix_z_{n}": f"((vix - vix_ma_{n}) / nullif(_vs{n}, 0))" for n in (20, 50)}
+    return [a, b, {"vix_vs_realized": "(vix / nullif(realized_vol_21 * 100, 0))", "vix_spike": q.flag("vix_z_20 > 2"), "vix_bottom": q.flag("vix_z_20 < -1.5")}]
+
+
+@block("close", "vix_factor")
+def dynamic_rsi(q: Dialect) -> Stages:
+    """RSI whose window of 5 to 30 bars follows the index factor: floor(14 * factor)."""
+    a = {"_d": q.diff("close"), "_w": "CAST(least(greatest(floor(14 * vix_factor), 5), 30) AS INT)"}
+    b = {"_up": "(CASE WHEN _d > 0 THEN _d WHEN _d IS NOT NULL THEN 0.0 END)", "_dn": "(CASE WHEN _d < 0 THEN -_d WHEN _d IS NOT NULL THEN 0.0 END)", "_row": f"row_number() {q.ordered}"}
+    c = {"_cu": f"sum(_up) {q.so_far}", "_cd": f"sum(_dn) {q.so_far}"}
+    up = "CASE _w " + " ".join(f"WHEN {w} THEN _cu - {q.lag('_cu', w)}" for w in range(5, 31)) + " END"
+    dn = "CASE _w " + " ".join(f"WHEN {w} THEN _cd - {q.lag('_cd', w)}" for w in range(5, 31)) + " END"
+    d = {"_su": f"({up})", "_sd": f"({dn})"}
+    return [a, b, c, d, {"dynamic_rsi": "(CASE WHEN _row <= 50 OR _su IS NULL THEN NULL WHEN _sd > 1e-9 THEN 100 - 100 / (1 + _su / _sd) WHEN _su > 1e-9 THEN 100.0 ELSE 50.0 END)"}]
+
+
+@block("close", "volume")
+def volume_trend(q: Dialect) -> Stages:
+    """Correlation of volume with time over 51 bars."""
+    a = {"_i": f"CAST(row_number() {q.ordered} AS DOUBLE)"}
+    return [a, {"volume_trend": q.corr("_i", "volume", 51)}, ]
+
+
+@block("close")
+def weighted_return(q: Dialect) -> Stages:
+    """Daily, weekly, monthly and long returns (rounded to 3, filled backwards, which looks ahead) weighted by how far
+    volatility stands from its mean."""
+    a = {f"_r{k}": f"round({q.change('close', k)} + 1e-9, 3)" for k in (1, 5, 21, 60)}
+    b = {f"_b{k}": q.bfill(f"_r{k}") for k in (1, 5, 21, 60)}
+    c = {"_vol": q.std("_b1", 21)}
+    d = {"_vf": q.bfill("_vol")}
+    e = {"_vm": q.mean("_vf", 21), "_vs": q.std("_vf", 21), "_row": f"row_number() {q.ordered}"}
+    z = "(CASE WHEN _vs > 1e-9 THEN (_vf - _vm) / _vs ELSE 0.0 END)"
+    f = {f"_w{k}": f"least(greatest(0.25 + {m} * {z}, 0), 1)" for k, m in ((1, -0.1), (5, -0.05), (21, 0.05), (60, 0.1))}
+    num = " + ".join(f"_w{k} * coalesce(_b{k}, 0)" for k in (1, 5, 21, 60))
+    return [a, b, c, d, e, f, {"weighted_return": f"(CASE WHEN _row <= 21 THEN 0.0 ELSE ({num}) / (_w1 + _w5 + _w21 + _w60) END)"}]
+
+
+@block("open", "high", "low", "close")
+def gap_thresholds(q: Dialect) -> Stages:
+    """Gaps against quantiles of all earlier ones (60 known)."""
+    a = {"_gap": f"((open - {q.lag('close')}) / nullif({q.lag('close')}, 0))"}
+    b = {f"gap_q{int(p * 100)}": f"(CASE WHEN count(_gap) {q.before} >= 60 THEN {q.quantile_agg('_gap', p)} {q.before} END)" for p in (0.1, 0.9)}
+    return [a, b, {"gap_up": q.flag("_gap > gap_q90"), "gap_down": q.flag("_gap < gap_q10")}]
