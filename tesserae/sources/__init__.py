@@ -1 +1 @@
-
+"""Readers, writers, feeds, calendars and inventories."""
