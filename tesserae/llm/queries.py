@@ -88,7 +88,7 @@ def _percentiles(table: str, group: str, value: str, where: str = "") -> str:
     )
     return f"""SELECT {group}, any_value(total) AS n, {picks}, CAST(0 AS DOUBLE) AS error FROM (
 SELECT {group}, v, count(*) OVER (PARTITION BY {group} ORDER BY v RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER (PARTITION BY {group}) AS total
-FROM (SELECT {group}, {value} + 0.0 AS v FROM {table} WHERE {value} IS NOT NULL AND NOT isnan({value}) {where})) GROUP BY {group}"""
+FROM (SELECT {group}, {value} + 0.0 AS v FROM {table} WHERE (isfinite({value}) OR isinf({value})) {where})) GROUP BY {group}"""
 
 
 ORACLE = {

@@ -31,7 +31,7 @@ def score_code(x: Column) -> Column:
     """A bigint that orders like the double ``x`` (IEEE bits, negated below zero; -0.0 as 0.0). Null and NaN: null."""
     x = x.cast("double")
     a = F.abs(x)
-    guess = F.floor(F.log2(a)).cast("int")
+    guess = F.least(F.floor(F.log2(a)), F.lit(1023)).cast("int")  # the logarithm of the largest doubles rounds up to 1024
     m = a / F.pow(F.lit(2.0), guess)
     e = F.when(m >= 2, guess + 1).when(m < 1, guess - 1).otherwise(guess)
     m = F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m)
