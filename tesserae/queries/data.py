@@ -60,8 +60,8 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_sectors, p3_found, p3_compacted, p4_found, p4_verdicts, p5_found, p5_trailing)}
 
-_GONE_CLOSE = "(close IS NULL OR isnan(close) OR isinf(close) OR close IN (0, -1, -999, -9999, 999999))"
-_GONE_VOLUME = "(volume IS NULL OR isnan(volume) OR isinf(volume) OR volume IN (-1, -999, -9999))"
+_GONE_CLOSE = "(close IS NULL OR NOT isfinite(close) OR close IN (0, -1, -999, -9999, 999999))"
+_GONE_VOLUME = "(volume IS NULL OR NOT isfinite(volume) OR volume IN (-1, -999, -9999))"
 _RF_CONTENT = "date, ticker, open, high, low, close, volume, upprobability, downprobability, positivethreshold, negativethreshold, upprediction, raw_score, vix_close, model_tag, scored_at"
 _CALENDAR = """WITH ends AS (SELECT ticker, min(date) AS a, max(date) AS b FROM pricedata WHERE date IS NOT NULL GROUP BY ticker),
 calendar AS (SELECT ticker, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM ends)"""
