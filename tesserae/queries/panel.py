@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 _GOOD = " AND ".join(f"{c} > 0 AND {c} < 500000" for c in ("open", "high", "low", "close")) + " AND volume >= 0 AND volume < 1e15"
 
+#: Some stored NaNs have bits that DuckDB's comparisons and isnan don't know; isfinite does.
+_FINITE = " AND ".join(f"isfinite({c})" for c in ("open", "high", "low", "close", "volume"))
 #: One bar a ticker and date: the last landing whose readings are all usable.
-BARS = f"""SELECT ticker, date, open, high, low, close, volume FROM (
-SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY bar_id DESC) AS _k FROM pricedata WHERE {_GOOD}) AS landed WHERE _k = 1"""
+_LATEST = """SELECT ticker, date, open, high, low, close, volume FROM (
+SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY bar_id DESC) AS _k FROM {} WHERE {}) AS landed WHERE _k = 1"""
+BARS = _LATEST.format("pricedata", f"{_FINITE} AND {_GOOD}")
 
 BAR_COLUMNS = {"ticker", "date", "open", "high", "low", "close", "volume"}
 
@@ -17,13 +20,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def sql(spark: SparkSession, d: str, text: str, *names: str) -> DataFrame:
-    """Spark SQL over tables of ``d``."""
-    return spark.sql(text.format(**{n: "{" + n + "}" for n in names}), **{n: table(spark, d, n) for n in names})
-
-
 def bars(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(BARS.replace("FROM pricedata", "FROM {pricedata}"), pricedata=table(spark, d, "pricedata"))
+    return spark.sql(_LATEST.format("{pricedata}", _GOOD), pricedata=table(spark, d, "pricedata"))
 
 
 def rounded(x: str) -> str:
@@ -40,4 +38,4 @@ def both(text: str) -> tuple:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return spark.sql(text, **{n: table(spark, d, n) for n in names})
 
-    return run, re.sub(r"\{(\w+)\}", r"\1", text)
+    return run, re.sub(r"NOT isnan\((\w+)\)", r"(isfinite(\1) OR isinf(\1))", re.sub(r"\{(\w+)\}", r"\1", text))

@@ -76,7 +76,7 @@ def join_asof_index(spark, d):
     return joins.asof(bars(spark, d), _vix(spark, d), "date").select("ticker", F.col("date").cast("string").alias("day"), "vix")
 
 
-@query(f"""WITH bars AS ({BARS}), p AS (SELECT ticker, date, max(raw_score) AS raw_score FROM rfpredictions WHERE model_tag = 'refit_month' AND date IS NOT NULL AND NOT isnan(raw_score) GROUP BY ALL)
+@query(f"""WITH bars AS ({BARS}), p AS (SELECT ticker, date, max(raw_score) AS raw_score FROM rfpredictions WHERE model_tag = 'refit_month' AND date IS NOT NULL AND isfinite(raw_score) GROUP BY ALL)
 SELECT b.ticker, CAST(b.date AS VARCHAR) AS day, p.raw_score FROM bars b ASOF LEFT JOIN p ON b.ticker = p.ticker AND b.date >= p.date""")
 def join_asof_by_ticker(spark, d):
     p = table(spark, d, "rfpredictions").where("model_tag = 'refit_month' and date is not null and not isnan(raw_score)").groupBy("ticker", "date").agg(F.max("raw_score").alias("raw_score"))
@@ -243,7 +243,7 @@ def auc_by_ranks(spark, d):
 
 
 @query(f"""WITH {PANEL}, {FULL}, c AS (SELECT score, sum(up) AS p, count(*) AS n FROM full_panel GROUP BY score), a AS (SELECT score AS threshold, sum(p) OVER w / sum(n) OVER w AS prec, sum(n) OVER w / sum(n) OVER () AS coverage FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
-SELECT {R('threshold', 'threshold')}, {R('prec', 'prec')}, {R('coverage', 'coverage')} FROM a WHERE coverage BETWEEN 0.001 AND 0.3 AND prec >= 0.5 ORDER BY a.threshold LIMIT 1""")
+SELECT {R('max(threshold)', 'threshold')}, {R('max(prec)', 'prec')}, {R('max(coverage)', 'coverage')} FROM (SELECT * FROM a WHERE coverage BETWEEN 0.001 AND 0.3 AND prec >= 0.5 ORDER BY threshold LIMIT 1)""")
 def precision_cutoff(spark, d):
     return cross.precision_threshold(full(spark, d), "score", "up", 0.5, 0.001, 0.3).selectExpr(R("threshold", "threshold"), R("precision", "prec"), R("coverage", "coverage"))
 
