@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.functions.missing import finite, stand_in_form
-from tesserae.plans.scale import cut, lookup_join
+from tesserae.plans.scale import BROADCAST_ROWS, at_most, cut, lookup_join
 
 
 @dataclass(frozen=True)
@@ -81,9 +81,9 @@ def usable(df: DataFrame, fields: tuple[Numeric, ...] = BAR_FIELDS, group: str =
     known = lookup_join(df, levels, [group])
     constants = cut(stand_ins(known, fields, group))
     out = known
+    hint = F.broadcast if at_most(constants, BROADCAST_ROWS) else (lambda x: x)
     for f in fields:
-        # stand-ins are few by definition: each holds a share of the groups or has one of a dozen fixed forms
-        mine = F.broadcast(constants.where(F.col("_field") == f.name).select(F.col("_value").alias(f"_const_{f.name}")))
+        mine = hint(constants.where(F.col("_field") == f.name).select(F.col("_value").alias(f"_const_{f.name}")))
         x = finite(F.col(f.name))
         out = out.join(mine, finite(F.col(f.name)) == F.col(f"_const_{f.name}"), "left").withColumn(
             f"_ok_{f.name}", F.when(F.col(f"_const_{f.name}").isNotNull() & f.impossible(x, F.col(f"_level_{f.name}")), None).otherwise(x)
