@@ -4,15 +4,17 @@ A source's daily series (log scale) is thresholded in phase space: robust ellips
 the universal threshold sqrt(2 ln n)) over the value about its neighbours, its first and its second difference flag
 spikes; flagged points are replaced by their surroundings and the series is judged again until nothing changes.
 Since prices also move for good, a point counts only when it stands outside the levels before and after it as well, by
-``JUMP`` robust moves. Runs without a difference that are too long for the source's own rate of repeats are stuck, and
+``JUMP`` robust moves. That band is the wider one: the ellipsoids' half widths are about sqrt(2 ln n) = 3.2 moves, so on
+the measured tables (README) the verdicts are the band's and the ellipsoids change none. Runs without a difference that are too long for the source's own rate of repeats are stuck, and
 bounds (sign, high below low) catch the rest.
 
 For fixed surroundings each ellipsoid test is a quadratic in the reading, so a day's verdict is an interval of accepted
 readings. The kernel returns these intervals; every landed row is held against its day's, so a second landing of the
 same reading is flagged too and a corrected one is not.
 
-Scale: landings are first reduced (map-side) to two readings a source and day, so the arrays a task gets are bounded by
-the calendar, whatever share of the rows one source holds; rows meet their intervals on (source, day).
+Scale: landings are first reduced (map-side) to the distinct readings of a source and day (mostly one or two), so the
+arrays a task gets are bounded by the calendar and the corrections of a day, whatever share of the rows one source holds;
+rows meet their intervals on (source, day).
 """
 
 from __future__ import annotations
@@ -112,28 +114,23 @@ def accepted(x: np.ndarray, tick: float) -> tuple[np.ndarray, np.ndarray]:
     return lo, hi
 
 
-def stuck(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Per point, the reading that is stuck there, or NaN; a point has the first and the last reading of its day. The
-    first point of a run is none of it."""
-    n = len(first)
-    out = np.full(n, np.nan)
-    runs, i = [], 0
-    while i < n:
-        best, of = 1, last[i]
-        for v in (last[i], first[i]):
-            j = i
-            while j + 1 < n and (first[j + 1] == v or last[j + 1] == v):
-                j += 1
-            if j - i + 1 > best:
-                best, of = j - i + 1, v
-        runs.append((best, i, of))
-        i += best
+def stuck(days: list[set[float]]) -> list[list[float] | None]:
+    """Per point, the readings that are stuck there, or None; a point has every reading of its day. The first point of
+    a run is none of it."""
+    n = len(days)
+    out: list[list[float] | None] = [None] * n
+    runs, repeats, open_runs = [], 0, {}
+    for i, values in enumerate([*days, set()]):
+        runs += [(i - at, at, v) for v, at in open_runs.items() if v not in values]
+        open_runs = {v: open_runs.get(v, i) for v in values}
+        repeats += any(at < i for at in open_runs.values())
     longest = max((r[0] for r in runs), default=0)
-    total, repeats = n - longest, sum(r[0] - 1 for r in runs) - (longest - 1)
+    total, repeats = n - longest, repeats - (longest - 1)
     rate = (repeats + 0.5) / max(1, total + 1)
     for length, at, v in runs:
         if length > 2 and n * rate ** (length - 1) < RARE:
-            out[at + 1 : at + length] = v
+            for k in range(at + 1, at + length):
+                out[k] = [*(out[k] or ()), v]
     return out
 
 
@@ -148,13 +145,15 @@ def _kernel(names: list[str], ticks: list[float]):
                 flat = np.asarray(cols["_flat"][i], dtype=bool)
                 for name, tick in zip(names, ticks):
                     first, last = (np.asarray(cols[f"_{k}_{name}"][i], dtype=float) for k in ("first", "last"))
-                    lo, hi, fz = np.full(len(days), -np.inf), np.full(len(days), np.inf), np.full(len(days), np.nan)
+                    more = cols[f"_more_{name}"][i]
+                    lo, hi, fz = np.full(len(days), -np.inf), np.full(len(days), np.inf), np.full(len(days), None, dtype=object)
                     use = np.where(last > 0)[0]
                     if len(use):
                         x = np.log(last[use])
                         lo[use], hi[use] = accepted(x, tick / float(np.median(last[use])) if tick else 1e-9)
                     move = np.where(~np.isnan(last) & ~flat)[0]
-                    fz[move] = stuck(first[move], last[move])
+                    for k, held in zip(move, stuck([{first[k], last[k], *(() if more[k] is None else more[k])} for k in move])):
+                        fz[k] = held
                     frame |= {f"_lo_{name}": lo, f"_hi_{name}": hi, f"_fz_{name}": fz}
                 parts.append(pd.DataFrame(frame))
             if parts:
@@ -176,7 +175,7 @@ def verdicts(df: DataFrame, source: str = "ticker", time: str = "date", key: str
     def at(f: str, how) -> Column:
         return how(F.col("_ok_" + f), F.when(F.col("_ok_" + f).isNotNull(), F.col(key)))
 
-    aggs = [x for f in names for x in (at(f, F.min_by).alias(f"_first_{f}"), at(f, F.max_by).alias(f"_last_{f}"))]
+    aggs = [x for f in names for x in (at(f, F.min_by).alias(f"_first_{f}"), at(f, F.max_by).alias(f"_last_{f}"), F.collect_set("_ok_" + f).alias(f"_all_{f}"))]
     days = ok.where(day.isNotNull() & F.col(source).isNotNull()).groupBy(F.col(source).alias("_source"), day.alias("_day")).agg(*aggs)
     nan = F.lit(float("nan"))
     cells = days.select(
@@ -185,11 +184,12 @@ def verdicts(df: DataFrame, source: str = "ticker", time: str = "date", key: str
             F.col("_day"),
             F.coalesce(F.col(f"_last_{activity}") == 0, F.lit(False)).alias("_flat"),
             *[F.coalesce(f"_{k}_{f}", nan).alias(f"_{k}_{f}") for f in names for k in ("first", "last")],
+            *[F.when(F.size(f"_all_{f}") > 2, F.col(f"_all_{f}")).alias(f"_more_{f}") for f in names],
         ).alias("_cell"),
     )
     series = cells.groupBy("_source").agg(F.sort_array(F.collect_list("_cell")).alias("_cells"))  # a cell a day of the calendar at most
-    flatter = series.select("_source", F.col("_cells._day").alias("_days"), F.col("_cells._flat").alias("_flat"), *[F.col(f"_cells._{k}_{f}").alias(f"_{k}_{f}") for f in names for k in ("first", "last")])
-    schema = "_source string, _day date, " + ", ".join(f"_lo_{f} double, _hi_{f} double, _fz_{f} double" for f in names)
+    flatter = series.select("_source", F.col("_cells._day").alias("_days"), F.col("_cells._flat").alias("_flat"), *[F.col(f"_cells._{k}_{f}").alias(f"_{k}_{f}") for f in names for k in ("first", "last", "more")])
+    schema = "_source string, _day date, " + ", ".join(f"_lo_{f} double, _hi_{f} double, _fz_{f} array<double>" for f in names)
     ticks = [0.0 if f.name == activity else tick for f in fields]
     intervals = flatter.mapInPandas(_kernel(names, ticks), schema)
     rows = ok.join(intervals, (ok[source].cast("string") == intervals["_source"]) & (day == intervals["_day"]), "left")
@@ -199,7 +199,7 @@ def verdicts(df: DataFrame, source: str = "ticker", time: str = "date", key: str
         y = F.when(x > 0, F.ln(x))
         out[f"{f.name}_spike"] = F.coalesce((y < F.col(f"_lo_{f.name}")) | (y > F.col(f"_hi_{f.name}")), F.lit(False))
         moving = F.coalesce(F.col(f"_ok_{activity}") != 0, F.lit(True))
-        out[f"{f.name}_stuck"] = F.coalesce((x == F.col(f"_fz_{f.name}")) & moving, F.lit(False))
+        out[f"{f.name}_stuck"] = F.coalesce(F.array_contains(f"_fz_{f.name}", x) & moving, F.lit(False))
         out[f"{f.name}_impossible"] = F.coalesce(x < 0, F.lit(False))
     if above in names:
         crossed = F.coalesce((F.col(f"_ok_{above}") > 0) & (finite(F.col(below)) > 0) & (F.col(f"_ok_{above}") < finite(F.col(below))), F.lit(False))

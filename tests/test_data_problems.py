@@ -163,6 +163,25 @@ def test_implausible_cases(spark):
     assert got == {30, 500, 60, 61, 40, 45, 50, 601} | set(range(71, 80))
 
 
+def test_stuck_sees_every_reading_of_a_day(spark):
+    rows = series("A", 100, 0, 50, 5)
+    frozen = rows[70][6]
+    for i in range(71, 80):  # the frozen reading lands between two others, which differ every day
+        rows += [(1000 + i, *rows[i][1:6], frozen, *rows[i][7:]), (2000 + i, *rows[i][1:6], round(rows[i][6] * 1.0001, 4), *rows[i][7:])]
+    got = {r.bar_id for r in spikes.implausible(frame(spark, rows)).collect()}
+    assert got == {1000 + i for i in range(71, 80)}
+
+
+def test_stuck_runs_may_overlap():
+    days = [{float(i)} for i in range(100)]
+    for i in range(20, 30):
+        days[i] = {-1.0}
+    for i in range(29, 40):
+        days[i] = days[i] | {-2.0} if i == 29 else {-2.0}
+    got = spikes.stuck(days)
+    assert [i for i in range(100) if got[i]] == list(range(21, 40)) and got[29] == [-1.0] and got[30] == [-2.0]
+
+
 def test_implausible_of_nothing(spark):
     assert spikes.implausible(frame(spark, [])).count() == 0
 
