@@ -84,7 +84,7 @@ def model_boosted(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def model_calibrated(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "rfpredictions").where("upprobability is not null and not isnan(upprobability) and upprediction is not null").withColumn("y", F.expr("CASE WHEN upprediction = 1 THEN 1 ELSE 0 END"))
-    return models.calibrated(r.where("pred_id % 2 = 0"), r, "upprobability", "y").select("pred_id", "calibrated")
+    return models.calibrated(r, r, "upprobability", "y").select("pred_id", "calibrated")
 
 
 @query()

@@ -83,6 +83,27 @@ def join_asof_by_ticker(spark, d):
     return joins.asof(bars(spark, d), p, "date", ["ticker"]).select("ticker", F.col("date").cast("string").alias("day"), "raw_score")
 
 
+_VIX_ALL = _VIX.replace(" AND day(date) % 3 = 0", "")
+
+
+@query(f"WITH bars AS ({BARS}), {_VIX_ALL} SELECT b.ticker, CAST(b.date AS VARCHAR) AS day, v.vix FROM bars b ASOF LEFT JOIN vix v ON b.date >= v.date")
+def join_asof_index_all_days(spark, d):
+    """``join_asof_index`` over every stored day of the index."""
+    vix = table(spark, d, "rfpredictions").where("date is not null and vix_close > 0").groupBy("date").agg(F.max("vix_close").alias("vix"))
+    return joins.asof(bars(spark, d), vix, "date").select("ticker", F.col("date").cast("string").alias("day"), "vix")
+
+
+@query(f"""WITH bars AS ({BARS}), p AS (SELECT ticker, coalesce(model_tag, '') AS model_tag, date, max(raw_score) AS raw_score FROM rfpredictions WHERE date IS NOT NULL AND isfinite(raw_score) GROUP BY ALL),
+wanted AS (SELECT b.ticker, b.date, t.model_tag FROM bars b JOIN (SELECT DISTINCT ticker, model_tag FROM p) t ON b.ticker = t.ticker)
+SELECT w.ticker, CAST(w.date AS VARCHAR) AS day, w.model_tag, p.raw_score FROM wanted w ASOF LEFT JOIN p ON w.ticker = p.ticker AND w.model_tag = p.model_tag AND w.date >= p.date""")
+def join_asof_by_ticker_all_models(spark, d):
+    """``join_asof_by_ticker`` for every model that scored a ticker; a missing tag is ''."""
+    known = table(spark, d, "rfpredictions").where("date is not null and not isnan(raw_score) and abs(raw_score) < double('infinity')").withColumn("model_tag", F.coalesce("model_tag", F.lit("")))
+    p = known.groupBy("ticker", "model_tag", "date").agg(F.max("raw_score").alias("raw_score"))
+    wanted = bars(spark, d).select("ticker", "date").join(p.select("ticker", "model_tag").distinct(), "ticker")
+    return joins.asof(wanted, p, "date", ["ticker", "model_tag"]).select("ticker", F.col("date").cast("string").alias("day"), "model_tag", "raw_score")
+
+
 @query("""SELECT ticker, cik, name, sector, CAST(snapshot_date AS VARCHAR) AS snapshot_date FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY snapshot_date <= DATE '2025-05-01' DESC,
 CASE WHEN snapshot_date <= DATE '2025-05-01' THEN snapshot_date END DESC NULLS LAST, snapshot_date) AS k FROM tickerciks) WHERE k = 1""")
 def join_snapshot_at(spark, d):
@@ -166,6 +187,19 @@ def hygiene_interpolate(spark, d):
 ORACLE["hygiene_interpolate"] = ORACLE["hygiene_interpolate"].replace("x IS NULL AND r - ra <= 3 AS filled", "coalesce(x IS NULL AND r - ra <= 3, false) AS filled")
 
 
+_USABLE = "{} AND close > 0 AND close < 500000"
+_STORED = f"""WITH gappy AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS r FROM (SELECT ticker, date, arg_max(close, bar_id) FILTER ({_USABLE.format('isfinite(close)')}) AS x FROM pricedata WHERE date IS NOT NULL GROUP BY ticker, date))"""
+
+
+@query(ORACLE["hygiene_interpolate"].replace(_GAPPY, _STORED))
+def hygiene_interpolate_stored(spark, d):
+    """``hygiene_interpolate`` over the days as they are stored: a close is missing where no landing of the day has a
+    usable one, and no known close is taken out."""
+    ok = F.expr(_USABLE.format("NOT isnan(close)"))
+    days = table(spark, d, "pricedata").where("date is not null").groupBy("ticker", "date").agg(F.max_by(F.when(ok, F.col("close")), F.when(ok, F.col("bar_id"))).alias("x"))
+    return hygiene.interpolate(days, ["x"], "ticker", "date", 3, True).selectExpr("ticker", DAY, R("x", "x"), "x_interpolated AS filled")
+
+
 @query(f"""WITH bars AS ({BARS}), m AS (SELECT *, avg(back) OVER w AS mu, stddev_samp(back) OVER w AS sd FROM (SELECT *, close / {Q.lag('close')} - 1 AS back0, CASE WHEN close / {Q.lag('close')} - 1 <> 0 THEN close / {Q.lag('close')} - 1 END AS back FROM bars)
 WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 281 PRECEDING)) SELECT ticker, CAST(date AS VARCHAR) AS day, {R('CASE WHEN sd IS NULL THEN back0 WHEN back0 IS NULL THEN least(mu + 3 * sd, greatest(NULL, mu - 3 * sd)) ELSE least(greatest(back0, mu - 3 * sd), mu + 3 * sd) END', 'x')} FROM m""")
 def hygiene_winsorise(spark, d):
