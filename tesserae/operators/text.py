@@ -20,6 +20,9 @@ FINANCE = (
 # The formats publication dates come in.
 DATE_FORMATS = ["EEE, dd MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
 
+#: A letter, digit or underscore of any script.
+_WORD = r"[\p{L}\p{N}_]"
+
 
 def without_tags(x: Column) -> Column:
     return F.regexp_replace(x, "<.*?>", "")
@@ -47,10 +50,11 @@ def with_sentiment(df: DataFrame, text: str) -> DataFrame:
 
 
 def with_complexity(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``complexity``: sentence length, word length, finance terms, long words, variety and notation."""
+    """``df`` with ``complexity``: sentence length, word length, finance terms, long words, variety and notation. Words are
+    runs of letters, digits and underscores of any script. Null texts and those without a word score 0."""
     t = F.coalesce(F.col(text), F.lit(""))
     sentences = F.size(F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(s) != ""))
-    df = df.withColumns({"_w": F.regexp_extract_all(F.lower(t), F.lit(r"(\w+)"), F.lit(1)), "_s": sentences, "_m": F.size(F.regexp_extract_all(t, F.lit(r"(\b\d+\.\d+\b)"), F.lit(1)))})
+    df = df.withColumns({"_w": F.regexp_extract_all(F.lower(t), F.lit(f"({_WORD}+)"), F.lit(1)), "_s": sentences, "_m": F.size(F.regexp_extract_all(t, F.lit(rf"((?<!{_WORD})\p{{Nd}}+\.\p{{Nd}}+(?!{_WORD}))"), F.lit(1)))})
     n = F.size("_w").cast("double")
     letters = F.aggregate("_w", F.lit(0), lambda a, w: a + F.length(w))
     share = lambda cond: F.size(F.filter("_w", cond)) / n

@@ -394,6 +394,12 @@ def text_complexity(spark, d):
     return text.with_complexity(docs, "text").select("doc_id", "complexity")
 
 
+@query()
+def text_complexity_all(spark, d):
+    """``text_complexity`` of every document, whatever its language; the engines' word classes differ, so there is no SQL."""
+    return text.with_complexity(table(spark, d, "documents"), "text").select("doc_id", "complexity")
+
+
 @query("""SELECT d.doc_id, n.ticker FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9]+)', 1))) AS ticker FROM documents) d JOIN (SELECT DISTINCT ticker FROM tickerciks) n USING (ticker)""")
 def text_mentions(spark, d):
     return text.mentions(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "tickerciks"), "ticker")
