@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ FINANCE = (
 ).split()
 # The formats publication dates come in.
 DATE_FORMATS = ["EEE, dd MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
-
+#: Variants of a company name must be longer than this; how many names one pass over the texts looks for.
+NAME_LETTERS, NAMES = 3, 50_000
 #: A letter, digit or underscore of any script.
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -71,6 +75,56 @@ def mentions(docs: DataFrame, doc: str, text: str, names: DataFrame, name: str)
     return words.join(names.select(name).distinct(), name).select(doc, name)
 
 
+def _variants(name: str) -> set[str]:
+    """The forms of a company name that are looked for: as it is, without commas and dots, without its legal form."""
+    up = name.strip().upper()
+    return {v for v in (up, up.replace(",", "").replace(".", ""), up.replace(" INC", "").replace(" CORP", "").replace(" LTD", "")) if len(v) > NAME_LETTERS}
+
+
+def _finder(known: dict[str, set[str]]):
+    words: dict[str, list[str]] = {}
+    odd: list[tuple[re.Pattern, str]] = []
+    starts: dict[str, list[tuple[str, str]]] = {}
+    for ticker, names in known.items():
+        up = ticker.upper()
+        if re.fullmatch(r"\w+", up):
+            words.setdefault(up, []).append(ticker)
+        elif up:
+            odd.append((re.compile(r"\b" + re.escape(up) + r"\b"), ticker))
+        for v in names:
+            starts.setdefault(v[: NAME_LETTERS + 1], []).append((v, ticker))
+
+    def found(x: str) -> set[str]:
+        x = x.upper()
+        hits = {t for w in words.keys() & set(re.findall(r"\w+", x)) for t in words[w]}
+        hits.update(t for p, t in odd if p.search(x))
+        begun = starts.keys() & {x[i : i + NAME_LETTERS + 1] for i in range(len(x) - NAME_LETTERS)}
+        hits.update(t for s in begun for v, t in starts[s] if v in x)
+        return hits
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, t) for d, x in zip(pdf["_doc"], pdf["_text"]) if isinstance(x, str) for t in sorted(found(x))]
+            yield pd.DataFrame(rows, columns=["_doc", "_name"])
+
+    return run
+
+
+def mentions_folded(docs: DataFrame, doc: str, text: str, names: DataFrame, name: str, company: str) -> DataFrame:
+    """(doc, name): names that stand as words in the text, whatever their case, or whose ``company`` stands in it in one of
+    its variants. A company of several names gives all of them. One pass over the texts for ``NAMES`` names; the fixed
+    starts of all variants are looked up at every place of a text, and only the variants of a start that occurs are compared."""
+    known: dict[str, set[str]] = {}
+    for r in names.where(F.col(name).isNotNull()).select(name, company).distinct().toLocalIterator():
+        known.setdefault(r[0], set()).update(_variants(r[1]) if r[1] else ())
+    slim = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+    schema = f"_doc {docs.schema[doc].dataType.simpleString()}, _name string"
+    found, keys = docs.sparkSession.createDataFrame([], schema), sorted(known)
+    for k in range(0, len(keys), NAMES):
+        found = found.unionByName(slim.mapInPandas(_finder({x: known[x] for x in keys[k : k + NAMES]}), schema))
+    return found.select(F.col("_doc").alias(doc), F.col("_name").alias(name))
+
+
 def keep_unseen(df: DataFrame, title: str, link: str, order: str) -> DataFrame:
     """Articles whose folded title and whose link each appear first in ``order``; unlike the sequential form, an article
     also goes when its twin was itself dropped. Null titles or links collide with nothing."""

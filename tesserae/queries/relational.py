@@ -405,6 +405,12 @@ def text_mentions(spark, d):
     return text.mentions(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "tickerciks"), "ticker")
 
 
+@query()
+def text_mentions_folded(spark, d):
+    """``text_mentions`` in any case and by company names too."""
+    return text.mentions_folded(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "tickerciks"), "ticker", "name")
+
+
 @query("SELECT doc_id, regexp_replace(text, '<.*?>', '', 'g') AS plain FROM documents")
 def text_without_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", text.without_tags(F.col("text")).alias("plain"))

@@ -39,3 +39,29 @@ def test_every_document_has_its_complexity(spark, small):
     assert len(got) == len(docs)
     for i, t in zip(docs.doc_id, docs.text):
         assert abs(got[i] - brute(t)) <= 5.01e-4
+
+
+def mentioned(t, universe):
+    up, out = (t or "").upper(), set()
+    for ticker, name in universe:
+        n = (name or "").strip().upper()
+        forms = [n, n.replace(",", "").replace(".", ""), n.replace(" INC", "").replace(" CORP", "").replace(" LTD", "")]
+        if re.search(r"\b" + re.escape(ticker.upper()) + r"\b", up) or any(len(f) > 3 and f in up for f in forms):
+            out.add(ticker)
+    return out
+
+
+def test_mentions_by_case_and_company(spark):
+    universe = [("QBIPH", "Kelumont Inc."), ("QWBLV", "  JORODALE, Corp."), ("AB.C", "Wexovnex Group plc"), ("TINY", "Ab"), ("NONE", None), ("TWIN", "Kelumont Inc."), ("Ä1", "Öland Holdings")]
+    texts = ["qbiph rose", "xqbiphx rose", "shares of kelumont inc. and others", "Jorodale Corp fell", "JORODALE, CORP. fell", "ab.c up", "abxc up", "the Wexovnex group plc said", "tiny ab", "", None, "öland holdings ä1", "kelumont alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.ticker) for r in text.mentions_folded(docs, "doc_id", "text", spark.createDataFrame(universe, "ticker string, name string"), "ticker", "name").collect()}
+    want = {(i, t) for i, x in enumerate(texts) for t in mentioned(x, universe)}
+    assert got == want and {(0, "QBIPH"), (2, "QBIPH"), (3, "QWBLV"), (7, "AB.C")} <= got
+
+
+def test_mentions_match_brute_force(spark, small):
+    docs, names = pd.read_parquet(f"{small}/documents.parquet"), pd.read_parquet(f"{small}/tickerciks.parquet")
+    universe = list(zip(names.ticker, names.name))
+    got = [(r.doc_id, r.ticker) for r in E.queries()["text_mentions_folded"](spark, small).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, t) for i, x in zip(docs.doc_id, docs.text) for t in mentioned(x, universe)}
