@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,13 +36,51 @@ def correlations_with(df: DataFrame, index: DataFrame, entity: str, time: str, x
     return pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.try_divide(c, sx * sy).alias("corr"), beta.alias("beta"), (F.avg(x) - beta * F.avg("_y")).alias("alpha"))
 
 
+def correlation_profiles(df: DataFrame, entity: str, time: str, x: str) -> DataFrame:
+    """(entity, profile): each entity's row of the correlation matrix, its columns in the order of the entities. Series are
+    aligned on time; missing values are filled backwards, then forwards. Null and flat entities are left out.
+
+    The standardised series (entities x times) are held in the driver and by every task; a row of the matrix, as long as
+    there are entities, is made in the task that writes it."""
+    known = df.where(F.col(x).isNotNull() & F.col(entity).isNotNull() & F.col(time).isNotNull())
+    times = {r[0]: k for k, r in enumerate(known.select(time).distinct().orderBy(time).collect())}
+    cells = known.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(x).cast("double").alias("x")))).alias("c"))
+    names, series = [], []
+    for r in cells.orderBy(entity).toLocalIterator():
+        y = np.full(len(times), np.nan)
+        y[[times[c.t] for c in r["c"]]] = [c.x for c in r["c"]]
+        y = pd.Series(y).bfill().ffill().to_numpy()
+        y = y - y.mean()
+        norm = float(np.sqrt((y * y).sum()))
+        if norm > 1e-12:
+            names.append(r[entity])
+            series.append(y / norm)
+    spark = df.sparkSession
+    schema = f"{entity} {df.schema[entity].dataType.simpleString()}, profile array<double>"
+    if not names:
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(np.stack(series))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 256):
+                part = pdf.iloc[k : k + 256]
+                rows = held.value[part["_k"].to_numpy()] @ held.value.T
+                yield pd.DataFrame({entity: part[entity].to_numpy(), "profile": list(np.clip(rows, -1, 1))})
+
+    numbered = spark.createDataFrame(list(enumerate(names)), f"_k int, {schema.split(', ')[0]}")
+    return numbered.repartition(max(1, len(names) // 500)).mapInPandas(run, schema)
+
+
 def clusters(df: DataFrame, entity: str, columns: list[str], ks: range = range(4, 10), seed: int = 7) -> DataFrame:
-    """(entity, cluster): scaled k-means with the k of the best silhouette. Entities with a null column are left out."""
+    """(entity, cluster): scaled k-means with the k of the best silhouette. Columns are numbers or arrays of one length;
+    entities with a null column are left out."""
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    known = df.dropna(subset=columns)
+    known = df.dropna(subset=columns).withColumns({c: array_to_vector(c) for c, kind in df.dtypes if c in columns and kind.startswith("array")})
     vec = VectorAssembler(inputCols=columns, outputCol="_v").transform(known)
     scaled = StandardScaler(inputCol="_v", outputCol="features", withMean=True).fit(vec).transform(vec).select(entity, "features").cache()
     best, chosen = None, None

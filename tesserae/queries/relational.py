@@ -371,8 +371,9 @@ def group_risk(spark, d):
 
 @query()
 def ticker_clusters(spark, d):
-    f = panel(spark, d).groupBy("ticker").agg(F.stddev_samp("back").alias("vol"), F.avg("back").alias("mean"), F.avg(F.ln(F.col("volume") + 1)).alias("size")).where("vol is not null")
-    return relate.clusters(f, "ticker", ["vol", "mean", "size"], range(2, 6))
+    """The scaled correlation matrix of daily returns, clustered with the best k of 6 to 19."""
+    profiles = relate.correlation_profiles(panel(spark, d), "ticker", "date", "back")
+    return relate.clusters(profiles, "ticker", ["profile"], range(6, 20))
 
 
 # texts -------------------------------------------------------------------------------------------------------------
