@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tesserae.functions.dialect import Dialect
-from tesserae.plans.blocks import Stages, block
+from tesserae.plans.blocks import Block, Stages, block
 
 BAR = ("open", "high", "low", "close", "volume")
 E = "1e-10"
@@ -344,11 +344,15 @@ def panel_inputs(q: Dialect) -> Stages:
     return [a, b, c, d]
 
 
+def _centred(q: Dialect, x: str) -> str:
+    return f"(CASE WHEN count(*) {q.across} >= 2 THEN {q.rank(x)} / (count(*) {q.across} + 1) * 2 - 1 ELSE 0.0 END)"
+
+
 @block("in_return", "in_high_close", "in_low_close", "in_rate_of_change", "in_imf1_energy", "in_autocorr")
 def panel_formulas(q: Dialect) -> Stages:
-    """Three of the cross-section formulas: inputs null to 0, ranked to (-1, 1) among the day's entities, combined, and
-    ranked (or standardised) again."""
-    centred = lambda x: f"(CASE WHEN count(*) {q.across} >= 2 THEN {q.rank(x)} / (count(*) {q.across} + 1) * 2 - 1 ELSE 0.0 END)"
+    """Two of the cross-section formulas (F3, F4): inputs null to 0, ranked to (-1, 1) among the day's entities, combined,
+    and ranked (or standardised) again. ``PANEL_COMPOSITE`` has the others."""
+    centred = lambda x: _centred(q, x)
     src = {"0": "in_return", "2": "in_high_close", "3": "in_low_close", "7": "in_rate_of_change", "8": "in_imf1_energy", "19": "in_autocorr"}
     a = {f"_f{k}": f"coalesce({c}, 0.0)" for k, c in src.items()}
     b = {f"_x{k}": centred(f"_f{k}") for k in src}
@@ -359,6 +363,27 @@ def panel_formulas(q: Dialect) -> Stages:
     return [a, b, c, d]
 
 
+def _panel_composite(q: Dialect) -> Stages:
+    """The formulas F1, N1 and N4 and the composite of all five. Sums are rounded to 9 decimals, so that equal ones tie."""
+    src = {"0": "in_return", "3": "in_low_close", "13": "noise_white_60", "14": "noise_pink_60", "18": "spectral_entropy_60", "19": "in_autocorr"}
+    a = {f"_f{k}": f"coalesce({c}, 0.0)" for k, c in src.items()}
+    b = {f"_x{k}": _centred(q, f"_f{k}") for k in src}
+    first = "(CASE WHEN 1.77026646253569 + _x19 > 0 THEN -0.9931974192883872 * _x3 ELSE 0.9931974192883872 * _x3 END)"
+    c = {"_e1": f"round(_x14 - {first}, 9)", "_n1": "round(_x13 + _x3, 9)", "_n4": f"round(sqrt(abs(abs(_x3) * ((-1.7102360477772514 + _x18 + _x0) / {1.2577672553937247 * 3.959124395312415!r}))), 9)"}
+    d = {"gp_f1": _centred(q, "_e1"), "gp_n1": _centred(q, "_n1"), "gp_n4": _centred(q, "_n4")}
+    terms = {
+        "gp_f1": -0.034224, "gp_f3": 1.296387, "gp_f4": 0.004473, "gp_n1": 0.012287, "gp_n4": 0.009157, "gp_f1 * gp_f3": -0.274113, "gp_f1 * gp_f4": 0.085361, "gp_f1 * gp_n1": 0.021151, "gp_f1 * gp_n4": -0.181167,
+        "gp_f3 * gp_f4": -1.295755, "gp_f3 * gp_n1": 0.355264, "gp_f3 * gp_n4": 2.387638, "gp_f4 * gp_n1": -0.044057, "gp_f4 * gp_n4": -0.000961, "gp_n1 * gp_n4": 0.04893,
+    }
+    return [a, b, c, d, {"gp_composite": f"({' + '.join(f'{w!r} * {t}' for t, w in terms.items())} + 0.002355)"}]
+
+
+#: Needs the noise and entropy of ``kernels.complexity``, which no expression has, so it isn't among the registered blocks.
+PANEL_COMPOSITE = Block(
+    "panel_composite", ("in_return", "in_low_close", "in_autocorr", "noise_white_60", "noise_pink_60", "spectral_entropy_60", "gp_f3", "gp_f4"), _panel_composite, ("gp_f1", "gp_n1", "gp_n4", "gp_composite")
+)
+
+
 @block("close", "vix")
 def vix_family(q: Dialect) -> Stages:
     """Regime, changes, momentum, moving averages, crosses, scores, realised volatility and factors of an index series

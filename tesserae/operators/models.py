@@ -1,4 +1,4 @@
-"""Models over panels: boosted trees, seed ensembles, calibration and adversarial validation."""
+"""Models over panels: boosted trees, seed ensembles, calibration and balanced samples."""
 
 from __future__ import annotations
 

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions import features
 from tesserae.operators import kernels, models
+from tesserae.plans import blocks
 from tesserae.plans.scale import shared_dir
 from tesserae.queries.panel import bars, rounded, table
 from tesserae.queries.relational import panel
@@ -32,6 +34,15 @@ for _name in kernels.KERNELS:
     QUERIES[f"kernel_{_name}"] = lambda spark, d, _k=_name: kernels.run(bars(spark, d), [_k])
 
 
+@query()
+def panel_composite(spark: SparkSession, d: str) -> DataFrame:
+    """All five cross-section formulas and their composite."""
+    b = bars(spark, d)
+    noise = kernels.run(b, ["complexity"]).select("ticker", "date", "noise_white_60", "noise_pink_60", "spectral_entropy_60")
+    rows = blocks.apply(b, blocks.REGISTRY["panel_inputs"], blocks.REGISTRY["panel_formulas"]).join(noise, ["ticker", "date"])
+    return blocks.apply(rows, features.PANEL_COMPOSITE).selectExpr("ticker", "CAST(date AS STRING) AS day", *[f"gp_{x}" for x in ("f1", "f3", "f4", "n1", "n4", "composite")])
+
+
 @query("SELECT cik, name, ticker, exchange, sector, CAST(snapshot_date AS VARCHAR) AS snapshot_date FROM tickerciks")
 def source_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}.csv"
