@@ -221,6 +221,37 @@ def test_residue_cases(spark):
     assert R.residue(docs.limit(0)).count() == 0
 
 
+def test_unlisted_messages_are_found_by_their_recurrence(spark):
+    """No rule knows this wording; it stands alone on several sites, and a sentence of articles does not."""
+    unknown = "Our hamsters need a rest, come by later."
+    common = "Gross margin came in at 3%, below the prior year."
+    rows = [(i, f"Kelumont Inc. quote\n\n{unknown}", f"S{i % 3}") for i in range(4)]
+    rows += [(10 + i, f"{common} Shares rose {i}% on Monday. The board met in May. It will meet again.", f"S{i % 4}") for i in range(6)]
+    rows += [(20, f"{unknown} {ARTICLE}", "S1"), (30, "Another wording that stands alone once.", "S1"), (40, common, "S1")]
+    rows += [(50 + i, '09:00:01 INFO {"a": 1}\n09:00:02 INFO Some job took very long today.', f"S{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {(r.doc_id, r.reason) for r in R.residue(docs).collect()} == {(i, "recurring") for i in range(4)}
+    counted = {r.n: (r.alone, r.sources, r.phrase) for r in R.messages(R.judged(docs)).where("n > 4").collect()}
+    assert counted == {5: (4, 3, None), 6: (0, 4, None), 7: (1, 4, None)}
+
+
+WORDING = ["ZeroDivisionError: float division by zero", "NullPointerException: handler crashed while rendering", "hCaptcha challenge failed for client", "the page you asked for could not be found", "Enable JavaScript", "fehler 404", "ページが見つかりません", "Loading quote...", "sign in", "your text here", "404"]
+
+
+def test_the_filter_before_the_rules_drops_nothing(small):
+    import pandas as pd
+
+    rng = random.Random(8)
+    words = [w for p in (*R.STRONG, *R.WEAK, *R.FILLER) for w in R.required(p)] + WORDS + ["the", "your", "0", "of", "is", "not", "again"]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 45))) + rng.choice(["", ".", "!"]) for _ in range(4000)]
+    stored = [x for t in pd.read_parquet(f"{small}/documents.parquet").text.dropna() for x in R.segments(t)]
+    for x in made + stored + WORDING:
+        assert R.kind(x) == R.kind(x, filtered=False), x
+    assert all(R.kind(x)[0] in ("notice", "filler", "weak") for x in WORDING)
+    with pytest.raises(ValueError):
+        R.required("a*|b")
+
+
 def test_residue_of_long_texts(spark):
     docs = spark.createDataFrame([(1, ARTICLE * 20_000, "S"), (2, "Sample body copy. " * 50_000, "S"), (3, "{" * 200_000, "S"), (4, "<" * 100_000 + "a1" * 50_000, "S")], "doc_id bigint, text string, source string")
     assert {r.doc_id for r in R.residue(docs).collect()} == {2}
