@@ -60,6 +60,14 @@ FIELDS = (
     r"(?<![\w$])X{5,}(?!\w)",
     r"\b(?:of|at|to|from|by|the|de|a|von|um|auf|bei|f[uü]r|in|on|for|στα|για|en|und|and|\() (?:undefined|NaN|null|None)(?=[ ,.;:)%]|$)(?! (?:until|unless|behaviou?r|of|terms?|steering|and void|hypothes))",
 )
+#: A name in angle brackets, plain or escaped: a field unless it is an element of HTML or is closed somewhere.
+ANGLE = r"(?:<|&lt;)([A-Za-z][A-Za-z_]*(?: [A-Za-z_]+)*)(?:>|&gt;)"
+# The element names of HTML.
+ELEMENTS = frozenset(
+    "a abbr acronym address applet area article aside audio b base basefont bdi bdo big blockquote body br button canvas caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed "
+    "fieldset figcaption figure font footer form frame frameset h head header hgroup hr html i iframe img input ins kbd label legend li link main map mark menu meta meter nav noframes noscript object ol optgroup option output "
+    "p param picture pre progress q rp rt ruby s samp script search section select slot small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr".split()
+)
 #: Spans that aren't prose: code, formulas, configuration and log payloads.
 NOT_PROSE = (r"(?s)```.*?```", r"`[^`\n]*`", r"(?s)<(pre|code|script|style)\b.*?</\1>", r"\$[^$\n]*\\[^$\n]*\$", r"\\[a-z]+(\{[^{}\n]*\})+", r"\{[^{}\n]*\"[^{}\n]*(\{[^{}\n]*\}[^{}\n]*)*\}")
 
@@ -108,6 +116,7 @@ def _any(parts: tuple[str, ...]) -> str:
 _FIELDS = re.compile(_any(FIELDS))
 #: A text without any of these has no field.
 _FIELD_SIGNS = ("{", "[", "<%", "<<", "__", "%%", "@@", "%(", "XXXXX", "undefined", "NaN", "null", "None")
+_ANGLE = re.compile(ANGLE)
 _SPANS = [re.compile(p) for p in NOT_PROSE]
 _STRONG, _WEAK, _FILLER, _FURNITURE = (re.compile(_any(x) if isinstance(x, tuple) else x) for x in (STRONG, WEAK, FILLER, FURNITURE))
 _BLOCK_END = re.compile(r"</(?:p|div|h\d|li|title|head|noscript|body|html|td|tr)>|<br ?/?>", re.I)
@@ -210,15 +219,23 @@ def segments(text: str) -> list[str]:
     return [x for x in (s.strip() for s in _CUT.split(text)) if x]
 
 
+def _angle_field(text: str) -> bool:
+    for m in _ANGLE.finditer(text):
+        name = m[1]
+        if name.lower() not in ELEMENTS and "</" + name not in text and "&lt;/" + name not in text:
+            return True
+    return False
+
+
 def has_field(text: str) -> bool:
     """Whether the prose of ``text`` has an unfilled template field."""
-    if not any(s in text for s in _FIELD_SIGNS):
-        return False
-    if not _FIELDS.search(text):
+    plain = any(s in text for s in _FIELD_SIGNS) and _FIELDS.search(text) is not None
+    angle = ("<" in text or "&lt;" in text) and _angle_field(text)
+    if not plain and not angle:
         return False
     for span in _SPANS:
         text = span.sub(" ", text)
-    return bool(_FIELDS.search(text))
+    return _FIELDS.search(text) is not None or _angle_field(text)
 
 
 def kind(segment: str, filtered: bool = True) -> tuple[str, str]:

@@ -206,11 +206,11 @@ def test_residue_cases(spark):
     yes = {
         1: "Shares of {{ company }} rose. " + ARTICLE, 2: "Revenue was ${AMOUNT} this year. " + ARTICLE, 3: ARTICLE + " Order for [INSERT TICKER] was filled.", 4: "<html><head><title>503</title></head><body><h1>Temporarily unavailable</h1></body></html>",
         5: "Please enable JavaScript to view this page.", 6: "Kelumont Inc. news\n\nHome | Markets | Help\n\nFehler 404: Die angeforderte Seite wurde nicht gefunden.", 7: "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmod tempor incididunt ut labore.",
-        8: "Headline goes here\n\nYour text here.", 9: "The sector fell 2% on Monday.\n\nVerifying the connection before you proceed. This takes about 3 seconds.", 10: "株価を表示するにはJavaScriptを有効にしてください。", 11: "Revenue of undefined for the quarter beat the undefined that was expected. " + ARTICLE,
+        8: "Headline goes here\n\nYour text here.", 9: "The sector fell 2% on Monday.\n\nVerifying the connection before you proceed. This takes about 3 seconds.", 10: "株価を表示するにはJavaScriptを有効にしてください。", 12: "The stock closed near <price_here>. " + ARTICLE, 13: "No notice concerning &lt;company&gt; was found. " + ARTICLE, 11: "Revenue of undefined for the quarter beat the undefined that was expected. " + ARTICLE,
     }
     no = {
         21: ARTICLE, 22: ARTICLE + "\n\nPlease enable JavaScript to see the comments.", 23: "The exchange's website returned error 504, a spokesperson said. " + ARTICLE, 24: "The snippet was `print(f\"{ticker} {ret:.2f}\")`. " + ARTICLE,
-        25: "The estimate is $\\sqrt{\\frac{1}{n}}$. " + ARTICLE, 26: 'Config: {"rule": {"ticker": "A"}, "note": null} ' + ARTICLE, 27: "", 28: None, 29: '12:57:12 INFO {"ticker": "QSXLU", "qty": 3}', 30: "The form leaves the name undefined until June. " + ARTICLE, 31: '"We agreed [sic]," the chair said [emphasis added]. ' + ARTICLE,
+        25: "The estimate is $\\sqrt{\\frac{1}{n}}$. " + ARTICLE, 26: 'Config: {"rule": {"ticker": "A"}, "note": null} ' + ARTICLE, 27: "", 28: None, 29: '12:57:12 INFO {"ticker": "QSXLU", "qty": 3}', 30: "The form leaves the name undefined until June. " + ARTICLE, 32: "<p>A point in table <74>.</p><noscript></noscript> " + ARTICLE, 33: "<row><name>Kelumont</name></row> `<ticker>` " + ARTICLE, 31: '"We agreed [sic]," the chair said [emphasis added]. ' + ARTICLE,
     }
     rows = [(i, t, f"S{i % 3}") for i, t in (yes | no).items()]
     rows += [(50 + i, "Quotes are not available here\n\nQuotes", f"S{i}") for i in range(4)] + [(60, "Data not available yet", "S1"), (1, yes[1], None)]
@@ -235,7 +235,7 @@ def test_unlisted_messages_are_found_by_their_recurrence(spark):
     assert counted == {5: (4, 3, None), 6: (0, 4, None), 7: (1, 4, None)}
 
 
-WORDING = ["ZeroDivisionError: float division by zero", "NullPointerException: handler crashed while rendering", "hCaptcha challenge failed for client", "the page you asked for could not be found", "Enable JavaScript", "fehler 404", "ページが見つかりません", "Loading quote...", "sign in", "your text here", "404"]
+WORDING = ["ZeroDivisionError: float division by zero", "NullPointerException: handler crashed while rendering", "hCaptcha challenge failed for client", "the page you asked for could not be found", "Enable JavaScript", "fehler 404", "ページが見つかりません", "Loading quote...", "please try again", "your text here", "404"]
 
 
 def test_the_filter_before_the_rules_drops_nothing(small):
@@ -247,7 +247,7 @@ def test_the_filter_before_the_rules_drops_nothing(small):
     stored = [x for t in pd.read_parquet(f"{small}/documents.parquet").text.dropna() for x in R.segments(t)]
     for x in made + stored + WORDING:
         assert R.kind(x) == R.kind(x, filtered=False), x
-    assert all(R.kind(x)[0] in ("notice", "filler", "weak") for x in WORDING)
+    assert [x for x in WORDING if R.kind(x)[0] not in ("notice", "filler", "weak")] == []
     with pytest.raises(ValueError):
         R.required("a*|b")
 
