@@ -1,25 +1,31 @@
 """Evaluation texts leaking into training text (problem 8): Wu-Manber multi-pattern search.
 
 Texts and passages become streams of folded letters: markup, spacing, punctuation and case are gone, look-alike
-characters are one. The test strings are all runs of at least ``RUN_WORDS`` words and ``RUN_LETTERS`` letters of every
-passage. The search moves over a stream by the shift table of the block (``BLOCK`` letters) under its end, which skips
-positions where no test string can end its first m letters; where the shift is 0, a hash of the m letters selects the
-bucket of test strings, and direct comparison confirms them. All documents of a batch are searched at once, each piece of
-``PIECE`` letters by its own cursor, in vector steps.
+characters are one; letters of other scripts stay, as their UTF-8 bytes. The test strings are all runs of at least
+``RUN_WORDS`` words and ``RUN_LETTERS`` bytes of every passage; in scripts without spaces two characters count as a word.
+The search moves over a stream by the shift table of the block under its end, which skips positions where no test string
+can end its first m bytes; where the shift is 0, a hash of the m bytes selects the bucket of test strings, and direct
+comparison confirms them. Blocks are as long as the number of test strings asks for, and are looked up by hash: two blocks
+that share an entry get the smaller shift of both, so no occurrence is skipped. All documents of a batch are searched at
+once, each piece of ``PIECE`` bytes by its own cursor, in vector steps.
 
 Confirmed runs of one passage are chained (in order, close together); words between and beside them are compared one by
 one, so that single changed words cost only themselves. A document leaks an item when a chain holds ``LEAST`` words.
+A run needs ``RUN_WORDS`` words in a row that nobody changed, so a text in which every fourth word of a passage is another
+isn't found; with every fifth it is.
 
-Items are sent to the executors in blocks of ``ITEMS``, whose bytes are checked; the corpus is passed once a block and
-never shuffled. Only (document, passage) finds leave the tasks.
+Tables hold ``TABLE_BYTES`` of passages each, and one pass over the corpus searches all tables of ``SCAN_BYTES``; only
+larger evaluation sets take a further pass. The corpus is never shuffled; only (document, passage) finds leave the tasks.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,9 +36,10 @@ from tesserae.plans.scale import cut, lookup_join
 
 LEAST = 20
 RUN_WORDS, RUN_LETTERS = 4, 16
-BLOCK = 4
 PIECE = 2048
-ITEMS = 2_000
+#: Bytes of passages in one table, and in one pass over the corpus (whose tables a worker holds at a time: about 40 times
+#: as much memory).
+TABLE_BYTES, SCAN_BYTES = 2 << 20, 8 << 20
 #: Letters by which a chain's pieces may lie further apart in the text than in the passage, and words it may skip.
 SLACK, SKIP = 90, 12
 
@@ -43,16 +50,29 @@ LOOKALIKES = {
 }
 FOLDED = {"0": "o", "1": "l", "i": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "|": "l"}
 
-_TABLE = str.maketrans(LOOKALIKES)
-_KEEP = bytes(range(97, 123)) + b"269"
-_FOLD = bytes(ord(FOLDED.get(chr(b), chr(b))) for b in range(256)) if all(len(v) == 1 for v in FOLDED.values()) else b""
+_KEEP = bytes(range(97, 123)) + b"269" + bytes(range(128, 256))
+_FOLD = bytes(ord(FOLDED[chr(b)]) if chr(b) in FOLDED else b for b in range(256))
 _DROP = bytes(b for b in range(256) if _FOLD[b] not in _KEEP)
-_TAG = re.compile(r"<[^<>]{1,300}>")
+_TAG = re.compile(r"<[^<>]*>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
+#: Scripts without spaces between words: two characters of them count as a word.
+_UNITS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u312f\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff]{1,2}|[^\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u312f\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff]+")
 
 
-def stream(text: str) -> bytes:
-    """The folded letters of a text, as ASCII bytes."""
+class _Letters(dict):
+    """Folding of characters, worked out as they come: look-alikes, letters and numbers as they are, nothing else."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        self[code] = c if code < 128 else LOOKALIKES.get(c, c if unicodedata.category(c)[0] in "LN" else None)
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
+def letters(text: str) -> str:
+    """``text`` without markup and case, with look-alikes folded and no signs but those of ASCII."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
@@ -61,46 +81,60 @@ def stream(text: str) -> bytes:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
         text = text.replace("\\n", " ").replace("\\t", " ").replace("\\r", " ")
     text = text.lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).lower().translate(_TABLE)
-    return text.encode("ascii", "ignore").translate(_FOLD, _DROP)
+    return text if text.isascii() else unicodedata.normalize("NFKD", text).lower().translate(_LETTERS)
+
+
+def _folded(text: str) -> bytes:
+    return text.encode("utf-8", "ignore").translate(_FOLD, _DROP)
+
+
+def stream(text: str) -> bytes:
+    """The folded letters of a text, as bytes."""
+    return _folded(letters(text))
+
+
+def words(text: str) -> list[bytes]:
+    """The words of a passage, as folded as :func:`stream` has them."""
+    return [w for x in text.split() for w in map(_folded, _UNITS.findall(letters(x))) if w]
 
 
 class WuManber:
-    """Tables of a set of test strings (bytes over the folded alphabet, each at least ``RUN_LETTERS`` long)."""
+    """Tables of a set of test strings (bytes, each at least ``RUN_LETTERS`` long, or as long as the shortest)."""
 
     def __init__(self, strings: list[bytes]) -> None:
         self.strings = strings
-        self.m = min(len(s) for s in strings)
-        code = np.zeros(256, dtype=np.int64)
-        for k, b in enumerate(_KEEP):
-            code[b] = k + 1
-        self.code, self.base = code, len(_KEEP) + 1
-        heads = np.frombuffer(b"".join(s[: self.m] for s in strings), dtype=np.uint8).reshape(len(strings), self.m)
-        c = code[heads]
-        self.shift = np.full(self.base**BLOCK, self.m - BLOCK + 1, dtype=np.int16)
-        for end in range(BLOCK, self.m + 1):
-            block = np.zeros(len(strings), dtype=np.int64)
-            for k in range(end - BLOCK, end):
-                block = block * self.base + c[:, k]
-            np.minimum.at(self.shift, block, self.m - end)
-        self.power = np.array([pow(1_000_003, self.m - 1 - k, 1 << 64) for k in range(self.m)], dtype=np.uint64)
-        keys = (c.astype(np.uint64) * self.power).sum(axis=1, dtype=np.uint64)
+        m = self.m = min(len(s) for s in strings)
+        self.block = min(m, 8, max(2, math.ceil(math.log(2 * m * len(strings), 26))))  # log_c(2 m k), as its authors advise
+        self.bits = min(24, max(16, math.ceil(math.log2(8 * m * len(strings)))))
+        heads = np.frombuffer(b"".join(s[:m] for s in strings), dtype=np.uint8).reshape(len(strings), m)
+        self.shift = np.full(1 << self.bits, m - self.block + 1, dtype=np.int16)
+        for end in range(self.block, m + 1):
+            np.minimum.at(self.shift, self._hashes(heads[:, end - self.block : end].T), m - end)
+        self.power = np.array([pow(1_000_003, m - 1 - k, 1 << 64) for k in range(m)], dtype=np.uint64)
+        keys = (heads.astype(np.uint64) * self.power).sum(axis=1, dtype=np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.bucket = keys[order], order
 
+    def _hashes(self, columns) -> np.ndarray:
+        """Table entries of blocks, given as one array a letter."""
+        h = np.zeros(len(columns[0]), dtype=np.uint32)
+        for c in columns:
+            h *= np.uint32(31)
+            h += c
+        h *= np.uint32(2_654_435_761)
+        return h >> np.uint32(32 - self.bits)
+
     def search(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, offset, string number) of every occurrence of every test string."""
         joined = b"\0".join(texts) + b"\0"
-        codes = self.code[np.frombuffer(joined, dtype=np.uint8)]
+        codes = np.frombuffer(joined, dtype=np.uint8)
         starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]], dtype=np.int64)
         n, m = len(codes), self.m
         if n < m:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        blocks = np.zeros(n, dtype=np.int64)  # of the block that ends at a position
-        for k in range(BLOCK):
-            blocks[BLOCK - 1 :] = blocks[BLOCK - 1 :] * self.base + codes[k : n - BLOCK + 1 + k]
-        shift = self.shift[blocks]
+        b = self.block  # the shift of a position is that of the block that ends there
+        shift = np.ones(n, dtype=np.int16)
+        shift[b - 1 :] = self.shift[self._hashes([codes[k : n - b + 1 + k] for k in range(b)])]
         at = np.arange(m - 1, n, PIECE, dtype=np.int64)
         until = np.minimum(at + PIECE, n)
         found = []
@@ -139,7 +173,7 @@ class Passages:
     """Passages as word streams with their test strings."""
 
     def __init__(self, passages: list[str]) -> None:
-        self.words = [[w for w in (stream(x) for x in p.split()) if w] for p in passages]
+        self.words = [words(p) for p in passages]
         self.offsets = [np.cumsum([0] + [len(w) for w in ws]).tolist() for ws in self.words]
         places: dict[bytes, list[tuple[int, int, int]]] = {}
         for p, ws in enumerate(self.words):
@@ -179,15 +213,17 @@ class Passages:
     def best(self, text: bytes, p: int, runs: list[tuple[int, int, int]]) -> int:
         """The most words of passage ``p`` in one chain. ``runs``: (offset, first word, end word), by offset."""
         ws, off = self.words[p], self.offsets[p]
+        longest = max(j - k for _, k, j in runs)
         score: list[tuple[int, int]] = []  # words so far, index of the chain's first run
         top = 0
         for i, (pos, k, j) in enumerate(runs):
             mine, head = j - k, i
-            for b in range(i - 1, max(-1, i - 60), -1):
+            reach = off[k] - off[max(0, k - SKIP - longest)] + SLACK  # no run further back can be followed by this one
+            for b in range(i - 1, -1, -1):
                 pb, kb, jb = runs[b]
-                if pos - pb > off[k] - off[kb] + SLACK if k > kb else True:
-                    continue
-                if k - jb > SKIP:
+                if pos - pb > reach:
+                    break
+                if k <= kb or k - jb > SKIP or pos - pb > off[k] - off[kb] + SLACK:
                     continue
                 if k >= jb:
                     end_b = pb + off[jb] - off[kb]
@@ -201,10 +237,10 @@ class Passages:
                 if score[b][0] + gain > mine:
                     mine, head = score[b][0] + gain, score[b][1]
             score.append((mine, head))
-            if mine > top - 12:  # the words beside a chain
-                start, first, _ = runs[head]
-                after = self._beside(text, pos + off[j] - off[k], ws[j : j + 40], True)
-                before = self._beside(text, start, ws[max(0, first - 40) : first][::-1], False)
+            start, first, _ = runs[head]
+            if mine + len(ws) - j + first > top:  # the words beside a chain; no use where even all of them wouldn't do
+                after = self._beside(text, pos + off[j] - off[k], ws[j:], True)
+                before = self._beside(text, start, ws[:first][::-1], False)
                 top = max(top, mine + before + after)
         return top
 
@@ -220,31 +256,53 @@ class Passages:
         return [(t, p, self.best(texts[t], p, r)) for (t, p), r in runs.items()]
 
 
-def _matcher(passages: list[str], least: int):
+@lru_cache(maxsize=SCAN_BYTES // TABLE_BYTES)
+def _table(passages: tuple[str, ...]) -> Passages:
+    return Passages(list(passages))
+
+
+def _matcher(tables: list[tuple[str, ...]], least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = Passages(passages)
         for pdf in batches:
             texts = [stream(x) if isinstance(x, str) else b"" for x in pdf["_text"]]
-            hits = [h for h in tables.finds(texts) if h[2] >= least]
-            if hits:
-                docs = pdf["_doc"].to_numpy()
-                yield pd.DataFrame({"_doc": docs[[h[0] for h in hits]], "_passage": [passages[h[1]] for h in hits], "words": [h[2] for h in hits]})
+            docs = pdf["_doc"].to_numpy()
+            for passages in tables:
+                hits = [h for h in _table(passages).finds(texts) if h[2] >= least]
+                if hits:
+                    yield pd.DataFrame({"_doc": docs[[h[0] for h in hits]], "_passage": [passages[h[1]] for h in hits], "words": [h[2] for h in hits]})
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "eval_id", passage: str = "passage", least: int = LEAST) -> DataFrame:
+def _blocks(passages: Iterator[str], size: int) -> Iterator[tuple[str, ...]]:
+    """Passages in blocks of about ``size`` bytes (a longer passage is a block of its own)."""
+    block: list[str] = []
+    held = 0
+    for p in passages:
+        n = len(p.encode("utf-8", "ignore"))
+        if block and held + n > size:
+            yield tuple(block)
+            block, held = [], 0
+        block.append(p)
+        held += n
+    if block:
+        yield tuple(block)
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "eval_id", passage: str = "passage", least: int = LEAST, table_bytes: int = TABLE_BYTES, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(doc, item, ``words``): the documents in which at least ``least`` words of an item's passage stand in order and
     close together, and how many. Items of the same passage all count.
 
     Null and empty texts and passages match nothing; passages of fewer than ``RUN_WORDS`` words have no test string.
     Repeated documents give repeated rows."""
     known = items.where(F.col(passage).isNotNull() & (F.trim(passage) != "")).select(F.col(item).alias("_item"), F.col(passage).alias("_passage"))
-    distinct = [r["_passage"] for r in known.select("_passage").distinct().orderBy("_passage").toLocalIterator()]  # held-out items, one partition at a time
+    distinct = (r["_passage"] for r in known.select("_passage").distinct().orderBy("_passage").toLocalIterator())  # held-out items, a partition at a time
     slim = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
     schema = f"_doc {docs.schema[doc].dataType.simpleString()}, _passage string, words bigint"
     found = docs.sparkSession.createDataFrame([], schema)
-    for k in range(0, len(distinct), ITEMS):
-        found = found.unionByName(slim.mapInPandas(_matcher(distinct[k : k + ITEMS], least), schema))
+    tables = list(_blocks(distinct, table_bytes))
+    each = max(1, scan_bytes // table_bytes)
+    for k in range(0, len(tables), each):
+        found = found.unionByName(slim.mapInPandas(_matcher(tables[k : k + each], least), schema))
     members = cut(known.groupBy("_passage").agg(F.collect_set("_item").alias("_items")))
     return lookup_join(found, members, ["_passage"], "inner").select(F.col("_doc").alias(doc), F.explode("_items").alias(item), "words")

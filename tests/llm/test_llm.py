@@ -198,6 +198,46 @@ def test_leaks_in_all_disguises(spark):
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
 
 
+SCRIPTS = {
+    "ja": "東京証券取引所では半導体関連の銘柄に買いが集まり、指数は三日ぶりに反発した。市場関係者は、円安の進行と米国の金利低下が輸出企業の業績を押し上げるとの見方が広がったためだと説明している。",
+    "el": "Η κεντρική τράπεζα ανακοίνωσε χθες ότι θα διατηρήσει αμετάβλητα τα επιτόκια μέχρι το τέλος του έτους, καθώς ο πληθωρισμός υποχωρεί αργά και οι επενδυτές περιμένουν νέα στοιχεία για την απασχόληση και την παραγωγή.",
+    "ru": "Центральный банк сообщил вчера, что сохранит ключевую ставку без изменений до конца года, поскольку инфляция снижается медленно, а инвесторы ждут новых данных о занятости, производстве и внешней торговле страны.",
+    "th": "ธนาคารกลางประกาศเมื่อวานนี้ว่าจะคงอัตราดอกเบี้ยไว้จนถึงสิ้นปีเนื่องจากเงินเฟ้อลดลงช้าและนักลงทุนกำลังรอข้อมูลใหม่เกี่ยวกับการจ้างงานและการผลิต",
+}
+
+
+def test_leaks_in_every_script(spark):
+    other = passage(77, 200)
+    items = [(k, p) for k, p in enumerate(SCRIPTS.values())]
+    docs, want = [], set()
+    for k, p in items:
+        whole, part = f"{other} {p} {other}", p[len(p) // 5 :]
+        spaced = " ".join(part) if k in (0, 3) else part.upper().replace(" ", "\n ")
+        for n, t in enumerate((p, whole, part, "<p>" + spaced + "</p>", part.replace("、", " ").replace("，", " ").replace(",", " –"), p[: len(p) // 6], other)):
+            docs.append((10 * k + n, t))
+            want |= {(10 * k + n, k)} if n < 5 else set()
+    got = {(r.doc_id, r.eval_id) for r in L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "eval_id bigint, passage string")).collect()}
+    assert got == want
+    assert all(b"".join(L.words(p)) == L.stream(p) for p in SCRIPTS.values())
+
+
+def test_several_tables_and_passes_find_the_same(spark):
+    items = spark.createDataFrame([(i, passage(i)) for i in range(40)], "eval_id bigint, passage string")
+    docs = spark.createDataFrame([(i, passage(200, 100) + " " + passage(i)[20:] + " " + passage(i + 3)) for i in range(30)], "doc_id bigint, text string")
+    whole = {tuple(r) for r in L.leaks(docs, items).collect()}
+    assert {(d, e) for d, e, _ in whole} >= {(i, i) for i in range(30)}
+    assert {tuple(r) for r in L.leaks(docs, items, table_bytes=1000, scan_bytes=3000).collect()} == whole
+
+
+def test_runs_that_recur_do_not_hide_a_chain():
+    """Every run of the first sixteen words has many places, so a chain's true predecessor lies far back."""
+    body = [w.encode() for w in passage(5, 60).replace(".", "").lower().split()][16:56]
+    passages = L.Passages([" ".join(["late ledger muted margin"] * 16 + [w.decode() for w in body])])
+    text = L.stream("late ledger muted margin " * 20 + b" ".join(body[:9] + [b"zzzz"] + body[10:22]).decode())
+    ((_, _, n),) = passages.finds([text])
+    assert n >= 20 + 64 - 12
+
+
 # residue -----------------------------------------------------------------------------------------------------------
 ARTICLE = "Shares of Kelumont Inc. rose 3% on Monday. Traders pointed to the late ledger. The board approved a buyback."
 
