@@ -65,6 +65,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing keeps, whatever it looks like: all tokens, containers within their capacity, and at most
+    1.05 times as many of them as the tokens need, plus 20 (``well_filled``)."""
+    f = packing.fill(_packed(spark, d), _table(spark, d, "container_specs"))
+    fits = _table(spark, d, "container_specs").select("spec_id", "capacity_tokens")
+    return f.join(fits, "spec_id").select("spec_id", "items", "tokens", (F.col("fullest") <= F.col("capacity_tokens")).alias("within"), "least", (F.col("containers") <= 1.05 * F.col("least") + 20).alias("well_filled"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "eval_id").distinct()
 
@@ -77,7 +85,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_best_by_model, p6_ranks_by_date, p6_percentiles_by_date, p6_percentiles_by_model, p6_p99_by_feature, p6_bounded_by_date, p7_found, p7_containers, p8_found, p9_found, p9_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_best_by_model, p6_ranks_by_date, p6_percentiles_by_date, p6_percentiles_by_model, p6_p99_by_feature, p6_bounded_by_date, p7_found, p7_containers, p7_fill, p8_found, p9_found, p9_kept)}
 
 _SCORED = "upprobability IS NOT NULL AND NOT isnan(upprobability)"
 
@@ -99,5 +107,7 @@ FROM (SELECT date, upprobability AS value, count(*) AS n FROM rfpredictions WHER
     "p6_percentiles_by_date": _percentiles("rfpredictions", "date", "upprobability"),
     "p6_percentiles_by_model": _percentiles("rfpredictions", "model_tag", "upprobability"),
     "p6_p99_by_feature": _percentiles("(SELECT lower(feature) AS feature, p99 FROM distribution_summary) AS s", "feature", "p99"),
+    "p7_fill": """SELECT spec_id, count(*) FILTER (n > 0) AS items, CAST(sum(n) AS BIGINT) AS tokens, true AS within, CAST(ceil(sum(n) / capacity_tokens) AS BIGINT) AS least, true AS well_filled
+FROM (SELECT coalesce(octet_length(encode(text)), 0) AS n FROM documents), container_specs GROUP BY spec_id, capacity_tokens""",
     "p7_found": "SELECT spec_id, doc_id FROM documents, container_specs WHERE octet_length(encode(text)) > capacity_tokens",
 }

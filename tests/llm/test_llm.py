@@ -149,6 +149,22 @@ def test_packing_is_whole(spark):
     assert P.pack(docs.limit(0), specs).count() == 0 and P.pack(docs, specs.limit(0)).count() == 0
 
 
+def test_packing_is_the_same_however_rows_lie(spark):
+    rng = random.Random(6)
+    texts = [(i % 150, "é" * rng.choice([0, 1, 5, 30, 63, 64, 65, 200])) for i in range(400)] + [(7, "x" * 100)] * 30 + [(None, "ab")] * 3
+    specs = spark.createDataFrame([(1, 64), (1, 64), (1, 90), (2, 500)], "spec_id bigint, capacity_tokens int")
+    one = P.pack(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1), specs).collect()
+    rng.shuffle(texts)
+    other = P.pack(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(7), specs).collect()
+    assert sorted(map(str, one)) == sorted(map(str, other))
+    sums = {}
+    for r in one:
+        if r.container:
+            sums.setdefault((r.spec_id, r.container), []).append(r.tokens)
+    assert all(sum(x) <= {"1x64": 64, "1x90": 90, "2x500": 500}[c.split("-")[0]] for (_, c), x in sums.items())
+    assert sum(map(sum, sums.values())) == 3 * sum(len(t.encode()) for _, t in texts)
+
+
 def test_tokenizers_of_a_path(spark):
     import public_tokenizers as T
     from tokenizers import Tokenizer
