@@ -8,8 +8,9 @@ above are taken, rows below dropped. A group is finished when exactly as many ro
 one whose interval shrinks to a single value goes on with the next digit.
 
 A pass is one aggregate with map-side combination over (group, part): no group is ever gathered, sorted or ranked, so
-groups of millions of rows cost what their rows cost. The table itself is read three times, with the columns of the code
-in the first two; after that only rows inside intervals remain (about 2**-BITS of those above the first cutoffs).
+groups of millions of rows cost what their rows cost. The table itself is read three times, with the group and the score
+in the first two; after that only rows inside intervals remain (about 2**-BITS of those above the first cutoffs). A digit
+is worked out only where its group's interval is one of that digit, so tie columns cost nothing but for tied rows.
 """
 
 from __future__ import annotations
@@ -51,13 +52,12 @@ def text_chunks(x: Column, chunks: int) -> list[Column]:
     return out
 
 
-def digits(df: DataFrame, column: str, descending: bool) -> list[Column]:
-    """The digits of one column, larger meaning earlier; nulls come last."""
+def digits(df: DataFrame, column: str, descending: bool, longest: int = 0) -> list[Column]:
+    """The digits of one column, larger meaning earlier; nulls come last. ``longest``: bytes of its longest string."""
     kind, x = df.schema[column].dataType, F.col(column)
     if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
         codes = [score_code(x)]
     elif isinstance(kind, T.StringType):
-        longest = df.agg(F.max(F.octet_length(column))).first()[0] or 0
         codes = text_chunks(x, max(1, -(-longest // 7)))
     elif isinstance(kind, T.TimestampType):
         codes = [F.unix_micros(x)]
@@ -71,6 +71,14 @@ def digits(df: DataFrame, column: str, descending: bool) -> list[Column]:
     return [F.coalesce(c if descending else F.bitwise_not(c), least) for c in codes]
 
 
+def _digit(ds: list[Column]) -> Column:
+    """The digit of the number in ``_digit``; branches that aren't taken aren't worked out."""
+    out = F.lit(None).cast("bigint")
+    for k in range(len(ds) - 1, 0, -1):
+        out = F.when(F.col("_digit") == k, ds[k]).otherwise(out)
+    return F.when(F.col("_digit") == 0, ds[0]).otherwise(out)
+
+
 def _part(d: Column, lo: Column, hi: Column) -> Column:
     """Which part of [lo, hi] ``d`` lies in: monotone in ``d``, at most a few hundred parts; 0 where lo isn't known yet."""
 
@@ -103,28 +111,28 @@ def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[
     these compete for the last places, those with the larger hash of the whole row go first; equal rows are
     interchangeable, and as many as places are left are returned. Groups of fewer than ``n`` rows come whole."""
     columns = df.columns
-    own = [score_code(F.col(score))]
-    for c, desc in ties:
-        own += digits(df, c, desc)
-    hashed = [F.xxhash64(*[F.col(c) for c in columns])]
-    ds = own + hashed
-    coded = df.select(*columns, F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]).alias("_g"), F.array(*ds).alias("_d")).where(F.col("_d")[0].isNotNull())
-    first = cut(coded.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("_d")[0]).alias("_lo"), F.max(F.col("_d")[0]).alias("_hi")))
+    code = score_code(F.col(score))
+    coded = df.select(*columns, F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]).alias("_g"), code.alias("_s")).where(F.col("_s").isNotNull())
+    texts = [c for c, _ in ties if isinstance(df.schema[c].dataType, T.StringType)]
+    sizes = [F.max(F.octet_length(c)).alias(f"_o{i}") for i, c in enumerate(texts)]
+    first = cut(coded.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), *sizes))
+    most = first.agg(*[F.max(f"_o{i}") for i in range(len(texts))]).first() if texts else ()
+    longest = {c: most[i] or 0 for i, c in enumerate(texts)}
+    ds = [F.col("_s")] + [x for c, desc in ties for x in digits(df, c, desc, longest.get(c, 0))] + [F.xxhash64(*[F.col(c) for c in columns])]
     state = first.select("_g", F.lit(0).alias("_digit"), "_lo", "_hi", F.lit(n).cast("bigint").alias("_need"), (F.col("_n") <= n).alias("_done"))
     rows, taken = coded, []
     while True:
         joined = lookup_join(rows, state, ["_g"], "inner")
-        d = F.element_at("_d", F.col("_digit") + 1)
         counts = (
-            joined.where(~F.col("_done")).withColumn("_x", d)
+            joined.where(~F.col("_done")).withColumn("_x", _digit(ds))
             .groupBy("_g", "_digit", "_need", _part(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_part"))
             .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
         )
         narrowed = cut(_narrowed(counts))
         whole = state.where("_done").select("_g", "_digit", "_lo", "_hi", "_need", "_done", F.lit(False).alias("_next"))
         decided = cut(narrowed.unionByName(whole))
-        split = lookup_join(rows, decided, ["_g"], "inner").withColumn("_x", F.element_at("_d", F.col("_digit") + 1)).where(F.col("_x") >= F.col("_lo"))
-        split = cut(split.select(*columns, "_g", "_d", (F.col("_done") | (F.col("_x") > F.col("_hi"))).alias("_take")))
+        split = lookup_join(rows, decided, ["_g"], "inner").withColumn("_x", _digit(ds)).where(F.col("_x") >= F.col("_lo"))
+        split = cut(split.select(*columns, "_g", "_s", (F.col("_done") | (F.col("_x") > F.col("_hi"))).alias("_take")))
         taken.append(split.where("_take").select(*columns))
         rows = split.where(~F.col("_take")).drop("_take")
         state = decided.where(~F.col("_done")).select(
