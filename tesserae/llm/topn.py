@@ -28,18 +28,15 @@ from tesserae.plans.scale import cut, lookup_join
 BITS = 6
 PARTS = 1 << BITS
 
+
 def score_code(x: Column) -> Column:
-    """A bigint that orders like the double ``x`` (IEEE bits, negated below zero; -0.0 as 0.0). Null and NaN: null."""
+    """A bigint that orders like the double ``x`` (its IEEE bits, negated below zero; -0.0 as 0.0). Null and NaN: null.
+
+    The bits come from the JVM itself. Spark takes such a call for one that may differ each time, so it neither repeats it
+    in filters nor copies it into several places, which costs more than the call."""
     x = x.cast("double")
-    a = F.abs(x)
-    guess = F.least(F.floor(F.log2(a)), F.lit(1023)).cast("int")  # the logarithm of the largest doubles rounds up to 1024
-    m = a / F.pow(F.lit(2.0), guess)
-    e = F.when(m >= 2, guess + 1).when(m < 1, guess - 1).otherwise(guess)
-    m = F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m)
-    normal = (e.cast("bigint") + 1023) * F.lit(1 << 52) + ((m - 1) * float(1 << 52)).cast("bigint")
-    tiny = (a * float(2**537) * float(2**537)).cast("bigint")
-    code = F.when(a == 0, F.lit(0).cast("bigint")).when(a == float("inf"), F.lit(2047 << 52)).when(a < 2.0**-1022, tiny).otherwise(normal)
-    return F.when(x.isNull() | F.isnan(x), None).when(x < 0, -code).otherwise(code)
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.abs(x)).cast("bigint")
+    return F.when(x.isNull() | F.isnan(x), None).when(x < 0, -bits).otherwise(bits)
 
 
 def text_chunks(x: Column, chunks: int) -> list[Column]:
@@ -111,8 +108,8 @@ def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[
     these compete for the last places, those with the larger hash of the whole row go first; equal rows are
     interchangeable, and as many as places are left are returned. Groups of fewer than ``n`` rows come whole."""
     columns = df.columns
-    code = score_code(F.col(score))
-    coded = df.select(*columns, F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]).alias("_g"), code.alias("_s")).where(F.col("_s").isNotNull())
+    x = F.col(score).cast("double")
+    coded = df.where(x.isNotNull() & ~F.isnan(x)).select(*columns, F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]).alias("_g"), score_code(x).alias("_s"))
     texts = [c for c, _ in ties if isinstance(df.schema[c].dataType, T.StringType)]
     sizes = [F.max(F.octet_length(c)).alias(f"_o{i}") for i, c in enumerate(texts)]
     first = cut(coded.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), *sizes))
