@@ -30,7 +30,7 @@ def price_ratio(q: Dialect) -> Stages:
     return [{"price_differential_ratio": _pdr("1e-6")}]
 
 
-@block("price_differential_ratio")
+@block("price_differential_ratio", looks_ahead=True)
 def ratio_log_scaled(q: Dialect) -> Stages:
     """The adaptive epsilon is the series' whole median, which looks ahead; the reference's own choice."""
     x = "price_differential_ratio"
@@ -44,7 +44,7 @@ def ratio_log_scaled(q: Dialect) -> Stages:
     return [first, {"_log": f"(ln(abs({x}) + _eps) * {q.sign(x)})"}, out]
 
 
-@block("price_differential_ratio")
+@block("price_differential_ratio", looks_ahead=True)
 def ratio_rates(q: Dialect) -> Stages:
     x = "price_differential_ratio"
     first = {"_eps": f"greatest(1e-8, 1e-8 * ({q.quantile_agg(f'abs({x})', 0.5)} {q.whole}))"}
@@ -249,7 +249,7 @@ def market_position(q: Dialect) -> Stages:
     return [a, b]
 
 
-@block("open", "high", "low", "close")
+@block("open", "high", "low", "close", looks_ahead=True)
 def price_action(q: Dialect) -> Stages:
     """The quality score looks at the whole series, as the reference does."""
     least = f"(min(close) {q.whole})"
@@ -293,13 +293,6 @@ def window_shape(q: Dialect) -> Stages:
     return [a, b, c]
 
 
-@block("close")
-def hygiene(q: Dialect) -> Stages:
-    """Forward fill without and with limit, backward fill (looks ahead), lag-one agreement."""
-    gap = "(CASE WHEN volume % 7 < 2 THEN NULL ELSE close END)"
-    return [{"_gappy": gap}, {"filled": q.ffill("_gappy"), "filled_2": q.ffill("_gappy", 2), "filled_back": q.bfill("_gappy")}]
-
-
 def _safe_log(x: str) -> str:
     return f"ln(greatest({x}, 1e-14))"
 
@@ -418,7 +411,7 @@ def volume_trend(q: Dialect) -> Stages:
     return [a, {"volume_trend": q.corr("_i", "volume", 51)}, ]
 
 
-@block("close")
+@block("close", looks_ahead=True)
 def weighted_return(q: Dialect) -> Stages:
     """Daily, weekly, monthly and long returns (rounded to 3, filled backwards, which looks ahead) weighted by how far
     volatility stands from its mean."""

@@ -25,14 +25,16 @@ class Block:
     requires: tuple[str, ...]
     stages: Callable[[Dialect], Stages]
     produces: tuple[str, ...] = field(default=())
+    #: Whether a value may depend on later rows of its entity.
+    looks_ahead: bool = False
 
 
-def block(*requires: str):
+def block(*requires: str, looks_ahead: bool = False):
     """Register the function as a block that needs ``requires``; what it produces is read off its stages."""
 
     def made(fn: Callable[[Dialect], Stages]) -> Block:
         out = tuple(c for stage in fn(SparkDialect()) for c in stage if not c.startswith("_"))
-        b = Block(fn.__name__, requires, fn, out)
+        b = Block(fn.__name__, requires, fn, out, looks_ahead)
         REGISTRY[b.name] = b
         return b
 

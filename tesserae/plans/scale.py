@@ -21,13 +21,16 @@ SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder shared by all executors: ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a
+    temporary folder; on a cluster that is an error, as no folder of one machine would do."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             place = jvm_dir.get()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tesserae-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(place)

@@ -30,7 +30,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
-    return compact(spark, f"{d}/rfpredictions.parquet").merge()
+    """The compacted table; a probability that is no number is null here and marked in ``<column>_nan``, as not every
+    engine's comparison takes NaN for equal."""
+    rows = compact(spark, f"{d}/rfpredictions.parquet").merge()
+    marks = {f"{c}_nan": F.coalesce(F.isnan(c), F.lit(False)) for c in ("upprobability", "downprobability")}
+    return rows.withColumns(marks).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("upprobability", "downprobability")})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +67,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_sectors, p3_found, p3
 _GONE_CLOSE = "(close IS NULL OR NOT isfinite(close) OR close IN (0, -1, -999, -9999, 999999))"
 _GONE_VOLUME = "(volume IS NULL OR NOT isfinite(volume) OR volume IN (-1, -999, -9999))"
 _RF_CONTENT = "date, ticker, open, high, low, close, volume, upprobability, downprobability, positivethreshold, negativethreshold, upprediction, raw_score, vix_close, model_tag, scored_at"
+_SCORES = ("upprobability", "downprobability")
 _CALENDAR = """WITH ends AS (SELECT ticker, min(date) AS a, max(date) AS b FROM pricedata WHERE date IS NOT NULL GROUP BY ticker),
 calendar AS (SELECT ticker, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM ends)"""
 
@@ -77,7 +82,7 @@ def _period(n: int) -> str:
 ORACLE = {
     "p1_found": f"SELECT bar_id, 'close' AS field FROM pricedata WHERE {_GONE_CLOSE} UNION ALL SELECT bar_id, 'volume' FROM pricedata WHERE {_GONE_VOLUME}",
     "p3_found": f"SELECT pred_id FROM (SELECT pred_id, min(pred_id) OVER (PARTITION BY {_RF_CONTENT}) AS first_id FROM rfpredictions) WHERE pred_id > first_id",
-    "p3_compacted": f"SELECT pred_id, {_RF_CONTENT}, file_id FROM (SELECT *, min(pred_id) OVER (PARTITION BY {_RF_CONTENT}) AS first_id FROM rfpredictions) WHERE pred_id = first_id",
+    "p3_compacted": f"SELECT * REPLACE ({', '.join(f'CASE WHEN isfinite({c}) OR isinf({c}) THEN {c} END AS {c}' for c in _SCORES)}), {', '.join(f'coalesce(NOT isfinite({c}) AND NOT isinf({c}), false) AS {c}_nan' for c in _SCORES)} FROM (SELECT pred_id, {_RF_CONTENT}, file_id FROM (SELECT *, min(pred_id) OVER (PARTITION BY {_RF_CONTENT}) AS first_id FROM rfpredictions) WHERE pred_id = first_id)",
     "p5_found": f"""{_CALENDAR} SELECT c.ticker, strftime(c.day, '%Y-%m-%d') AS day FROM calendar c WHERE NOT EXISTS
 (SELECT 1 FROM pricedata p WHERE p.ticker = c.ticker AND p.date <= c.day AND p.date > c.day - 7)""",
     "p5_trailing": f"""{_CALENDAR}, daily AS (SELECT ticker, date AS day, count(*) AS bars,

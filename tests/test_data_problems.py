@@ -116,7 +116,48 @@ def test_compaction_is_exact_and_restarts(spark, tmp_path):
     out = merged.collect()
     assert sorted(map(str, (code((r.pred_id, r.date, r.upprobability, r.ticker)) for r in out))) == sorted(map(str, least))
     assert {r.pred_id for r in c.surplus().collect()} == {r[0] for r in rows if r[0] is not None} - set(least.values())
-    assert len(list((tmp_path / "work/merged").glob("part-*"))) == 1
+    assert len(list((tmp_path / "work/merged").glob("*/part-*"))) == 2  # a file a generation, the last and the one before
+    assert c.merge().count() == merged.count() and len(list((tmp_path / "work/merged").glob("*"))) == 2  # nothing new
+
+
+def test_compaction_of_thousands_of_files(spark, tmp_path):
+    """Two thousand files, a batch lost half-way, a merge that fails: readers see the last whole set throughout."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "in").mkdir()
+    rows = [(i, (i * 7) % 900, f"T{(i * 7) % 11}", i // 3) for i in range(6000)]
+    for k in range(2000):
+        part = rows[3 * k : 3 * k + 3]
+        pq.write_table(pa.table({"pred_id": [r[0] for r in part], "upprobability": [r[1] / 900 for r in part], "ticker": [r[2] for r in part], "file_id": [r[3] for r in part]}), tmp_path / "in" / f"{k:05d}.parquet")
+    lost = []
+
+    class Losing(Compactor):
+        def _write(self, batch, batch_id):
+            if batch_id == 2 and not lost:
+                lost.append(batch_id)
+                batch.limit(5).write.mode("overwrite").parquet(f"{self.work}/stage/batch={batch_id:09d}")
+                raise RuntimeError("executor lost")
+            super()._write(batch, batch_id)
+
+    make = lambda: Losing(spark, str(tmp_path / "in"), f"file://{tmp_path}/w", sort=("upprobability",), files_per_batch=500, least_bytes=20_000)
+    with pytest.raises(Exception):
+        make().ingest()
+    assert lost
+    c = make().ingest()
+    want = len({r[1:3] for r in rows})
+    assert c.staged.count() == 6000 and c.merge().count() == want
+    files = list((tmp_path / "w/merged").glob("*/part-*"))
+    assert 2 <= len(files) <= 8
+    pq.write_table(pa.table({"pred_id": [9000, 9001], "upprobability": [5.0, 0.0], "ticker": ["new", "T0"], "file_id": [1, 1]}), tmp_path / "in" / "late.parquet")
+    c = make().ingest()
+    whole = c.distinct
+    c.distinct = lambda: whole().withColumn("upprobability", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception):
+        c.merge()
+    assert make().merged.count() == want
+    assert make().merge().count() == want + 1
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
 
 
 def test_compaction_retry_replaces(spark, tmp_path):
