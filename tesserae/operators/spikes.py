@@ -1,12 +1,14 @@
 """Implausible readings in measurements (problem 4): phase-space thresholding per source.
 
 A source's daily series (log scale) is thresholded in phase space: robust ellipsoids (median absolute deviations times
-the universal threshold sqrt(2 ln n)) over the value about its neighbours, its first and its second difference flag
-spikes; flagged points are replaced by their surroundings and the series is judged again until nothing changes.
-Since prices also move for good, a point counts only when it stands outside the levels before and after it as well, by
-``JUMP`` robust moves. That band is the wider one: the ellipsoids' half widths are about sqrt(2 ln n) = 3.2 moves, so on
-the measured tables (README) the verdicts are the band's and the ellipsoids change none. Runs without a difference that are too long for the source's own rate of repeats are stuck, and
-bounds (sign, high below low) catch the rest.
+``HEAVY`` times the universal threshold sqrt(2 ln n)) over the value about its neighbours, its first and its second
+difference nominate spikes; nominated points are replaced by their surroundings and the series is judged again until
+nothing changes. The universal threshold is that of normal noise; daily moves have heavy tails, hence the factor.
+
+A nominated point is confirmed by an exact test that the move didn't last, which splits and results do: it stands outside
+the levels before and after it, by ``OFF`` robust moves (more at the ends, where only one level is known). Both parts
+decide: see the README for how many readings each spares. Runs without a difference that are too long for the source's own
+rate of repeats are stuck, and bounds (sign, high below low) catch the rest.
 
 For fixed surroundings each ellipsoid test is a quadratic in the reading, so a day's verdict is an interval of accepted
 readings. The kernel returns these intervals; every landed row is held against its day's, so a second landing of the
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from tesserae.functions.missing import finite
 from tesserae.operators.fill import BAR_FIELDS, Numeric, usable
 
-#: How many robust moves off the levels before and after a reading must be; more where only one side is known.
-JUMP, JUMP_AT_END = 8.0, 11.0
+#: Half widths of the ellipsoids, in universal thresholds.
+HEAVY = 4.0
+#: How many robust moves off the levels before and after a nominated reading must be; more where only one side is known.
+OFF, OFF_AT_END = 4.0, 11.0
 #: A run is stuck when the source's own rate of repeats makes one that long rarer than this over its whole series.
 RARE = 1e-3
 #: Days on each side that tell the levels.
@@ -74,7 +78,7 @@ def accepted(x: np.ndarray, tick: float) -> tuple[np.ndarray, np.ndarray]:
     n = len(x)
     if n < 5:
         return np.full(n, -np.inf), np.full(n, np.inf)
-    y, lam = x.copy(), math.sqrt(2 * math.log(n))
+    y, lam = x.copy(), HEAVY * math.sqrt(2 * math.log(n))
     lo = hi = None
     for _ in range(ROUNDS):
         before, after = _sides(y)
@@ -103,9 +107,9 @@ def accepted(x: np.ndarray, tick: float) -> tuple[np.ndarray, np.ndarray]:
         k2 = k2 if abs(k2) > 1e-9 else 1e-9
         l3, h3 = _within(-m1 / k1, lam * math.sqrt(ra) / abs(k1), -m2 / k2, lam * math.sqrt(rb) / abs(k2), 1.0)
         el, eh = np.maximum(np.maximum(l1, l2), l3), np.minimum(np.minimum(h1, h2), h3)
-        width = np.where(end, JUMP_AT_END, JUMP) * s1
+        width = np.where(end, OFF_AT_END, OFF) * s1
         bl, bh = np.minimum(a, b) - width, np.maximum(a, b) + width
-        inside = el <= eh
+        inside = el <= eh  # readings that the ellipsoids don't nominate, and those whose move may last, are accepted
         lo, hi = np.where(inside, np.minimum(el, bl), bl), np.where(inside, np.maximum(eh, bh), bh)
         clean = np.where((x < lo) | (x > hi), centre, x)
         if np.array_equal(clean, y):

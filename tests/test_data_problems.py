@@ -239,6 +239,35 @@ def test_spike_interval_matches_brute_force():
         assert [i for i in range(80) if not lo[i] <= y[i] <= hi[i]] == [at]
 
 
+def heavy(seed, n=400):
+    """A walk whose moves have heavy tails, with three planted spikes."""
+    rng = np.random.default_rng(seed)
+    x = np.cumsum(rng.standard_t(3, n) * 0.01)
+    x[[50, 200, 333]] += [0.9, -0.8, 1.0]
+    return x
+
+
+def flags(x):
+    lo, hi = spikes.accepted(x, 1e-4)
+    return set(np.flatnonzero((x < lo) | (x > hi)).tolist())
+
+
+def test_ellipsoids_and_levels_both_decide(monkeypatch):
+    planted = {50, 200, 333}
+    both = [flags(heavy(k)) for k in range(20)]
+    assert all(planted <= f for f in both) and sum(len(f - planted) for f in both) <= 2
+    with monkeypatch.context() as m:
+        m.setattr(spikes, "HEAVY", 1e-9)  # ellipsoids that nominate everything
+        without = [flags(heavy(k)) for k in range(20)]
+    assert all(planted <= f for f in without) and sum(len(f - planted) for f in without) >= 8
+    lasting = np.concatenate([np.zeros(100), np.full(100, 2.0)]) + np.random.default_rng(1).normal(0, 0.01, 200)
+    assert flags(lasting) == set()
+    with monkeypatch.context() as m:
+        m.setattr(spikes, "OFF", -1e9)  # levels that confirm everything
+        m.setattr(spikes, "OFF_AT_END", -1e9)
+        assert flags(lasting)
+
+
 def test_trailing_matches_brute_force(spark):
     rows = [(1, D0, "A", 1.0, 1.0, 1.0, 10.0, 5.0, "x"), (2, D0 + dt.timedelta(days=3), "A", 1.0, 1.0, 1.0, 20.0, None, "x"), (3, D0 + dt.timedelta(days=3), "A", 1.0, 1.0, 1.0, float("nan"), 7.0, "x"),
             (4, D0 + dt.timedelta(days=15), "A", 1.0, 1.0, 1.0, 30.0, 1.0, "x"), (5, None, "A", 1.0, 1.0, 1.0, 1.0, 1.0, "x"), (6, D0, None, 1.0, 1.0, 1.0, 4.0, 2.0, "x")]
