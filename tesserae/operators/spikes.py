@@ -6,7 +6,7 @@ difference nominate spikes; nominated points are replaced by their surroundings
 nothing changes. The universal threshold is that of normal noise; daily moves have heavy tails, hence the factor.
 
 A nominated point is confirmed by an exact test that the move didn't last, which splits and results do: it stands outside
-the levels before and after it, by ``OFF`` robust moves (more at the ends, where only one level is known). Both parts
+the levels before and after it, by ``OFF`` robust moves (more where only one level tells: at the ends, and beside a lasting move). Both parts
 decide: see the README for how many readings each spares. Runs without a difference that are too long for the source's own
 rate of repeats are stuck, and bounds (sign, high below low) catch the rest.
 
@@ -34,7 +34,7 @@ from tesserae.operators.fill import BAR_FIELDS, Numeric, usable
 
 #: Half widths of the ellipsoids, in universal thresholds.
 HEAVY = 4.0
-#: How many robust moves off the levels before and after a nominated reading must be; more where only one side is known.
+#: How many robust moves off the levels before and after a nominated reading must be; more where only one side tells.
 OFF, OFF_AT_END = 4.0, 11.0
 #: A run is stuck when the source's own rate of repeats makes one that long rarer than this over its whole series.
 RARE = 1e-3
@@ -107,7 +107,8 @@ def accepted(x: np.ndarray, tick: float) -> tuple[np.ndarray, np.ndarray]:
         k2 = k2 if abs(k2) > 1e-9 else 1e-9
         l3, h3 = _within(-m1 / k1, lam * math.sqrt(ra) / abs(k1), -m2 / k2, lam * math.sqrt(rb) / abs(k2), 1.0)
         el, eh = np.maximum(np.maximum(l1, l2), l3), np.minimum(np.minimum(h1, h2), h3)
-        width = np.where(end, OFF_AT_END, OFF) * s1
+        alone = end | (np.abs(a - b) > OFF_AT_END * s1)  # a lasting move lies between the levels, so only one of them tells
+        width = np.where(alone, OFF_AT_END, OFF) * s1
         bl, bh = np.minimum(a, b) - width, np.maximum(a, b) + width
         inside = el <= eh  # readings that the ellipsoids don't nominate, and those whose move may last, are accepted
         lo, hi = np.where(inside, np.minimum(el, bl), bl), np.where(inside, np.maximum(eh, bh), bh)
