@@ -4,7 +4,9 @@ Numeric fields: a mixed-effects prediction on the log scale,
 
     y[g, t] = mean + group[g] + local[g, block(t)] + time[t] + error,
 
-whose effects are shrunken means (n * mean / (n + k), k = error variance / effect variance, both estimated by moments).
+whose effects are shrunken means: mean * effect variance / (effect variance + error variance of the mean). The variance
+components are estimated by moments from sums of squares, less what sampling error puts into them (see
+:func:`components`), so small groups and cells are shrunk as much as their size asks for.
 ``local`` is the group's level within a block of days, nested in the group, so that a drifting level is followed.
 Categorical fields: a multinomial model, log P(c) + log P(c | group) / P(c) + log P(c | time) / P(c), whose conditional
 shares are shrunk towards the marginal ones. Every fill is marked in ``<field>_filled``.
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ from tesserae.plans.scale import BROADCAST_ROWS, at_most, cut, lookup_join
 
 @dataclass(frozen=True)
 class Numeric:
-    """A numeric field. ``far``: how many times off its group's level a positive reading must be to be none at all."""
+    """A numeric field. ``zero_is_real``: a 0 is a reading (of a day without trade, say), which is kept but tells nothing
+    about a level, so it takes no part in fits. ``far``: how many times off its group's level a positive reading must be to be none at all."""
 
     name: str
     zero_is_real: bool = False
@@ -45,7 +47,7 @@ class Numeric:
         return F.coalesce(sign, F.lit(False)) | F.coalesce(off, F.lit(False))
 
     def log(self, x: Column) -> Column:
-        return F.when(x >= 0, F.log1p(x)) if self.zero_is_real else F.when(x > 0, F.ln(x))
+        return F.when(x > 0, F.log1p(x)) if self.zero_is_real else F.when(x > 0, F.ln(x))
 
     def back(self, y: Column) -> Column:
         return F.greatest(F.expm1(y), F.lit(0.0)) if self.zero_is_real else F.exp(y)
@@ -59,14 +61,10 @@ def stand_ins(df: DataFrame, fields: tuple[Numeric, ...], group: str, least_grou
     """The constants feeds use for "no value", as (field, value): readings that cannot be and either have the form of
     such a constant or recur in at least ``least_groups`` groups and ``share`` of all groups with an impossible reading.
     A positive constant of fewer than five nines must recur in any case. ``df`` has ``_level_<field>``, its group's median."""
-    cells = reduce(
-        DataFrame.unionByName,
-        [
-            df.where(f.impossible(finite(F.col(f.name)), F.col(f"_level_{f.name}"))).select(F.lit(f.name).alias("_field"), finite(F.col(f.name)).alias("_value"), F.col(group).alias("_group"))
-            for f in fields
-        ],
-    )
-    each = cells.groupBy("_field", "_value", "_group").count().groupBy("_field", "_value").agg(F.count("_group").alias("_groups"))
+    found = F.array(*[F.when(f.impossible(finite(F.col(f.name)), F.col(f"_level_{f.name}")), F.struct(F.lit(f.name).alias("f"), finite(F.col(f.name)).alias("v"))) for f in fields])
+    cells = df.select(F.col(group).alias("_group"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_x")).select(F.col("_x.f").alias("_field"), F.col("_x.v").alias("_value"), "_group")
+    cells = cut(cells.groupBy("_field", "_value", "_group").count())  # impossible readings only, a row a distinct one
+    each = cells.groupBy("_field", "_value").agg(F.count("_group").alias("_groups"))
     total = cells.groupBy("_field", "_group").count().groupBy("_field").agg(F.count("_group").alias("_all"))  # a row a field
     recurs = (F.col("_groups") >= least_groups) & (F.col("_groups") >= share * F.col("_all"))
     by_form = stand_in_form(F.col("_value")) & ((F.col("_value") <= 0) | (F.col("_value") >= 99999) | (F.col("_groups") >= 2))
@@ -91,6 +89,39 @@ def usable(df: DataFrame, fields: tuple[Numeric, ...] = BAR_FIELDS, group: str =
     return out.drop(*[f"_level_{f.name}" for f in fields], *[f"_const_{f.name}" for f in fields])
 
 
+def components(groups: DataFrame, f: str) -> list[Column]:
+    """Aggregates over ``groups`` for the variance components of field ``f``, and ``mu``.
+
+    With n_gb values in cell (g, b), N_g in group g, N in all, B_g cells and G groups, the sums of squares have the
+    expectations (Henderson's first method)
+
+        within cells    (N - B) ve
+        cells in group  sum_g (N_g - sum_b n_gb^2 / N_g) vl + (B - G) ve
+        groups          (N - sum_g N_g^2 / N) vg + (sum_gb n_gb^2 / N_g - sum_gb n_gb^2 / N) vl + (G - 1) ve
+
+    which are solved from the top, floored at zero."""
+    n, s = F.col("_N_" + f), F.col("_S_" + f)
+    c = lambda k: F.coalesce(F.sum(f"_{k}_{f}"), F.lit(0.0))
+    known = F.when(n > 0, 1).otherwise(0)
+    total, mean_square = F.sum(n), F.sum(F.try_divide(s * s, n.cast("double"))) - F.try_divide(F.sum(s) * F.sum(s), F.sum(n).cast("double"))
+    return [
+        F.coalesce(total, F.lit(0)).alias("N_" + f), F.sum(known).alias("G_" + f), c("B").alias("B_" + f), F.try_divide(F.sum(s), total).alias("mu_" + f), c("W").alias("W_" + f), c("C").alias("C_" + f), F.coalesce(mean_square, F.lit(0.0)).alias("M_" + f),
+        F.sum(F.try_divide(F.col("_Q_" + f).cast("double"), n)).alias("q_" + f), F.sum(F.col("_Q_" + f)).alias("Q_" + f), F.sum(n.cast("double") * n).alias("NN_" + f),
+    ]
+
+
+def solved(one: dict, f: str) -> tuple[float, float, float, float]:
+    """(mu, ve, vl, vg) of :func:`components`' sums."""
+    g = lambda k: float(one[f"{k}_{f}"] or 0)
+    n, groups, cells = g("N"), g("G"), g("B")
+    ve = max(g("W") / (n - cells), 1e-8) if n > cells else 1e-8
+    room = n - g("q")
+    vl = max((g("C") - (cells - groups) * ve) / room, 0.0) if room > 1e-9 else 0.0
+    room = n - g("NN") / n if n else 0.0
+    vg = max((g("M") - (g("q") - g("Q") / n) * vl - (groups - 1) * ve) / room, 0.0) if room > 1e-9 else 0.0
+    return g("mu"), ve, vl, vg
+
+
 def _cell_effects(rows: DataFrame, fields: tuple[Numeric, ...], group: str, y: str) -> DataFrame:
     """(group, _block) -> ``_e_<field>``: shrunken group effect plus the nested local one."""
     cells = cut(
@@ -98,49 +129,35 @@ def _cell_effects(rows: DataFrame, fields: tuple[Numeric, ...], group: str, y: s
             *[c for f in fields for c in (F.count(y + f.name).alias("_n_" + f.name), F.sum(y + f.name).alias("_s_" + f.name), F.sum(F.col(y + f.name) ** 2).alias("_q_" + f.name))]
         )
     )
-    stats = []
-    for f in fields:
-        n, s, q = (F.col(p + f.name) for p in ("_n_", "_s_", "_q_"))
-        stats += [
-            F.try_divide(F.sum(s), F.sum(n)).alias("_mu_" + f.name),
-            F.greatest(F.try_divide(F.sum(F.when(n > 1, q - s * s / n)), F.sum(F.when(n > 1, n - 1))), F.lit(1e-8)).alias("_ve_" + f.name),
+    sums = []
+    for f in (x.name for x in fields):
+        n, s, q = F.col("_n_" + f).cast("double"), F.col("_s_" + f), F.col("_q_" + f)
+        square = F.try_divide(s * s, n)
+        sums += [
+            F.sum("_n_" + f).alias("_N_" + f), F.sum(s).alias("_S_" + f), F.sum(F.when(n > 0, 1).otherwise(0)).alias("_B_" + f), F.sum(n * n).alias("_Q_" + f), F.sum(q - square).alias("_W_" + f),
+            (F.sum(square) - F.try_divide(F.sum(s) * F.sum(s), F.sum(n))).alias("_C_" + f),
         ]
-    one = cells.agg(*[F.coalesce(c, F.lit(v)).alias(name) for c, v, name in _named(stats, fields)]).first()
-    whole = Window.partitionBy(group)
+    groups = cut(cells.groupBy(group).agg(*sums))
+    one = groups.agg(*[c for f in fields for c in components(groups, f.name)]).first().asDict()
     run = Window.partitionBy(group).orderBy("_block")  # at most one row a block of the calendar
-    out = cells
-    for f in fields:
-        n, s = F.col("_n_" + f.name), F.col("_s_" + f.name)
-        out = out.withColumn("_gm_" + f.name, F.try_divide(F.sum(s).over(whole), F.sum(n).over(whole))).withColumn("_gn_" + f.name, F.sum(n).over(whole)).withColumn("_cm_" + f.name, F.try_divide(s, n.cast("double")))
-    spread = out.agg(
-        *[
-            c
-            for f in fields
-            for c in (
-                F.avg(F.when(F.col("_n_" + f.name) > 0, (F.col("_cm_" + f.name) - F.col("_gm_" + f.name)) ** 2)).alias("_vl_" + f.name),
-                F.var_pop("_gm_" + f.name).alias("_vg_" + f.name),
-            )
-        ]
-    ).first()
-    for f in fields:
-        ve, mu = one["_ve_" + f.name], one["_mu_" + f.name]
-        kg, kl = ve / max(spread["_vg_" + f.name] or 0.0, 1e-8), ve / max(spread["_vl_" + f.name] or 0.0, 1e-8)
-        gn, n = F.col("_gn_" + f.name), F.col("_n_" + f.name)
-        g = F.coalesce((F.col("_gm_" + f.name) - mu) * gn / (gn + kg), F.lit(0.0))
-        local = F.when(n > 0, (F.col("_cm_" + f.name) - mu - g) * n / (n + kl))
-        out = out.withColumn("_l_" + f.name, local).withColumn("_g_" + f.name, g)
-        before = F.last("_l_" + f.name, True).over(run.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.first("_l_" + f.name, True).over(run.rowsBetween(1, Window.unboundedFollowing))
+    effects = []
+    for f in (x.name for x in fields):
+        mu, ve, vl, vg = solved(one, f)
+        n, s = F.col("_N_" + f).cast("double"), F.col("_S_" + f)
+        noise = F.col("_Q_" + f) * vl / (n * n) + F.lit(ve) / n
+        effects.append(F.when(n > 0, (s / n - mu) * F.try_divide(F.lit(vg), F.lit(vg) + noise)).otherwise(0.0).alias("_g_" + f))
+    out = lookup_join(cells, cut(groups.select(group, *effects)), [group])
+    for f in (x.name for x in fields):
+        mu, ve, vl, _ = solved(one, f)
+        n, g = F.col("_n_" + f), F.coalesce("_g_" + f, F.lit(0.0))
+        out = out.withColumn("_l_" + f, F.when(n > 0, (F.col("_s_" + f) / n - mu - g) * (vl / (F.lit(vl) + F.lit(ve) / n))))
+        before = F.last("_l_" + f, True).over(run.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("_l_" + f, True).over(run.rowsBetween(1, Window.unboundedFollowing))
         between = F.when(before.isNotNull() & after.isNotNull(), (before + after) / 2).otherwise(F.coalesce(before, after, F.lit(0.0)))
-        out = out.withColumn("_e_" + f.name, F.lit(mu) + F.col("_g_" + f.name) + F.coalesce("_l_" + f.name, between))
+        out = out.withColumn("_e_" + f, F.lit(mu) + g + F.coalesce("_l_" + f, between))
     return cut(out.select(group, "_block", *["_e_" + f.name for f in fields]))
 
 
-def _named(stats: list[Column], fields: tuple[Numeric, ...]) -> list[tuple[Column, float, str]]:
-    names = [x for f in fields for x in ("_mu_" + f.name, "_ve_" + f.name)]
-    return [(c, 0.0 if name.startswith("_mu_") else 1e-8, name) for c, name in zip(stats, names)]
-
-
 def fill_numeric(df: DataFrame, fields: tuple[Numeric, ...] = BAR_FIELDS, group: str = "ticker", time: str = "date", block_days: int = 10) -> DataFrame:
     """``df`` with each of ``fields`` filled (as double) and ``<field>_filled`` marking the filled cells."""
     ok = usable(df, fields, group)
@@ -149,13 +166,21 @@ def fill_numeric(df: DataFrame, fields: tuple[Numeric, ...] = BAR_FIELDS, group:
     slim = cut(rows.select(group, time, "_block", *["_y_" + f.name for f in fields]))
     first = _cell_effects(slim, fields, group, "_y_")
     resid = lookup_join(slim, first, [group, "_block"]).withColumns({"_r_" + f.name: F.col("_y_" + f.name) - F.col("_e_" + f.name) for f in fields})
-    each = cut(resid.groupBy(time).agg(*[c for f in fields for c in (F.count("_r_" + f.name).alias("_n_" + f.name), F.avg("_r_" + f.name).alias("_m_" + f.name), F.var_samp("_r_" + f.name).alias("_v_" + f.name))]))
-    times = each
-    moments = each.agg(*[c for f in fields for c in (F.avg("_v_" + f.name).alias("_ve_" + f.name), F.var_pop("_m_" + f.name).alias("_vt_" + f.name))]).first()
-    for f in fields:
-        k = (moments["_ve_" + f.name] or 1e-8) / max(moments["_vt_" + f.name] or 0.0, 1e-8)
-        times = times.withColumn("_t_" + f.name, F.coalesce(F.col("_m_" + f.name) * F.col("_n_" + f.name) / (F.col("_n_" + f.name) + k), F.lit(0.0)))
-    times = cut(times.select(time, *["_t_" + f.name for f in fields]))
+    times = cut(resid.groupBy(time).agg(*[c for f in fields for c in (F.count("_r_" + f.name).alias("_n_" + f.name), F.sum("_r_" + f.name).alias("_s_" + f.name), F.sum(F.col("_r_" + f.name) ** 2).alias("_q_" + f.name))]))
+    sums = []
+    for f in (x.name for x in fields):
+        n, s, q = F.col("_n_" + f).cast("double"), F.col("_s_" + f), F.col("_q_" + f)
+        square = F.try_divide(s * s, n)
+        sums += [F.sum(n).alias("N_" + f), F.sum(F.when(n > 0, 1).otherwise(0)).alias("T_" + f), F.sum(q - square).alias("W_" + f), (F.sum(square) - F.try_divide(F.sum(s) * F.sum(s), F.sum(n))).alias("M_" + f), F.sum(n * n).alias("NN_" + f)]
+    one = times.agg(*sums).first()
+    effects = []
+    for f in (x.name for x in fields):
+        n, t, w, m, nn = (float(one[f"{k}_{f}"] or 0) for k in ("N", "T", "W", "M", "NN"))
+        ve = max(w / (n - t), 1e-8) if n > t else 1e-8
+        vt = max((m - (t - 1) * ve) / (n - nn / n), 0.0) if n and n - nn / n > 1e-9 else 0.0
+        k = F.col("_n_" + f)
+        effects.append(F.when(k > 0, F.col("_s_" + f) / k * (vt / (F.lit(vt) + F.lit(ve) / k))).otherwise(0.0).alias("_t_" + f))
+    times = cut(times.select(time, *effects))
     rest = lookup_join(slim, times, [time]).withColumns({"_z_" + f.name: F.col("_y_" + f.name) - F.coalesce("_t_" + f.name, F.lit(0.0)) for f in fields})
     second = _cell_effects(rest, fields, group, "_z_")
     means = second.agg(*[F.avg("_e_" + f.name).alias(f.name) for f in fields]).first()

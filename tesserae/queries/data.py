@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserae.operators import fill, rolling, spikes
 from tesserae.streaming.compact import compact
@@ -25,6 +26,28 @@ def p1_sectors(spark: SparkSession, d: str) -> DataFrame:
     return fill.fill_categorical(spark.read.parquet(f"{d}/tickerciks.parquet"), "sector", "ticker", "snapshot_date")
 
 
+def p1_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """A ninth of the usable cells, hidden, filled and measured: by field and number of its ticker's usable readings, the
+    cells hidden and whether, over the whole field, the fills' mean error on the log scale is at most 1.05 times that of the
+    ticker's mean (in small tables the two hardly differ for volumes)."""
+    ok = _usable_bars(spark, d).where("date is not null and ticker is not null")
+    hide = (F.col("bar_id") * 7919) % 9 == 4
+    hidden = ok.select("bar_id", "ticker", "date", *[F.when(~hide, F.col(c)).alias(c) for c in ("close", "volume")])
+    filled = fill.fill_numeric(hidden).select("bar_id", *[F.col(c).alias(f"_{c}") for c in ("close", "volume")])
+    logs = {c: f.log(F.col(c)) for f in fill.BAR_FIELDS for c in [f.name]}
+    means = ok.groupBy("ticker").agg(*[x for c in logs for x in (F.avg(F.when(~hide, logs[c])).alias(f"_mean_{c}"), F.count(F.when(F.col(c) > 0, 1)).alias(f"_n_{c}"))])
+    both = ok.where(hide).join(filled, "bar_id").join(means, "ticker")
+    cells = [
+        F.struct(F.lit(f.name).alias("field"), F.col(f"_n_{f.name}").alias("n"), F.when(F.col(f.name) > 0, F.abs(f.log(F.col(f"_{f.name}")) - logs[f.name])).alias("err"), F.when(F.col(f.name) > 0, F.abs(F.col(f"_mean_{f.name}") - logs[f.name])).alias("naive"))
+        for f in fill.BAR_FIELDS
+    ]
+    rows = both.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*").where("err is not null and naive is not null")
+    band = F.when(F.col("n") < 60, "under 60").when(F.col("n") < 120, "60 to 119").otherwise("120 and more")
+    each = rows.groupBy("field", band.alias("readings")).agg(F.count(F.lit(1)).alias("cells"), F.sum("err").alias("err"), F.sum("naive").alias("naive"))
+    w = Window.partitionBy("field")  # a row a band
+    return each.select("field", "readings", "cells", (F.sum("err").over(w) <= 1.05 * F.sum("naive").over(w)).alias("no_worse_than_mean"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return compact(spark, f"{d}/rfpredictions.parquet").surplus().select("pred_id").distinct()
 
@@ -62,7 +85,7 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns(sums | {"day": F.date_format("day", "yyyy-MM-dd")})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_sectors, p3_found, p3_compacted, p4_found, p4_verdicts, p5_found, p5_trailing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_sectors, p1_holdout, p3_found, p3_compacted, p4_found, p4_verdicts, p5_found, p5_trailing)}
 
 _GONE_CLOSE = "(close IS NULL OR NOT isfinite(close) OR close IN (0, -1, -999, -9999, 999999))"
 _GONE_VOLUME = "(volume IS NULL OR NOT isfinite(volume) OR volume IN (-1, -999, -9999))"
@@ -79,7 +102,16 @@ def _period(n: int) -> str:
     return ", ".join(parts)
 
 
+
+
+def _held_out(field: str, gone: str) -> str:
+    return f"""SELECT '{field}' AS field, CASE WHEN n < 60 THEN 'under 60' WHEN n < 120 THEN '60 to 119' ELSE '120 and more' END AS readings, x FROM (
+SELECT bar_id, {field} AS x, count(CASE WHEN {field} > 0 THEN 1 END) OVER (PARTITION BY ticker) AS n, count(CASE WHEN bar_id * 7919 % 9 <> 4 THEN {field} END) OVER (PARTITION BY ticker) AS seen
+FROM pricedata WHERE date IS NOT NULL AND ticker IS NOT NULL AND NOT {gone}) WHERE bar_id * 7919 % 9 = 4 AND x > 0 AND seen > 0"""
+
+
 ORACLE = {
+    "p1_holdout": f"SELECT field, readings, count(*) AS cells, true AS no_worse_than_mean FROM ({_held_out('close', _GONE_CLOSE)} UNION ALL {_held_out('volume', _GONE_VOLUME)}) GROUP BY field, readings",
     "p1_found": f"SELECT bar_id, 'close' AS field FROM pricedata WHERE {_GONE_CLOSE} UNION ALL SELECT bar_id, 'volume' FROM pricedata WHERE {_GONE_VOLUME}",
     "p3_found": f"SELECT pred_id FROM (SELECT pred_id, min(pred_id) OVER (PARTITION BY {_RF_CONTENT}) AS first_id FROM rfpredictions) WHERE pred_id > first_id",
     "p3_compacted": f"SELECT * REPLACE ({', '.join(f'CASE WHEN isfinite({c}) OR isinf({c}) THEN {c} END AS {c}' for c in _SCORES)}), {', '.join(f'coalesce(NOT isfinite({c}) AND NOT isinf({c}), false) AS {c}_nan' for c in _SCORES)} FROM (SELECT pred_id, {_RF_CONTENT}, file_id FROM (SELECT *, min(pred_id) OVER (PARTITION BY {_RF_CONTENT}) AS first_id FROM rfpredictions) WHERE pred_id = first_id)",

@@ -67,6 +67,35 @@ def test_fill_beats_the_group_mean(spark):
     assert err < 0.5 * naive
 
 
+def test_variance_components_are_those_of_the_model(spark):
+    """Simulated groups of very different sizes: the moments find the spreads that made them, sampling error aside."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(400):
+        level = rng.normal(0, 1.0)
+        for b in range(int(rng.integers(1, 9))):
+            local = rng.normal(0, 0.4)
+            rows += [(f"g{g}", b, float(5 + level + local + e)) for e in rng.normal(0, 0.8, int(rng.integers(1, 6)))]
+    df = spark.createDataFrame(rows, "g string, _block int, y double")
+    cells = df.groupBy("g", "_block").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") ** 2).alias("q"))
+    square = F.col("s") ** 2 / F.col("n")
+    groups = cells.groupBy("g").agg(F.sum("n").alias("_N_x"), F.sum("s").alias("_S_x"), F.count(F.lit(1)).alias("_B_x"), F.sum(F.col("n") ** 2).alias("_Q_x"), F.sum(F.col("q") - square).alias("_W_x"), (F.sum(square) - F.sum("s") ** 2 / F.sum("n")).alias("_C_x"))
+    mu, ve, vl, vg = fill.solved(groups.agg(*fill.components(groups, "x")).first().asDict(), "x")
+    assert abs(mu - 5) < 0.2 and abs(ve - 0.64) < 0.06 and abs(vl - 0.16) < 0.07 and abs(vg - 1.0) < 0.25
+
+
+def test_small_groups_are_shrunk(spark):
+    """Groups of one level and much noise: a group of one reading far off is filled near the level, a group of many near
+    its own mean."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k, t in enumerate("ABCDEFGH"):
+        rows += [(1000 * k + i, D0 + dt.timedelta(days=i), t, 1.0, 1.0, 1.0, float(10 * np.exp(rng.normal(0, 0.4))), 5.0, "x") for i in range(80)]
+    rows += [(9000, D0, "Z", 1.0, 1.0, 1.0, 40.0, 5.0, "x"), (9001, D0 + dt.timedelta(days=1), "Z", 1.0, 1.0, 1.0, None, 5.0, "x")]
+    out = fill.fill_numeric(frame(spark, rows)).where("bar_id = 9001").collect()[0]
+    assert out.close_filled and 8 < out.close < 18
+
+
 def test_fill_of_nothing(spark):
     assert fill.fill_numeric(frame(spark, [])).count() == 0
     allnull = frame(spark, [(1, D0, "A", None, None, None, None, None, None)])
