@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.plans.scale import cut, running_total
+from tesserae.plans.scale import cut, lookup_join, quantiles, running_total
 
 
 def average_rank(x: str, by: list[str]) -> Column:
@@ -42,10 +42,66 @@ def zscore(x: str, by: list[str]) -> Column:
     return (F.col(x) - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + 1e-10)
 
 
-def top_label(ret: str, by: list[str], share: float) -> Column:
-    """1 where a return reaches its time's (1 - share) quantile (linear)."""
-    cut = F.expr(f"percentile({ret}, {1 - share})").over(Window.partitionBy(*by))
-    return F.when(F.col(ret) >= cut, 1).otherwise(0)
+def top_label(df: DataFrame, ret: str, by: list[str], share: float, label: str = "label") -> DataFrame:
+    """``df`` with ``label``: 1 where a return reaches its time's (1 - share) quantile (linear), otherwise 0. The cutoffs come
+    from range-sorted counts, so a time of any size is spread over tasks."""
+    cutoffs = cut(quantiles(df, by, ret, {"_cutoff": 1 - share}))
+    return lookup_join(df, cutoffs, by).withColumn(label, F.when(F.col(ret) >= F.col("_cutoff") - 1e-15, 1).otherwise(0)).drop("_cutoff")
+
+
+def risk_adjusted_label(df: DataFrame, ret: str, vol: str, by: list[str], share: float, floor: float = 1e-3, label: str = "label") -> DataFrame:
+    """:func:`top_label` of the return over the volatility, the latter at least ``floor``."""
+    return top_label(df.withColumn("_ra", F.col(ret) / F.greatest(F.col(vol), F.lit(floor))), "_ra", by, share, label).drop("_ra")
+
+
+def labelled(df: DataFrame, mode: str, ret: str, by: list[str], share: float = 0.1, vol: str | None = None) -> DataFrame:
+    """``df`` with ``label`` by mode: 'binary_up' (a positive return), 'topq' or 'risk_adj_topq'."""
+    if mode == "binary_up":
+        return df.withColumn("label", F.when(F.col(ret) > 0, 1).otherwise(0))
+    if mode == "topq":
+        return top_label(df, ret, by, share)
+    if mode == "risk_adj_topq" and vol:
+        return risk_adjusted_label(df, ret, vol, by, share)
+    raise ValueError(f"no label of mode {mode}")
+
+
+def forward_returns(df: DataFrame, entity: str, time: str, price: str, horizons: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """``df`` with ``ret_<h>`` over the next h rows of an entity; its last max(horizons) rows, which lack them, go."""
+    w = Window.partitionBy(entity).orderBy(time)
+    back = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(time)))
+    out = df.withColumns({f"ret_{h}": F.try_divide(F.lead(price, h).over(w), F.col(price)) - 1 for h in horizons}).withColumn("_back", back)
+    return out.where(F.col("_back") > max(horizons)).drop("_back")
+
+
+def trailing_percentile(df: DataFrame, entity: str, time: str, score: str, rows: int = 252, least: int = 60) -> DataFrame:
+    """``df`` with ``ts_pctile``: the average rank of a score among the entity's last ``rows`` ones (itself included), as a
+    share; null with fewer than ``least`` known. Windows are bounded by ``rows``."""
+    w = Window.partitionBy(entity).orderBy(time).rowsBetween(1 - rows, 0)
+    seen = F.collect_list(F.col(score).cast("double")).over(w)
+    df = df.withColumn("_seen", seen)
+    x = F.col(score).cast("double")
+    n = F.size("_seen")
+    below, same = F.size(F.filter("_seen", lambda v: v < x)), F.size(F.filter("_seen", lambda v: v == x))
+    return df.withColumn("ts_pctile", F.when((n >= least) & x.isNotNull(), (below + (same + 1) / 2) / n)).drop("_seen")
+
+
+def percentile_signal(pctile: Column, inside: Column, lo: float = 0.65, hi: float = 0.98) -> tuple[Column, Column]:
+    """(probability, prediction) of a trailing percentile: .30 + .40 p, .30 while unknown or not ``inside`` the universe;
+    1 within [lo, hi), 0 for the others inside, -1 outside."""
+    p = F.when(inside & pctile.isNotNull(), F.lit(0.30) + 0.40 * pctile).otherwise(F.lit(0.30))
+    return p, F.when(inside & (pctile >= lo) & (pctile < hi), 1).when(inside, 0).otherwise(-1)
+
+
+def universe_rank(df: DataFrame, x: str, by: list[str], inside: Column, default: float = 0.5) -> DataFrame:
+    """``df`` with ``<x>_xs``: percent rank among the rows ``inside`` of each time; ``default`` for the others and for
+    unknown values."""
+    df = df.withColumn("_in", F.coalesce(inside, F.lit(False)))
+    return df.withColumn(f"{x}_xs", F.when(F.col("_in"), F.coalesce(pct_rank(x, [*by, "_in"]), F.lit(default))).otherwise(F.lit(default))).drop("_in")
+
+
+def shuffled_within(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
+    """``df`` with ``place``: a seeded order of the rows of each time, the same on every run."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))))
 
 
 def top_k(df: DataFrame, score: str, by: str, share: float, least_rows: int, tie: list[Column]) -> DataFrame:
@@ -86,9 +142,9 @@ def rank_correlations(df: DataFrame, x: str, y: str, by: str, least: int = 5) ->
 
 def quantile_bins(df: DataFrame, x: str, bins: int) -> DataFrame:
     """``df`` with ``bin`` (1-based, right-closed, equal edges dropped), null for unknown values. Edges are the exact
-    linear quantiles of the whole column, taken as literals."""
-    probs = ", ".join(str(k / bins) for k in range(1, bins))
-    edges = df.agg(F.expr(f"array_distinct(percentile({x}, array({probs})))").alias("e")).first()["e"] or []
+    linear quantiles of the whole column, from range-sorted counts, taken as literals."""
+    found = quantiles(df, [], x, {f"e{k}": k / bins for k in range(1, bins)}).first()
+    edges = sorted({e for e in (found or ()) if e is not None})
     return df.withColumn("bin", F.when(F.col(x).isNotNull(), sum((F.when(F.col(x) > e, 1).otherwise(0) for e in edges), F.lit(1))))
 
 
@@ -111,9 +167,15 @@ def precision_threshold(df: DataFrame, score: str, label: str, target: float, le
 
 
 def rescaled(rank: Column, share: float) -> Column:
-    """Ranks of the top ``share`` to [0.45, 0.70], the rest to [0.30, 0.44]."""
-    cut = 1 - share
-    return F.when(rank >= cut, F.lit(0.45) + 0.25 * (rank - cut) / max(share, 1e-9)).otherwise(F.lit(0.30) + 0.14 * rank / max(cut, 1e-9))
+    """Ranks of the top ``share`` to [0.45, 0.70], the rest to [0.30, 0.44], clipped to [0.30, 0.70]; 0.30 where unknown."""
+    at = 1 - share
+    raw = F.when(rank >= at, F.lit(0.45) + 0.25 * (rank - at) / max(share, 1e-9)).otherwise(F.lit(0.30) + 0.14 * rank / max(at, 1e-9))
+    return F.coalesce(F.least(F.greatest(raw, F.lit(0.30)), F.lit(0.70)), F.lit(0.30))
+
+
+def rank_signal(rank: Column, inside: Column, share: float) -> Column:
+    """1 in the top ``share``, 0 for the others ``inside`` the universe, -1 outside."""
+    return F.when(inside & (rank >= 1 - share), 1).when(inside, 0).otherwise(-1)
 
 
 def time_split(df: DataFrame, time: str, train_pct: float, calib_pct: float, embargo_days: int) -> DataFrame:

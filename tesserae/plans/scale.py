@@ -99,3 +99,34 @@ def running_total(df: DataFrame, order: str, value: str, descending: bool = Fals
         shift = F.when(F.col("_part") == p, F.lit(b)).otherwise(shift)
     w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return ranged.withColumn("_upto", F.sum(value).over(w) + shift).withColumn("_all", F.lit(at)).drop("_part")
+
+
+def grouped_running(counts: DataFrame, groups: list[str], order: str, value: str) -> DataFrame:
+    """``counts`` (one row a (groups, order)) with ``_upto``, the running sum of ``value`` in its group by ``order``, and
+    ``_all``, the group's total. As :func:`running_total`, a group is spread over as many range partitions as it fills;
+    the offsets of partitions are one row a (group, partition) that meet."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)])
+    ranged = cut(counts.repartitionByRange(parts, *groups, order).withColumn("_p", F.spark_partition_id())).withColumn("_key", key)
+    w = Window.partitionBy("_key")
+    sums = ranged.groupBy("_key", "_p").agg(F.sum(value).alias("_t"))
+    offsets = sums.select("_key", "_p", F.coalesce(F.sum("_t").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_t").over(w).alias("_all"))
+    running = F.sum(value).over(Window.partitionBy("_key", "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_run", running).join(offsets, ["_key", "_p"]).select(*counts.columns, (F.col("_run") + F.col("_before")).alias("_upto"), "_all")
+
+
+def quantiles(df: DataFrame, groups: list[str], x: str, probabilities: dict[str, float]) -> DataFrame:
+    """(groups, names of ``probabilities``): linear quantiles of the known values of each group, from value counts that
+    are range-sorted, so neither a group nor a value is ever held by one task. Without groups there is one row."""
+    keys = groups or ["_one"]
+    known = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).withColumns({} if groups else {"_one": F.lit(1)})
+    counts = known.groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    at = grouped_running(counts, keys, "_x", "_n")
+    picks = []
+    for name, p in probabilities.items():
+        place = F.round((F.col("_all") - 1) * F.lit(float(p)), 9)
+        low = F.floor(place)
+        picks += [F.min(F.when(F.col("_upto") >= low + 1, F.col("_x"))).alias(f"_a_{name}"), F.min(F.when(F.col("_upto") >= F.least(low + 2, F.col("_all")), F.col("_x"))).alias(f"_b_{name}"), F.max(place - low).alias(f"_w_{name}")]
+    found = at.groupBy(*keys).agg(*picks)
+    between = lambda n: (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_w_{n}")).alias(n)
+    return found.select(*groups, *[between(n) for n in probabilities])

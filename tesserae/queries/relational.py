@@ -284,7 +284,7 @@ def precision_cutoff(spark, d):
 
 @query(f"""WITH {PANEL}, {FULL}, {RANKED} SELECT ticker, {SDAY}, {R('CASE WHEN rank >= 0.9 THEN 0.45 + 0.25 * (rank - 0.9) / 0.1 ELSE 0.30 + 0.14 * rank / 0.9 END', 'up_probability')}, CASE WHEN ret >= quantile_cont(ret, 0.9) OVER (PARTITION BY date) THEN 1 ELSE 0 END AS label FROM ranked""")
 def rescale_and_top_label(spark, d):
-    r = ranked(spark, d).withColumns({"u": cross.rescaled(F.col("rank"), 0.1), "label": cross.top_label("ret", ["date"], 0.1)})
+    r = cross.top_label(ranked(spark, d).withColumn("u", cross.rescaled(F.col("rank"), 0.1)), "ret", ["date"], 0.1)
     return r.selectExpr("ticker", DAY, R("u", "up_probability"), "label")
 
 
