@@ -27,15 +27,3 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
 def rounded(x: str) -> str:
     """Six decimals for small values, fewer for large ones; a small shift keeps exact halves on one side."""
     return f"(CASE WHEN abs({x}) >= 1e6 THEN round({x} + 0.0313, 0) WHEN abs({x}) >= 1e3 THEN round({x} + 3.13e-5, 3) ELSE round({x} + 3.13e-8, 6) END)"
-
-
-def both(text: str) -> tuple:
-    """(query, SQL) of one text that both engines read, over the tables it names in braces."""
-    import re
-
-    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return spark.sql(text, **{n: table(spark, d, n) for n in names})
-
-    return run, re.sub(r"NOT isnan\((\w+)\)", r"(isfinite(\1) OR isinf(\1))", re.sub(r"\{(\w+)\}", r"\1", text))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.dialect import DuckDialect
-from tesserae.operators import cross, hygiene, joins, metrics, relate, text
-from tesserae.queries.panel import BARS, bars, both, rounded, table
+from tesserae.operators import cross, hygiene, joins, merge, metrics, relate, text
+from tesserae.queries.panel import BARS, bars, rounded, table
+from tesserae.sources import io
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,11 +25,6 @@ def query(sql: str | None = None):
     return made
 
 
-def shared(name: str, sql: str) -> None:
-    """A query whose text both engines read."""
-    QUERIES[name], ORACLE[name] = both(sql)
-
-
 def R(expr: str, name: str) -> str:
     return f"{rounded(f'CAST({expr} AS DOUBLE)')} AS {name}"
 
@@ -64,31 +60,11 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 # joins -------------------------------------------------------------------------------------------------------------
-_VIX = "vix AS (SELECT date, max(vix_close) AS vix FROM rfpredictions WHERE date IS NOT NULL AND vix_close > 0 AND day(date) % 3 = 0 GROUP BY date)"
-
-
-def _vix(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rfpredictions").where("date is not null and vix_close > 0 and day(date) % 3 = 0").groupBy("date").agg(F.max("vix_close").alias("vix"))
+_VIX = "vix AS (SELECT date, max(vix_close) AS vix FROM rfpredictions WHERE date IS NOT NULL AND vix_close > 0 GROUP BY date)"
 
 
 @query(f"WITH bars AS ({BARS}), {_VIX} SELECT b.ticker, CAST(b.date AS VARCHAR) AS day, v.vix FROM bars b ASOF LEFT JOIN vix v ON b.date >= v.date")
 def join_asof_index(spark, d):
-    return joins.asof(bars(spark, d), _vix(spark, d), "date").select("ticker", F.col("date").cast("string").alias("day"), "vix")
-
-
-@query(f"""WITH bars AS ({BARS}), p AS (SELECT ticker, date, max(raw_score) AS raw_score FROM rfpredictions WHERE model_tag = 'refit_month' AND date IS NOT NULL AND isfinite(raw_score) GROUP BY ALL)
-SELECT b.ticker, CAST(b.date AS VARCHAR) AS day, p.raw_score FROM bars b ASOF LEFT JOIN p ON b.ticker = p.ticker AND b.date >= p.date""")
-def join_asof_by_ticker(spark, d):
-    p = table(spark, d, "rfpredictions").where("model_tag = 'refit_month' and date is not null and not isnan(raw_score)").groupBy("ticker", "date").agg(F.max("raw_score").alias("raw_score"))
-    return joins.asof(bars(spark, d), p, "date", ["ticker"]).select("ticker", F.col("date").cast("string").alias("day"), "raw_score")
-
-
-_VIX_ALL = _VIX.replace(" AND day(date) % 3 = 0", "")
-
-
-@query(f"WITH bars AS ({BARS}), {_VIX_ALL} SELECT b.ticker, CAST(b.date AS VARCHAR) AS day, v.vix FROM bars b ASOF LEFT JOIN vix v ON b.date >= v.date")
-def join_asof_index_all_days(spark, d):
-    """``join_asof_index`` over every stored day of the index."""
     vix = table(spark, d, "rfpredictions").where("date is not null and vix_close > 0").groupBy("date").agg(F.max("vix_close").alias("vix"))
     return joins.asof(bars(spark, d), vix, "date").select("ticker", F.col("date").cast("string").alias("day"), "vix")
 
@@ -96,8 +72,8 @@ def join_asof_index_all_days(spark, d):
 @query(f"""WITH bars AS ({BARS}), p AS (SELECT ticker, coalesce(model_tag, '') AS model_tag, date, max(raw_score) AS raw_score FROM rfpredictions WHERE date IS NOT NULL AND isfinite(raw_score) GROUP BY ALL),
 wanted AS (SELECT b.ticker, b.date, t.model_tag FROM bars b JOIN (SELECT DISTINCT ticker, model_tag FROM p) t ON b.ticker = t.ticker)
 SELECT w.ticker, CAST(w.date AS VARCHAR) AS day, w.model_tag, p.raw_score FROM wanted w ASOF LEFT JOIN p ON w.ticker = p.ticker AND w.model_tag = p.model_tag AND w.date >= p.date""")
-def join_asof_by_ticker_all_models(spark, d):
-    """``join_asof_by_ticker`` for every model that scored a ticker; a missing tag is ''."""
+def join_asof_by_ticker(spark, d):
+    """For every model that scored a ticker; a missing tag is ''."""
     known = table(spark, d, "rfpredictions").where("date is not null and not isnan(raw_score) and abs(raw_score) < double('infinity')").withColumn("model_tag", F.coalesce("model_tag", F.lit("")))
     p = known.groupBy("ticker", "model_tag", "date").agg(F.max("raw_score").alias("raw_score"))
     wanted = bars(spark, d).select("ticker", "date").join(p.select("ticker", "model_tag").distinct(), "ticker")
@@ -147,54 +123,126 @@ def join_upsert(spark, d):
     return joins.upsert(g(t.where("snapshot_date < '2025-06-30'")), g(t.where("snapshot_date >= '2025-06-30'")), ["ticker"])
 
 
-shared("join_semi_firing", "SELECT bar_id FROM {pricedata} p WHERE EXISTS (SELECT 1 FROM {rfpredictions} r WHERE r.ticker = p.ticker AND r.upprediction = 1)")
-shared("join_anti_unscored", "SELECT bar_id FROM {pricedata} p WHERE NOT EXISTS (SELECT 1 FROM {rfpredictions} r WHERE r.ticker = p.ticker AND r.date = p.date)")
-shared("join_left_universe", "SELECT p.bar_id, u.sector FROM {pricedata} p LEFT JOIN (SELECT ticker, max(sector) AS sector FROM {tickerciks} GROUP BY ticker) u ON p.ticker = u.ticker")
-shared("join_full_counts", "SELECT coalesce(a.ticker, b.ticker) AS ticker, a.n AS bars, b.n AS predictions FROM (SELECT ticker, count(*) AS n FROM {pricedata} GROUP BY ticker) a FULL OUTER JOIN (SELECT ticker, count(*) AS n FROM {rfpredictions} GROUP BY ticker) b ON a.ticker = b.ticker")
-shared("join_lookup_default", "SELECT t.ticker, coalesce(m.zone, 'other') AS zone FROM {tickerciks} t LEFT JOIN (SELECT 'NYSE' AS exchange, 'east' AS zone UNION ALL SELECT 'Nasdaq', 'east') m ON t.exchange = m.exchange")
-shared("join_regime", "SELECT r.pred_id, v.regime FROM {rfpredictions} r LEFT JOIN (SELECT date, CASE WHEN max(vix_close) < 15 THEN 0 WHEN max(vix_close) < 20 THEN 1 WHEN max(vix_close) < 30 THEN 2 ELSE 3 END AS regime FROM {rfpredictions} WHERE vix_close IS NOT NULL AND NOT isnan(vix_close) GROUP BY date) v ON r.date = v.date")
-shared("ensemble_mean", "SELECT ticker, CAST(date AS STRING) AS day, round(avg(upprobability) + 1e-9, 6) AS mean_up, count(DISTINCT model_tag) AS models FROM {rfpredictions} WHERE upprobability IS NOT NULL AND NOT isnan(upprobability) GROUP BY ticker, date HAVING count(DISTINCT model_tag) >= 2")
-shared("set_union_all", "SELECT ticker FROM {pricedata} UNION ALL SELECT ticker FROM {tickerciks}")
-shared("set_intersect_dates", "SELECT CAST(date AS STRING) AS day FROM {pricedata} WHERE date IS NOT NULL INTERSECT SELECT CAST(date AS STRING) AS day FROM {rfpredictions} WHERE date IS NOT NULL")
-shared("set_except_tickers", "SELECT ticker FROM {tickerciks} EXCEPT SELECT ticker FROM {rfpredictions} WHERE upprediction = 1")
-shared("value_counts", "SELECT exchange, count(*) AS n, count(DISTINCT sector) AS sectors FROM {tickerciks} GROUP BY exchange")
-shared("filter_exchange", "SELECT cik, ticker, exchange FROM {tickerciks} WHERE exchange IS NOT NULL AND exchange NOT IN ('OTC', 'CBOE')")
-shared("download_range", """SELECT ticker, CASE WHEN gap <= 0 THEN 'none' WHEN gap <= 30 THEN '60 D' WHEN gap <= 90 THEN '120 D' ELSE '6 M' END AS duration
-FROM (SELECT ticker, datediff(DATE '2025-07-01', max(date)) AS gap FROM {pricedata} WHERE date IS NOT NULL GROUP BY ticker) g""")
-ORACLE["download_range"] = ORACLE["download_range"].replace("datediff(DATE '2025-07-01', max(date))", "datediff('day', max(date), DATE '2025-07-01')")
-shared("monthly_supply", "SELECT CAST(date AS STRING) AS day, sum(CASE WHEN upprediction = 1 THEN 1 ELSE 0 END) AS n_pass, count(*) AS n_universe FROM {rfpredictions} GROUP BY date")
-shared("cumulative_staleness", "SELECT model_tag, year(date) AS y, month(date) AS m, count(*) AS n, round(avg(upprobability) + 1e-9, 6) AS mean_up FROM {rfpredictions} WHERE upprobability IS NOT NULL AND NOT isnan(upprobability) GROUP BY model_tag, year(date), month(date)")
-shared("file_inventory", "SELECT CAST(written_at AS DATE) AS day, count(*) AS files, sum(coalesce(n_bytes, 0)) AS bytes, sum(coalesce(n_rows, 0)) AS n_rows FROM {prediction_files} GROUP BY CAST(written_at AS DATE)")
-shared("events_by_hour", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value) + 1e-7, 4) AS total FROM {events} GROUP BY date_trunc('hour', ts), event_type")
-for _k, _v in list(ORACLE.items()):
-    ORACLE[_k] = _v.replace("AS STRING)", "AS VARCHAR)")
+@query("""SELECT bar_id FROM pricedata p WHERE EXISTS (SELECT 1 FROM rfpredictions r WHERE r.ticker = p.ticker AND r.upprediction = 1)""")
+def join_semi_firing(spark, d):
+    r = table(spark, d, "rfpredictions")
+    return merge.semi(table(spark, d, "pricedata"), r.where("upprediction = 1"), ["ticker"]).select("bar_id")
 
 
-# hygiene -----------------------------------------------------------------------------------------------------------
-_GAPPY = f"WITH bars AS ({BARS}), gappy AS (SELECT ticker, date, CASE WHEN (day(date) * 7 + month(date)) % 5 < 2 THEN NULL ELSE close END AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) AS r FROM bars)"
+@query("""SELECT bar_id FROM pricedata p WHERE NOT EXISTS (SELECT 1 FROM rfpredictions r WHERE r.ticker = p.ticker AND r.date = p.date)""")
+def join_anti_unscored(spark, d):
+    return merge.anti(table(spark, d, "pricedata"), table(spark, d, "rfpredictions"), ["ticker", "date"]).select("bar_id")
 
 
-@query(f"""{_GAPPY}, ends AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN r END IGNORE NULLS) OVER p AS ra, last_value(x IGNORE NULLS) OVER p AS va,
-first_value(CASE WHEN x IS NOT NULL THEN r END IGNORE NULLS) OVER f AS rb, first_value(x IGNORE NULLS) OVER f AS vb FROM gappy
-WINDOW p AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT ticker, CAST(date AS VARCHAR) AS day, {R("coalesce(x, CASE WHEN r - ra <= 3 THEN CASE WHEN rb IS NOT NULL THEN va + (vb - va) * (r - ra) / (rb - ra) ELSE va END END)", "x")}, x IS NULL AND r - ra <= 3 AS filled FROM ends""")
-def hygiene_interpolate(spark, d):
-    g = bars(spark, d).select("ticker", "date", F.expr("CASE WHEN (day(date) * 7 + month(date)) % 5 < 2 THEN NULL ELSE close END").alias("x"))
-    out = hygiene.interpolate(g, ["x"], "ticker", "date", 3, True)
-    return out.selectExpr("ticker", DAY, R("x", "x"), "x_interpolated AS filled")
+@query("""SELECT p.bar_id, u.sector FROM pricedata p LEFT JOIN (SELECT ticker, max(sector) AS sector FROM tickerciks GROUP BY ticker) u ON p.ticker = u.ticker""")
+def join_left_universe(spark, d):
+    sectors = table(spark, d, "tickerciks").groupBy("ticker").agg(F.max("sector").alias("sector"))
+    return merge.attach(table(spark, d, "pricedata").select("bar_id", "ticker"), sectors, ["ticker"], ["sector"]).select("bar_id", "sector")
+
+
+@query("""SELECT coalesce(a.ticker, b.ticker) AS ticker, a.n AS bars, b.n AS predictions FROM (SELECT ticker, count(*) AS n FROM pricedata GROUP BY ticker) a FULL OUTER JOIN (SELECT ticker, count(*) AS n FROM rfpredictions GROUP BY ticker) b ON a.ticker = b.ticker""")
+def join_full_counts(spark, d):
+    n = lambda t, c: table(spark, d, t).groupBy("ticker").agg(F.count(F.lit(1)).alias(c))
+    return merge.outer(n("pricedata", "bars"), n("rfpredictions", "predictions"), ["ticker"])
+
+
+@query("""SELECT t.ticker, coalesce(m.zone, 'other') AS zone FROM tickerciks t LEFT JOIN (SELECT 'NYSE' AS exchange, 'east' AS zone UNION ALL SELECT 'Nasdaq', 'east') m ON t.exchange = m.exchange""")
+def join_lookup_default(spark, d):
+    return table(spark, d, "tickerciks").select("ticker", merge.mapped(F.col("exchange"), {"NYSE": "east", "Nasdaq": "east"}, "other").alias("zone"))
+
+
+@query("""SELECT ticker, CAST(date AS VARCHAR) AS day, round(avg(upprobability) + 1e-9, 6) AS mean_up, count(DISTINCT model_tag) AS models FROM rfpredictions WHERE upprobability IS NOT NULL AND (isfinite(upprobability) OR isinf(upprobability)) GROUP BY ticker, date HAVING count(DISTINCT model_tag) >= 2""")
+def ensemble_mean(spark, d):
+    ok = table(spark, d, "rfpredictions").where("upprobability is not null and not isnan(upprobability)")
+    each = ok.groupBy("ticker", "date").agg(F.avg("upprobability").alias("m"), F.count_distinct("model_tag").alias("models")).where("models >= 2")
+    return each.selectExpr("ticker", DAY, "round(m + 1e-9, 6) AS mean_up", "models")
+
+
+@query("""SELECT ticker FROM pricedata UNION ALL SELECT ticker FROM tickerciks""")
+def set_union_all(spark, d):
+    return merge.stacked(table(spark, d, "pricedata").select("ticker"), table(spark, d, "tickerciks").select("ticker"))
+
+
+@query("""SELECT CAST(date AS VARCHAR) AS day FROM pricedata WHERE date IS NOT NULL INTERSECT SELECT CAST(date AS VARCHAR) AS day FROM rfpredictions WHERE date IS NOT NULL""")
+def set_intersect_dates(spark, d):
+    days = lambda t: table(spark, d, t).where("date is not null").selectExpr(DAY)
+    return merge.common(days("pricedata"), days("rfpredictions"), ["day"])
+
+
+@query("""SELECT ticker FROM tickerciks EXCEPT SELECT ticker FROM rfpredictions WHERE upprediction = 1""")
+def set_except_tickers(spark, d):
+    return merge.remaining(table(spark, d, "tickerciks"), table(spark, d, "rfpredictions").where("upprediction = 1"), ["ticker"])
+
 
+@query("""SELECT a.exchange, a.n, a.sectors, b.top_sector FROM (SELECT exchange, count(*) AS n, count(DISTINCT sector) AS sectors FROM tickerciks GROUP BY exchange) a JOIN (SELECT exchange, sector AS top_sector FROM (SELECT exchange, sector, row_number() OVER (PARTITION BY exchange ORDER BY sector IS NULL, c DESC, sector) AS k FROM (SELECT exchange, sector, count(*) AS c FROM tickerciks GROUP BY ALL)) WHERE k = 1) b ON a.exchange IS NOT DISTINCT FROM b.exchange""")
+def value_counts(spark, d):
+    return merge.value_counts(table(spark, d, "tickerciks"), ["exchange"], "sector").selectExpr("exchange", "n", "distinct_values AS sectors", "mode AS top_sector")
 
-ORACLE["hygiene_interpolate"] = ORACLE["hygiene_interpolate"].replace("x IS NULL AND r - ra <= 3 AS filled", "coalesce(x IS NULL AND r - ra <= 3, false) AS filled")
 
+@query("""SELECT ticker, CASE WHEN gap <= 0 THEN 'none' WHEN gap <= 30 THEN '60 D' WHEN gap <= 90 THEN '120 D' ELSE '6 M' END AS duration
+FROM (SELECT ticker, datediff('day', max(date), DATE '2025-07-01') AS gap FROM pricedata WHERE date IS NOT NULL GROUP BY ticker) g""")
+def download_range(spark, d):
+    last = table(spark, d, "pricedata").where("date is not null").groupBy("ticker").agg(F.max("date").alias("last"))
+    return last.select("ticker", merge.refresh_span(F.col("last"), F.lit("2025-07-01").cast("date")).alias("duration"))
 
+
+@query(f"""SELECT CAST(date AS VARCHAR) AS day, sum(CASE WHEN upprediction = 1 THEN 1 ELSE 0 END) AS n_pass, count(*) AS n_universe, {R("sum(CASE WHEN upprediction = 1 THEN 1 ELSE 0 END) / count(*) * 100", "pass_pct")} FROM rfpredictions GROUP BY date""")
+def monthly_supply(spark, d):
+    return merge.supply(table(spark, d, "rfpredictions"), "date", F.col("upprediction") == 1).selectExpr(DAY, "n_pass", "n_universe", R("pass_pct", "pass_pct"))
+
+
+@query("""SELECT CAST(written_at AS DATE) AS day, count(*) AS files, sum(coalesce(n_bytes, 0)) AS bytes, sum(coalesce(n_rows, 0)) AS n_rows FROM prediction_files GROUP BY CAST(written_at AS DATE)""")
+def file_inventory(spark, d):
+    f = table(spark, d, "prediction_files")
+    return io.inventory_by(f.select(F.to_date("written_at").alias("day"), "n_bytes", "n_rows"), "day", "n_bytes", "n_rows")
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value) + 1e-7, 4) AS total FROM events GROUP BY date_trunc('hour', ts), event_type""")
+def events_by_hour(spark, d):
+    e = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("t"))
+    return e.selectExpr("CAST(hour AS TIMESTAMP_NTZ) AS hour", "event_type", "n", "round(t + 1e-7, 4) AS total")
+
+
+@query("""SELECT p.bar_id FROM pricedata p WHERE p.ticker IN (SELECT ticker FROM pricedata WHERE close > 300 AND isfinite(close) AND close < 999)""")
+def join_firing_rows(spark, d):
+    """All rows of the tickers that have a reading of a certain kind."""
+    p = table(spark, d, "pricedata")
+    return merge.firing(p, "ticker", (F.col("close") > 300) & (F.col("close") < 999)).select("bar_id")
+
+
+@query("""SELECT ticker, CAST(CASE WHEN a IS NOT NULL THEN greatest(DATE '2025-01-01', b - 3) END AS VARCHAR) AS start, CASE WHEN b < DATE '2025-06-30' THEN '2025-06-30' END AS until FROM (SELECT ticker, min(date) AS a, max(date) AS b FROM pricedata WHERE date IS NOT NULL GROUP BY ticker) WHERE b < DATE '2025-06-30'""")
+def missing_tail(spark, d):
+    last = table(spark, d, "pricedata").where("date is not null").groupBy("ticker").agg(F.max("date").alias("last"))
+    day = lambda x: F.lit(x).cast("date")
+    gap = last.withColumn("g", merge.missing_range(F.col("last"), day("2025-01-01"), day("2025-06-30"))).where("g is not null")
+    return gap.selectExpr("ticker", "CAST(g.start AS STRING) AS start", "CAST(g.end AS STRING) AS until")
+
+
+@query("""WITH n AS (SELECT ticker, max(sector) AS sector, max(exchange) AS exchange FROM tickerciks WHERE snapshot_date >= DATE '2025-06-30' GROUP BY ticker)
+SELECT o.cik, o.ticker, coalesce(n.sector, o.sector) AS sector, coalesce(n.exchange, o.exchange) AS exchange FROM tickerciks o LEFT JOIN n ON o.ticker = n.ticker""")
+def merge_overlay(spark, d):
+    t = table(spark, d, "tickerciks")
+    new = t.where("snapshot_date >= '2025-06-30'").groupBy("ticker").agg(F.max("sector").alias("sector"), F.max("exchange").alias("exchange"))
+    return merge.overlay(t.select("cik", "ticker", "sector", "exchange"), new, ["ticker"], ["sector", "exchange"])
+
+
+@query(f"""WITH {PANEL}, {_VIX} SELECT p.ticker, CAST(p.date AS VARCHAR) AS day, {R('back', 'back')}, {R('vix', 'vix')} FROM panel p JOIN vix v USING (date) WHERE back IS NOT NULL""")
+def join_aligned_series(spark, d):
+    vix = table(spark, d, "rfpredictions").where("date is not null and vix_close > 0").groupBy("date").agg(F.max("vix_close").alias("vix"))
+    return merge.aligned(panel(spark, d), vix, "date", "back", "vix").selectExpr("ticker", DAY, R("back", "back"), R("vix", "vix"))
+
+
+# hygiene -----------------------------------------------------------------------------------------------------------
 _USABLE = "{} AND close > 0 AND close < 500000"
-_STORED = f"""WITH gappy AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS r FROM (SELECT ticker, date, arg_max(close, bar_id) FILTER ({_USABLE.format('isfinite(close)')}) AS x FROM pricedata WHERE date IS NOT NULL GROUP BY ticker, date))"""
 
 
-@query(ORACLE["hygiene_interpolate"].replace(_GAPPY, _STORED))
-def hygiene_interpolate_stored(spark, d):
-    """``hygiene_interpolate`` over the days as they are stored: a close is missing where no landing of the day has a
-    usable one, and no known close is taken out."""
+@query(f"""WITH gappy AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS r FROM (SELECT ticker, date, arg_max(close, bar_id) FILTER ({_USABLE.format('isfinite(close)')}) AS x FROM pricedata WHERE date IS NOT NULL GROUP BY ticker, date)),
+ends AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN r END IGNORE NULLS) OVER p AS ra, last_value(x IGNORE NULLS) OVER p AS va,
+first_value(CASE WHEN x IS NOT NULL THEN r END IGNORE NULLS) OVER f AS rb, first_value(x IGNORE NULLS) OVER f AS vb FROM gappy
+WINDOW p AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT ticker, CAST(date AS VARCHAR) AS day, {R("coalesce(x, CASE WHEN r - ra <= 3 THEN CASE WHEN rb IS NOT NULL THEN va + (vb - va) * (r - ra) / (rb - ra) ELSE va END END)", "x")}, coalesce(x IS NULL AND r - ra <= 3, false) AS filled FROM ends""")
+def hygiene_interpolate(spark, d):
+    """Over the days as they are stored: a close is missing where no landing of the day has a usable one."""
     ok = F.expr(_USABLE.format("NOT isnan(close)"))
     days = table(spark, d, "pricedata").where("date is not null").groupBy("ticker", "date").agg(F.max_by(F.when(ok, F.col("close")), F.when(ok, F.col("bar_id"))).alias("x"))
     return hygiene.interpolate(days, ["x"], "ticker", "date", 3, True).selectExpr("ticker", DAY, R("x", "x"), "x_interpolated AS filled")
@@ -387,28 +435,15 @@ def text_sentiment(spark, d):
     return text.with_sentiment(table(spark, d, "documents"), "text").selectExpr("doc_id", R("sentiment_score", "sentiment_score"), "sentiment")
 
 
-@query(f"""WITH s AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9_]+)', 1) AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x) <> '')) AS s, len(regexp_extract_all(text, '\\b[0-9]+\\.[0-9]+\\b')) AS m FROM documents WHERE lower(trim(lang)) = 'en' AND regexp_full_match(text, '[\\x00-\\x7f]*')),
-c AS (SELECT doc_id, 0.15 * least(1, len(w) / s / 25) + 0.15 * least(1, list_sum(list_transform(w, lambda x: length(x))) / len(w) / 8) + 0.25 * len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in text.FINANCE)}))) / len(w) + 0.2 * len(list_filter(w, lambda x: length(x) >= 8)) / len(w) + 0.15 * len(list_distinct(w)) / len(w) + 0.1 * least(1, m / len(w) * 10) AS v FROM s WHERE len(w) > 0)
-SELECT doc_id, round(v + 1e-9, 3) AS complexity FROM c""")
-def text_complexity(spark, d):
-    docs = table(spark, d, "documents").where("lower(trim(lang)) = 'en'").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return text.with_complexity(docs, "text").select("doc_id", "complexity")
-
-
 @query()
-def text_complexity_all(spark, d):
-    """``text_complexity`` of every document, whatever its language; the engines' word classes differ, so there is no SQL."""
+def text_complexity(spark, d):
+    """Of every document, whatever its language; the engines' word classes differ, so there is no SQL."""
     return text.with_complexity(table(spark, d, "documents"), "text").select("doc_id", "complexity")
 
 
-@query("""SELECT d.doc_id, n.ticker FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9]+)', 1))) AS ticker FROM documents) d JOIN (SELECT DISTINCT ticker FROM tickerciks) n USING (ticker)""")
-def text_mentions(spark, d):
-    return text.mentions(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "tickerciks"), "ticker")
-
-
 @query()
-def text_mentions_folded(spark, d):
-    """``text_mentions`` in any case and by company names too."""
+def text_mentions(spark, d):
+    """Tickers in any case, and company names in their variants."""
     return text.mentions_folded(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "tickerciks"), "ticker", "name")
 
 
@@ -427,4 +462,7 @@ def text_first_seen(spark, d):
     return text.keep_unseen(table(spark, d, "documents"), "title", "guid", "doc_id").select("doc_id")
 
 
-shared("text_daily_attention", "SELECT ticker, count(*) AS n, count(DISTINCT source) AS sources, max(length(text)) AS longest FROM {documents} WHERE ticker IS NOT NULL GROUP BY ticker HAVING count(*) >= 3")
+@query("SELECT ticker, count(*) AS n, count(DISTINCT source) AS sources, max(length(text)) AS longest FROM documents WHERE ticker IS NOT NULL GROUP BY ticker HAVING count(*) >= 3")
+def text_daily_attention(spark, d):
+    docs = table(spark, d, "documents").where("ticker is not null")
+    return docs.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.max(F.length("text")).alias("longest")).where("n >= 3")

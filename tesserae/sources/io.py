@@ -46,6 +46,12 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     return files.groupBy(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).alias("suffix")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest"))
 
 
+def inventory_by(listing: DataFrame, by: str, size: str, rows: str) -> DataFrame:
+    """(by, files, bytes, n_rows) of a listing of files; unknown sizes and counts add nothing."""
+    known = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    return listing.groupBy(by).agg(F.count(F.lit(1)).alias("files"), known(size).alias("bytes"), known(rows).alias("n_rows"))
+
+
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """(path, sha256) of every file."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("sha256"))

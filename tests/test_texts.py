@@ -27,7 +27,7 @@ def brute(t):
 def test_complexity_of_all_scripts(spark, tmp_path):
     rows = [(i, t, [None, "en", " EN ", "de"][i % 4]) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id int, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.complexity for r in E.queries()["text_complexity_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.complexity for r in E.queries()["text_complexity"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(len(TEXTS)))
     for i, t in enumerate(TEXTS):
         assert abs(got[i] - brute(t)) <= 5.01e-4, (t, got[i], brute(t))
@@ -35,7 +35,7 @@ def test_complexity_of_all_scripts(spark, tmp_path):
 
 def test_every_document_has_its_complexity(spark, small):
     docs = pd.read_parquet(f"{small}/documents.parquet")
-    got = {r.doc_id: r.complexity for r in E.queries()["text_complexity_all"](spark, small).collect()}
+    got = {r.doc_id: r.complexity for r in E.queries()["text_complexity"](spark, small).collect()}
     assert len(got) == len(docs)
     for i, t in zip(docs.doc_id, docs.text):
         assert abs(got[i] - brute(t)) <= 5.01e-4
@@ -63,5 +63,5 @@ def test_mentions_by_case_and_company(spark):
 def test_mentions_match_brute_force(spark, small):
     docs, names = pd.read_parquet(f"{small}/documents.parquet"), pd.read_parquet(f"{small}/tickerciks.parquet")
     universe = list(zip(names.ticker, names.name))
-    got = [(r.doc_id, r.ticker) for r in E.queries()["text_mentions_folded"](spark, small).collect()]
+    got = [(r.doc_id, r.ticker) for r in E.queries()["text_mentions"](spark, small).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, t) for i, x in zip(docs.doc_id, docs.text) for t in mentioned(x, universe)}

@@ -15,14 +15,14 @@ def stored(small):
 def test_bars_get_the_index_of_their_own_day(spark, small, stored):
     r = stored("rfpredictions")
     own = r[r.vix_close > 0].groupby(r.date.astype(str)).vix_close.max()
-    out = E.queries()["join_asof_index_all_days"](spark, small).toPandas()
+    out = E.queries()["join_asof_index"](spark, small).toPandas()
     out = out[out.day.isin(own.index)]
     assert out.day.nunique() > 40 and (out.vix.to_numpy() == own[out.day].to_numpy()).all()
 
 
 def test_every_model_is_joined(spark, small, stored):
     r = stored("rfpredictions").dropna(subset=["date", "raw_score"])
-    out = E.queries()["join_asof_by_ticker_all_models"](spark, small)
+    out = E.queries()["join_asof_by_ticker"](spark, small)
     got = {tuple(x) for x in out.select("ticker", "model_tag").distinct().collect()}
     barred = {x[0] for x in out.select("ticker").distinct().collect()}
     assert got == {(t, m) for t, m in zip(r.ticker, r.model_tag) if t in barred} and len({m for _, m in got}) > 1
@@ -31,7 +31,7 @@ def test_every_model_is_joined(spark, small, stored):
 def test_no_known_close_is_taken_out(spark, small, stored):
     p = stored("pricedata").dropna(subset=["date"])
     good = p[(p.close > 0) & (p.close < 500000)].sort_values("bar_id").groupby(["ticker", "date"]).close.last()
-    out = E.queries()["hygiene_interpolate_stored"](spark, small).toPandas()
+    out = E.queries()["hygiene_interpolate"](spark, small).toPandas()
     got = out.set_index(["ticker", "day"])
     assert len(out) == len(p[["ticker", "date"]].drop_duplicates())
     known = got.loc[[(t, str(day)[:10]) for t, day in good.index]]
