@@ -7,6 +7,8 @@ and ratios of spreads give null where a window is flat, and a rolling value is n
 
 from __future__ import annotations
 
+import math
+
 #: Spreads below this are floating noise of a flat window.
 FLAT = "1e-11"
 
@@ -16,6 +18,10 @@ class Dialect:
 
     entity, time = "ticker", "date"
 
+    def __init__(self, year: int = 252, season: int = 90) -> None:
+        """``year`` and ``season``: rows of the long windows; a panel with less history can pass shorter ones."""
+        self.year, self.season = year, season
+
     # frames
     def frame(self, n: int, shift: int = 0) -> str:
         end = "CURRENT ROW" if shift == 0 else f"{shift} PRECEDING"
@@ -72,9 +78,9 @@ class Dialect:
     def quantile(self, x: str, p: float, n: int, mp: int | None = None, shift: int = 0) -> str:
         return self.rolled(self.quantile_agg(x, p), x, n, mp, shift)
 
-    def corr(self, x: str, y: str, n: int, mp: int | None = None) -> str:
+    def corr(self, x: str, y: str, n: int, mp: int | None = None, shift: int = 0) -> str:
         """Over pairs of which both are known."""
-        w = self.frame(n)
+        w = self.frame(n, shift)
         a, b = f"(CASE WHEN ({y}) IS NOT NULL THEN ({x}) END)", f"(CASE WHEN ({x}) IS NOT NULL THEN ({y}) END)"
         sd = f"(stddev_samp({a}) {w} * stddev_samp({b}) {w})"
         return f"(CASE WHEN count({a}) {w} >= {max(2, n if mp is None else mp)} AND {sd} > {FLAT} THEN covar_samp({a}, {b}) {w} / {sd} END)"
@@ -136,10 +142,23 @@ class Dialect:
         """Share of a list's values that are at most ``x``."""
         raise NotImplementedError
 
+    def rank_in(self, values: str, x: str) -> str:
+        """Average rank of ``x`` among a list's values, as a share of them."""
+        raise NotImplementedError
+
+    def weekday(self) -> str:
+        """0 for Monday."""
+        raise NotImplementedError
+
     def fold_ewm(self, values: str, alpha: float, adjust: bool) -> str:
         """Exponentially weighted mean of a list, newest last."""
         raise NotImplementedError
 
+    def ewm(self, x: str, alpha: float) -> str:
+        """The list for :meth:`fold_ewm`: as many rows as weigh at least a billionth, so a row's work is bounded however
+        long its entity's history is."""
+        return self.known_list(x, self.frame(math.ceil(math.log(1e-9) / math.log(1 - alpha))))
+
     def ffill(self, x: str, limit: int | None = None) -> str:
         raise NotImplementedError
 
@@ -172,6 +191,12 @@ class SparkDialect(Dialect):
     def share_upto(self, values: str, x: str) -> str:
         return f"(CASE WHEN size({values}) > 0 THEN size(filter({values}, e -> e <= {x})) / size({values}) END)"
 
+    def rank_in(self, values: str, x: str) -> str:
+        return f"((size(filter({values}, e -> e < {x})) + (size(filter({values}, e -> e = {x})) + 1) / 2) / size({values}))"
+
+    def weekday(self) -> str:
+        return f"weekday({self.time})"
+
     def fold_ewm(self, values: str, alpha: float, adjust: bool) -> str:
         keep = 1 - alpha
         if adjust:
@@ -205,6 +230,12 @@ class DuckDialect(Dialect):
     def share_upto(self, values: str, x: str) -> str:
         return f"(CASE WHEN len({values}) > 0 THEN len(list_filter({values}, lambda e: e <= {x})) / len({values}) END)"
 
+    def rank_in(self, values: str, x: str) -> str:
+        return f"((len(list_filter({values}, lambda e: e < {x})) + (len(list_filter({values}, lambda e: e = {x})) + 1) / 2.0) / len({values}))"
+
+    def weekday(self) -> str:
+        return f"(isodow({self.time}) - 1)"
+
     def fold_ewm(self, values: str, alpha: float, adjust: bool) -> str:
         keep = 1 - alpha
         if adjust:

@@ -41,7 +41,8 @@ def ratio_log_scaled(q: Dialect) -> Stages:
         out[f"{x}_logscale_zscore_{n}d"] = f"((_log - {q.mean('_log', n, mp)}) / coalesce(nullif({q.std('_log', n, mp)}, 0), 1.0))"
         lo, hi = q.low("_log", n, mp), q.high("_log", n, mp)
         out[f"{x}_logscale_minmax_{n}d"] = f"((_log - {lo}) / coalesce(nullif({hi} - {lo}, 0), 1.0))"
-    return [first, {"_log": f"(ln(abs({x}) + _eps) * {q.sign(x)})"}, out]
+    ranks = {f"{x}_logscale_rank_{n}d": f"(CASE WHEN _log IS NOT NULL AND count(_log) {q.frame(n)} >= {n // 2} THEN {q.rank_in(f'_l{n}', '_log')} END)" for n in (10, 20, 50)}
+    return [first, {"_log": f"(ln(abs({x}) + _eps) * {q.sign(x)})"}, out | {f"_l{n}": q.known_list("_log", q.frame(n)) for n in (10, 20, 50)}, ranks]
 
 
 @block("price_differential_ratio", looks_ahead=True)
@@ -156,11 +157,11 @@ def volume_flow(q: Dialect) -> Stages:
 
 @block("close")
 def close_volatility(q: Dialect) -> Stages:
-    a = {"percent_change_close": q.change("close"), "pct_change_std": q.std("close", 20), "pct_change_std_rolling": q.mean("close", 20), "_var": q.var("close", 90), "_l": q.known_list("close", q.so_far)}
+    a = {"percent_change_close": q.change("close"), "pct_change_std": q.std("close", 20), "pct_change_std_rolling": q.mean("close", 20), "_var": q.var("close", q.season), "_l": q.ewm("close", 2 / 21)}
     b = {f"percent_change_close_lag_{k}": q.lag("percent_change_close", k) for k in (1, 5, 10)}
     up = q.flag("percent_change_close > 0")
     b |= {"direction_flipper_count5": q.rolled(f"sum({up})", up, 5), "direction_flipper_count_10": q.rolled(f"sum({up})", up, 10), "complexity_invariant_distance": f"abs({q.diff('_var')})", "keltner_centre": q.fold_ewm("_l", 2 / 21, True)}
-    return [a, b, {"cid_mean": q.mean("complexity_invariant_distance", 30), "cid_sd": q.std("complexity_invariant_distance", 30)}]
+    return [a, b, {"cid_mean": q.mean("complexity_invariant_distance", q.season), "cid_sd": q.std("complexity_invariant_distance", q.season)}]
 
 
 @block("close", "atr", "keltner_centre")
@@ -173,8 +174,8 @@ def wilder_rsi(q: Dialect) -> Stages:
     """RSI with exponential averages (alpha 1/n, not adjusted), known from n changes on."""
     a = {"_d": q.diff("close")}
     b = {"_up": "(CASE WHEN _d > 0 THEN _d WHEN _d IS NOT NULL THEN 0.0 END)", "_dn": "(CASE WHEN _d < 0 THEN -_d WHEN _d IS NOT NULL THEN 0.0 END)"}
-    c = {"_lu": q.known_list("_up", q.so_far), "_ld": q.known_list("_dn", q.so_far), "_n": f"count(_d) {q.so_far}"}
-    d = {f"_{k}{n}": q.fold_ewm(f"_l{k}", 1 / n, False) for n in (7, 14, 28) for k in ("u", "d")}
+    c = {f"_l{k}{n}": q.ewm(x, 1 / n) for n in (7, 14, 28) for k, x in (("u", "_up"), ("d", "_dn"))} | {"_n": f"count(_d) {q.so_far}"}
+    d = {f"_{k}{n}": q.fold_ewm(f"_l{k}{n}", 1 / n, False) for n in (7, 14, 28) for k in ("u", "d")}
     e = {f"rsi_{n}": f"(CASE WHEN _n >= {n} AND _d{n} > 1e-12 THEN 100 - 100 / (1 + _u{n} / _d{n}) END)" for n in (7, 14, 28)}
     return [a, b, c, d, e]
 
@@ -267,21 +268,102 @@ def coefficient_of_variation(q: Dialect) -> Stages:
     return [a, b, c, d]
 
 
-@block("close")
+@block("open", "low", "volume")
 def stress(q: Dialect) -> Stages:
-    """Share of deep intraday falls over 15 bars at 2, 4 and 6 percent, mixed .3/.5/.2."""
-    a = {"_drop": "((low - open) / open)"}
-    f = {k: q.mean(f"(CASE WHEN _drop <= -0.0{k} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)", 15) for k in (2, 4, 6)}
-    return [a, {"stress_v7": f"(0.3 * {f[2]} + 0.5 * {f[4]} + 0.2 * {f[6]})"}]
+    """Shares of deep intraday falls: an exponential mean at 3 percent (v6), over 15 bars at 2, 4 and 6 percent mixed
+    .3/.5/.2 (v7), and the latter weighted by volume over its 20-bar mean, plain and exponential (vol_v7)."""
+    a = {"_drop": "((low - open) / open)", "_vr": f"(volume / nullif({q.mean('volume', 20, 1)}, 0))"}
+    hit = lambda k: f"(CASE WHEN _drop <= -0.0{k} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+    b = {f"_h{k}": hit(k) for k in (2, 3, 4, 6)} | {f"_v{k}": f"({hit(k)} * _vr)" for k in (2, 4, 6)}
+    c = {"_l3": q.ewm("_h3", 2 / 11)} | {f"_w{k}": q.ewm(f"_v{k}", 2 / 16) for k in (2, 4, 6)} | {f"_f{k}": q.mean(f"_h{k}", 15, 1) for k in (2, 4, 6)} | {f"_g{k}": q.mean(f"_v{k}", 15, 1) for k in (2, 4, 6)}
+    d = {"stress_v6": q.fold_ewm("_l3", 2 / 11, True), "stress_v7": "(0.3 * _f2 + 0.5 * _f4 + 0.2 * _f6)"} | {f"_e{k}": q.fold_ewm(f"_w{k}", 2 / 16, True) for k in (2, 4, 6)}
+    return [a, b, c, d, {"stress_vol_v7": q.clip("((_g2 + _e2) * 0.2 + (_g4 + _e4) * 0.4 + (_g6 + _e6) * 0.4)", 0, 2)}]
 
 
-@block("open", "close")
+@block("open", "close", "volume")
 def gap_zscores(q: Dialect) -> Stages:
-    """Gap z-scores: plain, two-horizon, weekday-weighted (Monday 1.2, Friday 0.8) and adaptive over 100 bars."""
-    a = {"_gap": f"((open - {q.lag('close')}) / nullif({q.lag('close')}, 0))"}
+    """Gap z-scores: over 20 bars; scaled by volume, by the volatility regime (20 against 50 bars), by weekday (Monday 1.2,
+    Friday .8), by trend and momentum, of two horizons (10 and 50), and by how well earlier ones told returns (100 bars)."""
+    a = {"_gap": f"((open - {q.lag('close')}) / nullif({q.lag('close')}, 0))", "_r": q.change("close"), "_mom": f"abs({q.change('close', 5)})", "_i": f"CAST(row_number() {q.ordered} AS DOUBLE)", "_vz": f"((volume - {q.mean('volume', 20)}) / nullif({q.std('volume', 20)}, 0))"}
     z = lambda n: f"((_gap - {q.mean('_gap', n)}) / nullif({q.std('_gap', n)}, 0))"
-    b = {"gap_zscore_20": z(20), "gap_zscore_10": z(10), "gap_zscore_50": z(50), "gap_zscore_100": z(100)}
-    return [a, b, {"gap_zscore_multi": "((gap_zscore_10 + gap_zscore_50) / 2)"}]
+    b = {"_z": z(20), "_zs": z(10), "_zl": z(50), "_vr": f"({q.std('_r', 20)} / nullif({q.std('_r', 50)}, 0))", "_trend": f"(CASE WHEN _i > 20 THEN coalesce(abs({q.corr('close', '_i', 20, 20, 1)}), 0) END)"}
+    c = {"_zlag": q.lag("_z")}
+    d = {"_eff": f"(CASE WHEN _i > 100 THEN coalesce(({q.corr('_zlag', '_r', 100, 11, 1)} + 1) / 2, 0.5) ELSE 0.5 END)"}
+    known = lambda e, *need: f"coalesce(CASE WHEN {' AND '.join(f'{n} IS NOT NULL' for n in need)} THEN {e} END, 0)"
+    pair = "(0.7 * _zs + 0.3 * _zl)"
+    e = {
+        "gap_zscore_base": "coalesce(_z, 0)", "gap_zscore_volume_enhanced": known("_z * (CASE WHEN abs(_z) > 1 THEN least(greatest(_vz / 2, 0.1), 2.0) ELSE 0.5 END)", "_z", "_vz"),
+        "gap_zscore_regime_aware": known("_z * (CASE WHEN _vr > 1.2 THEN 0.7 WHEN _vr < 0.8 THEN 1.3 ELSE 1.0 END)", "_z", "_vr"), "gap_zscore_time_conditional": known(f"_z * (CASE {q.weekday()} WHEN 0 THEN 1.2 WHEN 4 THEN 0.8 ELSE 1.0 END)", "_z"),
+        "gap_zscore_reversion_momentum": known("_z * (CASE WHEN _trend > 0.3 AND _mom > 0.02 THEN (CASE WHEN abs(_z) < 1.5 THEN 1.0 ELSE 0.5 END) ELSE 0.8 END)", "_z", "_trend", "_mom"),
+        "gap_zscore_multi_timeframe": known(f"{pair} * (CASE WHEN _zs * _zl > 0 THEN 1 + least(abs(_zs * _zl) * 0.1, 0.5) ELSE 0.8 END)", "_zs", "_zl"), "gap_zscore_adaptive_threshold": known("_z * (0.5 + _eff)", "_z"),
+    }
+    return [a, b, c, d, e]
+
+
+@block("close", "index_close")
+def index_beta(q: Dialect) -> Stages:
+    """Beta (clipped to 5), correlation and alpha of daily log returns to an index's, over 60 bars (30 known)."""
+    a = {"_y": f"({q.log('close')} - {q.lag(q.log('close'))})", "_x": f"({q.log('index_close')} - {q.lag(q.log('index_close'))})"}
+    both = lambda x, y: f"(CASE WHEN {y} IS NOT NULL THEN {x} END)"
+    b = {"_b": q.beta("_y", "_x", 60, 30), "_my": q.mean(both("_y", "_x"), 60, 30), "_mx": q.mean(both("_x", "_y"), 60, 30), "corr_index": q.clip(q.corr("_y", "_x", 60, 30), -1, 1)}
+    return [a, b, {"beta_index": q.clip("_b", -5, 5), "alpha_index": "(_my - _b * _mx)"}]
+
+
+@block("close")
+def reversion_z(q: Dialect) -> Stages:
+    """How far a smoothed close (three bars) stands from its mean over 28, 90 and 151 bars, in 1, 1 and 3 deviations."""
+    a = {"smoothed_close": q.mean("close", 3, 1)}
+    return [a, {f"mean_reversion_z_score_{n}_std_{k}": f"((smoothed_close - {q.mean('smoothed_close', n)}) / nullif({q.std('smoothed_close', n)} * {k}, 0))" for n, k in ((28, 1), (90, 1), (151, 3))}]
+
+
+@block("close")
+def trend_line(q: Dialect) -> Stages:
+    """Slope, intercept and residual of the least-squares line through the last 20 closes, by row number in the window."""
+    a = {"_i": f"CAST(row_number() {q.ordered} AS DOUBLE)"}
+    b = {"line_slope_20": q.beta("close", "_i", 20), "_m": q.mean("close", 20), "_mi": q.mean("_i", 20)}
+    return [a, b, {"line_level_20": "(_m + line_slope_20 * (_i - _mi))", "line_start_20": "(_m - line_slope_20 * 9.5)"}, {"line_residual_20": "(close - line_level_20)"}]
+
+
+@block("vix")
+def vix_regime(q: Dialect) -> Stages:
+    """Percentile of the last index value among the 252 before the bar (50 known), the regime scale and flags it gives,
+    five-day momentum, its change, and the z-score over the 20 bars before (10 known)."""
+    a = {"_p": q.lag("vix"), "_l": q.known_list("vix", q.frame(q.year, 1)), "_n": f"count(vix) {q.frame(q.year, 1)}", "vix_momentum_5d": q.change("vix", 5), "vix_zscore": f"((vix - {q.mean('vix', 20, 10, 1)}) / ({q.std('vix', 20, 10, 1)} + 1e-8))"}
+    b = {"vix_percentile_rank": f"(CASE WHEN _n >= 50 AND _p IS NOT NULL THEN 100 * {q.share_upto('_l', '_p')} END)", "vix_momentum_change": q.diff("vix_momentum_5d")}
+    r = "vix_percentile_rank"
+    return [a, b, {"vix_regime_scale": f"(CASE WHEN {r} >= 80 THEN 1.2 WHEN {r} >= 60 THEN 1.1 WHEN {r} <= 20 THEN 0.95 ELSE 1.0 END)", "vix_regime_low": q.flag(f"{r} <= 25"), "vix_regime_high": q.flag(f"{r} >= 75")}]
+
+
+@block("dollar_volume_percentile", "volume_trend_5d_20d", "liquidity_stress_3d", "vix_percentile_rank", "atr_percentile_rank", "cv_20d_percentile", "momentum_strength_continuous", "volume_momentum_ratio", "trend_consistency_10d")
+def composite_scores(q: Dialect) -> Stages:
+    """Liquidity, volatility and momentum scores (each a mean of three parts between 0 and 1) and their mix .3/.4/.3;
+    null while a part is unknown."""
+    third = lambda *x: f"(({' + '.join(x)}) / 3)"
+    a = {
+        "liquidity_score": third("dollar_volume_percentile / 100", f"{q.clip('volume_trend_5d_20d', 0, 2)} / 2", f"(1 - {q.clip('liquidity_stress_3d', 0, 2)} / 2)"),
+        "volatility_score": third("vix_percentile_rank / 100", f"{q.clip('atr_percentile_rank', 20, 80)} / 100", f"(1 - {q.clip('cv_20d_percentile', 0, 90)} / 100)"),
+        "momentum_score": third(f"({q.clip('momentum_strength_continuous', -1, 1)} / 2 + 0.5)", f"{q.clip('volume_momentum_ratio', 0.5, 1.5)} / 2", q.clip("trend_consistency_10d", 0, 1)),
+    }
+    return [a, {"trading_signal_composite": "(liquidity_score * 0.3 + volatility_score * 0.4 + momentum_score * 0.3)"}]
+
+
+@block("high", "close")
+def significant(q: Dialect) -> Stages:
+    """The ratio of high to close with RSI and with the volatility regime, and their norms against the 50 bars before,
+    clipped to 3; the ensemble is the mean of the known norms."""
+    norm = lambda x: q.clip(f"(({x} - {q.mean(x, 50, shift=1)}) / nullif({q.std(x, 50, shift=1)}, 0))", -3, 3)
+    up, dn = "(CASE WHEN _d > 0 THEN _d ELSE 0.0 END)", "(CASE WHEN _d < 0 THEN -_d ELSE 0.0 END)"
+    a = {"hc_ratio": "((high - close) / (close + 1e-10))", "_d": q.diff("close"), "_r": q.change("close")}
+    b = {"_u": q.mean(up, 14), "_v": q.mean(dn, 14), "_s": q.std("_r", 50, 10)}
+    c = {"_rsi": "(CASE WHEN _v > 1e-12 THEN 100 - 100 / (1 + _u / _v) WHEN _u > 1e-12 THEN 100.0 END)", "_ms": q.mean("_s", 50, 10, 1), "_ss": q.std("_s", 50, 10, 1)}
+    d = {"rsi_hc_composite": "(hc_ratio * (100 - _rsi) / 50)", "lyapunov_scaled": f"({q.clip('((_s - _ms) / (CASE WHEN _ss = 0 THEN 1 ELSE _ss END))', -3, 3)} / 3)"}
+    e = {"_before": q.lag("lyapunov_scaled")}
+    f = {"hc_predict_regime": "(hc_ratio * (CASE WHEN _before < -0.3 THEN 1.5 WHEN _before > 0.3 THEN 0.5 ELSE 1.0 END))"}
+    names = ("rsi_hc_composite", "hc_ratio", "hc_predict_regime")
+    g = {f"{x}_norm": norm(x) for x in names}
+    known = " + ".join(f"(CASE WHEN {x}_norm IS NOT NULL THEN 1 ELSE 0 END)" for x in names)
+    total = " + ".join(f"coalesce({x}_norm, 0)" for x in names)
+    return [a, b, c, d, e, f, g, {"significant_ensemble": f"(({total}) / nullif({known}, 0))"}]
 
 
 @block("close", "high", "low")
@@ -382,14 +464,16 @@ def vix_family(q: Dialect) -> Stages:
     """Regime, changes, momentum, moving averages, crosses, scores, realised volatility and factors of an index series
     that has been joined as of each bar."""
     a = {f"vix_change_{k}": q.diff("vix", k) for k in (1, 5, 10, 20)} | {f"vix_ma_{n}": q.mean("vix", n, shift=1) for n in (10, 20, 50)} | {f"_vs{n}": q.std("vix", n, shift=1) for n in (20, 50)}
-    a |= {f"_l{n}": q.known_list("vix", q.frame(n, 1)) for n in (30, 60)} | {f"_n{n}": f"count(vix) {q.frame(n, 1)}" for n in (30, 60)} | {"_lr": f"({q.log('close')} - {q.lag(q.log('close'))})"}
+    long = {30: 30, 60: 60, 252: q.year}
+    a |= {f"_l{n}": q.known_list("vix", q.frame(k, 1)) for n, k in long.items()} | {f"_n{n}": f"count(vix) {q.frame(k, 1)}" for n, k in long.items()} | {"_lr": f"({q.log('close')} - {q.lag(q.log('close'))})"}
     b = {
         "vix_regime": "(CASE WHEN vix < 15 THEN 0 WHEN vix < 20 THEN 1 WHEN vix < 30 THEN 2 WHEN vix IS NOT NULL THEN 3 END)", "vix_momentum": "(vix - vix_ma_10)", "vix_acceleration": q.diff("vix_change_1"),
-        "vix_ma_cross": q.sign("round(vix_ma_10 - vix_ma_20, 9)"), "realized_vol_10": f"({q.std('_lr', 10)} * sqrt(252))", "realized_vol_21": f"({q.std('_lr', 21)} * sqrt(252))", "vix_factor": q.clip("(20 / vix)", 0.5, 2),
+        "vix_ma_cross": q.sign("round(vix_ma_10 - vix_ma_20, 9)"), "vix_ma_cross_50": q.sign("round(vix_ma_20 - vix_ma_50, 9)"), "realized_vol_10": f"({q.std('_lr', 10)} * sqrt(252))", "realized_vol_21": f"({q.std('_lr', 21)} * sqrt(252))", "vix_factor": q.clip("(20 / vix)", 0.5, 2),
     }
-    b |= {f"vix_percentile_{n}": f"(CASE WHEN _n{n} >= {n} THEN {q.share_upto(f'_l{n}', 'vix')} END)" for n in (30, 60)}
+    b |= {f"vix_percentile_{n}": f"(CASE WHEN _n{n} >= {k} THEN {q.share_upto(f'_l{n}', 'vix')} END)" for n, k in long.items()}
+    b |= {"vix_of_vix": q.std("vix_change_1", 20), "trend_50": q.sign(f"round(close - {q.mean('close', 50)}, 9)")}
     b |= {f"vix_z_{n}": f"((vix - vix_ma_{n}) / nullif(_vs{n}, 0))" for n in (20, 50)}
-    return [a, b, {"vix_vs_realized": "(vix / nullif(realized_vol_21 * 100, 0))", "vix_spike": q.flag("vix_z_20 > 2"), "vix_bottom": q.flag("vix_z_20 < -1.5")}]
+    return [a, b, {"vix_of_vix_z": f"((vix_of_vix - {q.mean('vix_of_vix', 20)}) / nullif({q.std('vix_of_vix', 20)}, 0))", "market_regime": "(CASE WHEN trend_50 > 0 AND vix < 20 THEN 0 WHEN trend_50 > 0 THEN 1 WHEN trend_50 <= 0 AND vix < 20 THEN 2 WHEN trend_50 <= 0 THEN 3 END)", "vix_vs_realized": "(vix / nullif(realized_vol_21 * 100, 0))", "vix_spike": q.flag("vix_z_20 > 2"), "vix_bottom": q.flag("vix_z_20 < -1.5")}]
 
 
 @block("close", "vix_factor")
@@ -415,20 +499,20 @@ def volume_trend(q: Dialect) -> Stages:
 def weighted_return(q: Dialect) -> Stages:
     """Daily, weekly, monthly and long returns (rounded to 3, filled backwards, which looks ahead) weighted by how far
     volatility stands from its mean."""
-    a = {f"_r{k}": f"round({q.change('close', k)} + 1e-9, 3)" for k in (1, 5, 21, 60)}
-    b = {f"_b{k}": q.bfill(f"_r{k}") for k in (1, 5, 21, 60)}
+    a = {f"_r{k}": f"round({q.change('close', k)} + 1e-9, 3)" for k in (1, 5, 21, q.year)}
+    b = {f"_b{k}": q.bfill(f"_r{k}") for k in (1, 5, 21, q.year)}
     c = {"_vol": q.std("_b1", 21)}
     d = {"_vf": q.bfill("_vol")}
     e = {"_vm": q.mean("_vf", 21), "_vs": q.std("_vf", 21), "_row": f"row_number() {q.ordered}"}
     z = "(CASE WHEN _vs > 1e-9 THEN (_vf - _vm) / _vs ELSE 0.0 END)"
-    f = {f"_w{k}": f"least(greatest(0.25 + {m} * {z}, 0), 1)" for k, m in ((1, -0.1), (5, -0.05), (21, 0.05), (60, 0.1))}
-    num = " + ".join(f"_w{k} * coalesce(_b{k}, 0)" for k in (1, 5, 21, 60))
-    return [a, b, c, d, e, f, {"weighted_return": f"(CASE WHEN _row <= 21 THEN 0.0 ELSE ({num}) / (_w1 + _w5 + _w21 + _w60) END)"}]
+    f = {f"_w{k}": f"least(greatest(0.25 + {m} * {z}, 0), 1)" for k, m in ((1, -0.1), (5, -0.05), (21, 0.05), (q.year, 0.1))}
+    num = " + ".join(f"_w{k} * coalesce(_b{k}, 0)" for k in (1, 5, 21, q.year))
+    return [a, b, c, d, e, f, {"weighted_return": f"(CASE WHEN _row <= 21 THEN 0.0 ELSE ({num}) / (_w1 + _w5 + _w21 + _w{q.year}) END)"}]
 
 
 @block("open", "high", "low", "close")
 def gap_thresholds(q: Dialect) -> Stages:
-    """Gaps against quantiles of all earlier ones (60 known)."""
+    """Gaps against quantiles of all earlier ones (a year of them known)."""
     a = {"_gap": f"((open - {q.lag('close')}) / nullif({q.lag('close')}, 0))"}
-    b = {f"gap_q{int(p * 100)}": f"(CASE WHEN count(_gap) {q.before} >= 60 THEN {q.quantile_agg('_gap', p)} {q.before} END)" for p in (0.1, 0.9)}
+    b = {f"gap_q{int(p * 100)}": f"(CASE WHEN count(_gap) {q.before} >= {q.year} THEN {q.quantile_agg('_gap', p)} {q.before} END)" for p in (0.1, 0.9)}
     return [a, b, {"gap_up": q.flag("_gap > gap_q90"), "gap_down": q.flag("_gap < gap_q10")}]

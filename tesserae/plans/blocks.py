@@ -68,9 +68,9 @@ def apply(df: DataFrame, *blocks: Block, dialect: Dialect | None = None) -> Data
     return df
 
 
-def as_sql(source: str, *blocks: Block, columns: list[str], have: set[str]) -> str:
+def as_sql(source: str, *blocks: Block, columns: list[str], have: set[str], dialect: Dialect | None = None) -> str:
     """The same in DuckDB's SQL, over the relation ``source``, with ``columns`` (SQL text) as the result."""
-    q = DuckDialect()
+    q = dialect or DuckDialect()
     text = f"SELECT * FROM {source}"
     for b in ordered(list(blocks), have):
         work: list[str] = []
