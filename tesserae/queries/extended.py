@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import features
-from tesserae.operators import kernels, models
+from tesserae.operators import joins, kernels, models
 from tesserae.plans import blocks
 from tesserae.plans.scale import shared_dir
 from tesserae.queries.panel import bars, rounded, table
@@ -30,8 +30,22 @@ def query(sql: str | None = None):
     return made
 
 
+#: The tables hold 160 days, so the history of ranks is passed shorter than its default.
+_OPTIONS = {"quantile_visibility": {"norm": 100}}
+
+
+def _kernel(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        if name == "reversion_probability":
+            vix = table(spark, d, "rfpredictions").where("date is not null and vix_close > 0").groupBy("date").agg(F.max("vix_close").alias("vix"))
+            return kernels.run(joins.asof(bars(spark, d), vix, "date"), [name], columns=("high", "low", "close", "volume", "vix"))
+        return kernels.run(bars(spark, d), [name], options=_OPTIONS)
+
+    return run
+
+
 for _name in kernels.KERNELS:
-    QUERIES[f"kernel_{_name}"] = lambda spark, d, _k=_name: kernels.run(bars(spark, d), [_k])
+    QUERIES[f"kernel_{_name}"] = _kernel(_name)
 
 
 @query()
