@@ -63,6 +63,13 @@ def feed(spark: SparkSession, path: str, item: str = "item") -> DataFrame:
     return df.select("title", "link", F.coalesce("description", "summary").alias("description"), F.coalesce("pubDate", "updated").alias("published"), "guid")
 
 
+def atom(spark: SparkSession, path: str) -> DataFrame:
+    """Articles of Atom files: the link is an attribute; of several, the first."""
+    kind = "title string, link array<struct<_href:string>>, summary string, content string, updated string, published string, id string"
+    df = spark.read.format("xml").option("rowTag", "entry").schema(kind).load(path)
+    return df.select("title", F.col("link")[0]["_href"].alias("link"), F.coalesce("summary", "content").alias("description"), F.coalesce("published", "updated").alias("published"), F.col("id").alias("guid"))
+
+
 def observations(df: DataFrame, payload: str, key: str) -> DataFrame:
     """(key, date, value) of JSON series {"observations": [{"date": ..., "value": ...}]}; values that are no number, and
     dates that are none, are left out."""
