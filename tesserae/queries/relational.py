@@ -424,6 +424,52 @@ def ticker_clusters(spark, d):
     return relate.clusters(profiles, "ticker", ["profile"], range(6, 20))
 
 
+@query(f"""WITH {PANEL}, p AS (SELECT date, avg(back) AS p FROM panel WHERE back IS NOT NULL GROUP BY date) SELECT ticker, {R('stddev_samp(back) * sqrt(252)', 'vol')}, {R('covar_samp(back, p) * sqrt(252) / (SELECT stddev_samp(p) FROM p)', 'marginal')} FROM panel JOIN p USING (date) WHERE back IS NOT NULL GROUP BY ticker""")
+def risk_marginal(spark, d):
+    return relate.marginal_risk(panel(spark, d), "ticker", "date", "back").selectExpr("ticker", R("vol", "vol"), R("marginal", "marginal"))
+
+
+@query(f"""WITH {PANEL}, c AS (SELECT ticker, date, back AS x FROM panel WHERE abs(back) <= 0.2), e AS (SELECT ticker FROM c GROUP BY ticker HAVING count(*) >= 60 AND stddev_samp(x) * sqrt(252) <= 1), r AS (SELECT * FROM c WHERE ticker IN (SELECT ticker FROM e)),
+d AS (SELECT date FROM r GROUP BY date HAVING count(*) >= 0.6 * (SELECT count(DISTINCT ticker) FROM r)), q AS (SELECT * FROM r WHERE date IN (SELECT date FROM d)), s AS (SELECT ticker, avg(x) AS m, stddev_samp(x) AS s FROM q GROUP BY ticker HAVING count(*) >= 0.5 * (SELECT count(*) FROM d))
+SELECT ticker, {SDAY}, {R('CASE WHEN s IS NULL THEN x ELSE least(greatest(x, m - 3 * s), m + 3 * s) END', 'x')} FROM q JOIN s USING (ticker)""")
+def returns_filtered(spark, d):
+    return relate.filtered_returns(panel(spark, d), "ticker", "date", "back", 60, 0.2, 1.0, 0.6, 0.5).selectExpr("ticker", DAY, R("back", "x"))
+
+
+_ANCHORS = ("2025-04-01", "2025-05-01", "2025-06-01")
+
+
+@query(f"""WITH {PANEL}, {_GROUPS}, k AS (SELECT a.anchor, p.ticker, p.date, back, row_number() OVER (PARTITION BY a.anchor, p.ticker ORDER BY p.date DESC) AS k, count(*) OVER (PARTITION BY a.anchor, p.ticker) AS n
+FROM panel p JOIN (VALUES {', '.join(f"(DATE '{a}')" for a in _ANCHORS)}) AS a(anchor) ON p.date < a.anchor WHERE back IS NOT NULL), r AS (SELECT * FROM k WHERE k <= 60 AND n >= 40),
+z AS (SELECT anchor, ticker, date, (back - avg(back) OVER w) / nullif(stddev_samp(back) OVER w, 0) AS z FROM r WINDOW w AS (PARTITION BY anchor, ticker)), m AS (SELECT anchor, g, date, avg(z) AS gz FROM z JOIN groups USING (ticker) GROUP BY ALL)
+SELECT CAST(anchor AS VARCHAR) AS anchor, ticker, g, {R('covar_samp(z, gz)', 'mean_corr')} FROM z JOIN m USING (anchor, date) GROUP BY anchor, ticker, g""")
+def correlation_at_anchors(spark, d):
+    """Mean correlations with sectors at month beginnings, over the 60 days before each."""
+    rows = relate.anchored(panel(spark, d).where("back is not null").select("ticker", "date", "back"), "ticker", "date", list(_ANCHORS), 60, 40)
+    keyed = rows.withColumn("key", F.struct("anchor", "ticker"))
+    groups = _groups(spark, d)
+    z = relate.standardised(keyed, "key", "date", "back").select(F.col("key.anchor").alias("anchor"), F.col("key.ticker").alias("ticker"), "date", "z")
+    means = z.join(groups, "ticker").groupBy("anchor", "g", "date").agg(F.avg("z").alias("gz"))
+    each = z.join(means, ["anchor", "date"]).groupBy("anchor", "ticker", "g").agg(F.covar_samp("z", "gz").alias("mean_corr"))
+    return each.selectExpr("CAST(anchor AS STRING) AS anchor", "ticker", "g", R("mean_corr", "mean_corr"))
+
+
+@query(f"""WITH {PANEL}, f AS (SELECT ticker, date, coalesce(back, 0) AS x FROM (SELECT DISTINCT ticker FROM panel WHERE back IS NOT NULL) t CROSS JOIN (SELECT DISTINCT date FROM panel WHERE back IS NOT NULL) d LEFT JOIN (SELECT ticker, date, back FROM panel) p USING (ticker, date)),
+w AS (SELECT date, w / sum(w) OVER () AS w FROM (SELECT DISTINCT date, exp(-date_diff('day', date, (SELECT max(date) FROM f)) / 126.0) AS w FROM f)), m AS (SELECT ticker, sum(w * x) AS m FROM f JOIN w USING (date) GROUP BY ticker), c AS (SELECT ticker, date, w, x - m AS y FROM f JOIN w USING (date) JOIN m USING (ticker)),
+v AS (SELECT ticker, sqrt(sum(w * y * y)) AS s FROM c GROUP BY ticker), p AS (SELECT a.ticker AS a, b.ticker AS b, sum(a.w * a.y * b.y) AS ab FROM c a JOIN c b USING (date) GROUP BY 1, 2), r AS (SELECT a, b, greatest(least(ab / (x.s * y.s), 1), -1) AS r FROM p JOIN v x ON x.ticker = a JOIN v y ON y.ticker = b WHERE x.s > 1e-12 AND y.s > 1e-12)
+SELECT a AS ticker, {R('avg(r)', 'mean_corr')}, count(*) AS entities FROM r GROUP BY a""")
+def correlation_weighted(spark, d):
+    """Each ticker's mean in the correlation matrix whose days weigh exp(-age / 126); days without a return are 0."""
+    p = relate.correlation_profiles(panel(spark, d), "ticker", "date", "back", decay_days=126, fill=0.0)
+    return p.selectExpr("ticker", R("aggregate(profile, 0D, (a, v) -> a + v) / size(profile)", "mean_corr"), "CAST(size(profile) AS BIGINT) AS entities")
+
+
+@query()
+def ticker_tree(spark, d):
+    """Hierarchical clusters of the correlation matrix."""
+    return relate.trees(relate.correlation_profiles(panel(spark, d), "ticker", "date", "back"), "ticker", "profile", range(4, 16))
+
+
 # texts -------------------------------------------------------------------------------------------------------------
 def _sum(words: list[str], weight: int) -> str:
     return " + ".join(f"CASE WHEN contains(t, '{w}') THEN {weight} ELSE 0 END" for w in words)

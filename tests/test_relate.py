@@ -31,6 +31,39 @@ def test_correlation_profiles_match_pandas(spark):
     assert np.allclose(np.stack(got.profile), want.to_numpy())
 
 
+def test_profiles_in_blocks_are_the_same(spark):
+    df = spark.createDataFrame(returns(3, 4), "e string, t date, x double")
+    one = {r.e: r.profile for r in relate.correlation_profiles(df, "e", "t", "x").collect()}
+    many = {r.e: r.profile for r in relate.correlation_profiles(df, "e", "t", "x", block_cells=500).collect()}
+    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k]) for k in one)
+    assert relate.correlation_profiles(df.limit(0), "e", "t", "x").count() == 0
+
+
+def test_denoising_keeps_groups_and_loses_noise():
+    rng = np.random.default_rng(3)
+    n, days = 40, 250
+    group = np.arange(n) // 10
+    x = rng.normal(0, 1, (days, 4))[:, group] * 0.7 + rng.normal(0, 1, (days, n))
+    corr = np.corrcoef(x.T)
+    truth = np.where(group[:, None] == group[None, :], 0.49 / 1.49, 0.0)
+    np.fill_diagonal(truth, 1.0)
+    clean = relate.denoised(corr, days)
+    assert np.abs(clean - truth).mean() < 0.75 * np.abs(corr - truth).mean() and np.allclose(np.diag(clean), 1)
+    _, edge = relate.noise_edge(np.linalg.eigvalsh(corr), days)
+    assert (np.linalg.eigvalsh(corr) > edge).sum() == 4
+    l = relate.loadings(corr, 4)
+    assert l.shape == (n, 4) and (l.sum(axis=0) >= 0).all()
+    flat = relate.denoised(corr, days, detone=True)
+    assert np.isfinite(flat).all() and np.allclose(np.diag(flat), 1)
+    assert abs(relate.effective_days([D0 + dt.timedelta(days=i) for i in range(2000)], 126) - 252) < 3
+
+
+def test_trees_find_groups(spark):
+    df = spark.createDataFrame(returns(6, 5, seed=4), "e string, t date, x double")
+    got = relate.trees(relate.correlation_profiles(df, "e", "t", "x"), "e", "profile", range(4, 9)).toPandas()
+    assert len(got) == 30 and (got.groupby(got.e.str[:3]).cluster.nunique() == 1).sum() >= 5
+
+
 def test_clusters_find_more_than_five_groups(spark, monkeypatch):
     df = spark.createDataFrame(returns(8, 6, seed=2), "ticker string, date date, back double")
     monkeypatch.setattr(relational, "panel", lambda s, d: df)
