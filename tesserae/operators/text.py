@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.plans.scale import cut, lookup_join
+
 # Sentiment words; strong ones count 2.
 STRONG_POSITIVE = ["surge", "soar", "rally", "breakthrough", "record"]
 POSITIVE = ["gain", "rise", "boost", "profit", "beat", "outperform", "upgrade", "bullish", "growth", "strong", "exceed", "recovery"]
@@ -127,9 +129,73 @@ def mentions_folded(docs: DataFrame, doc: str, text: str, names: DataFrame, name
 
 def keep_unseen(df: DataFrame, title: str, link: str, order: str) -> DataFrame:
     """Articles whose folded title and whose link each appear first in ``order``; unlike the sequential form, an article
-    also goes when its twin was itself dropped. Null titles or links collide with nothing."""
-    t, u = F.lower(F.trim(F.col(title))), F.col(link)
-    first_t = df.groupBy(t.alias("_t")).agg(F.min(order).alias("_ft"))
-    first_u = df.groupBy(u.alias("_u")).agg(F.min(order).alias("_fu"))
-    joined = df.join(first_t, t == F.col("_t"), "left").join(first_u, u == F.col("_u"), "left")
-    return joined.where((F.col("_ft").isNull() | (F.col("_ft") == F.col(order))) & (F.col("_fu").isNull() | (F.col("_fu") == F.col(order)))).drop("_t", "_ft", "_u", "_fu")
+    also goes when its twin was itself dropped. Null titles or links collide with nothing. A title that very many articles
+    share is one row a task before it is met again, and is then spread over tasks."""
+    rows = df.withColumns({"_t": F.lower(F.trim(F.col(title))), "_u": F.col(link)})
+    first = lambda k: cut(rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first{k}")))
+    joined = lookup_join(lookup_join(rows, first("_t"), ["_t"]), first("_u"), ["_u"])
+    kept = joined.where((F.col("_first_t").isNull() | (F.col("_first_t") == F.col(order))) & (F.col("_first_u").isNull() | (F.col("_first_u") == F.col(order))))
+    return kept.select(*df.columns)
+
+
+def alpha_score(complexity: Column, words: Column) -> Column:
+    """Three quarters complexity, one quarter a length factor that falls with the number of words; three decimals."""
+    length = F.when(words <= 1000, 1.0).when(words <= 3000, 0.8).when(words <= 5000, 0.6).otherwise(F.greatest(F.lit(0.1), (10000 - words) / 10000))
+    return F.round(complexity * 0.75 + length * 0.25, 3)
+
+
+# The forms of terms that lead to further articles, in lower case, and the words of finance names.
+TERM_FORMS = (
+    r"\b([a-z][a-z]+ (?:theorem|model|equation|method|strategy|effect|paradox))\b",
+    r"\b([a-z][a-z]+-[a-z][a-z]+ (?:model|theorem|test))\b",
+    r"\b((?:black-scholes|monte carlo|kelly|sharpe|sortino|value at risk)[^.]*?)\b",
+    r"\b([a-z]+ (?:arbitrage|trading|hedging|pricing|optimization))\b",
+    r"\b((?:algorithmic|quantitative|statistical|stochastic) [a-z]+)\b",
+)
+NAME_WORDS = ("market", "option", "bond", "stock", "fund", "index", "ratio", "model")
+
+
+def related_terms(x: Column, each: int = 3, names: int = 10, most: int = 5) -> Column:
+    """Up to ``most`` distinct terms of a text, in the order of the forms and then of their places: up to ``each`` of every
+    form, and of the first ``names`` capitalised pairs those with a word of finance."""
+    low = F.lower(F.coalesce(x, F.lit("")))
+    found = [F.slice(F.regexp_extract_all(low, F.lit(p), F.lit(1)), 1, each) for p in TERM_FORMS]
+    pairs = F.slice(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), F.lit(1)), 1, names)
+    finance = F.filter(pairs, lambda t: reduce(lambda a, b: a | b, [F.lower(t).contains(w) for w in NAME_WORDS]))
+    return F.slice(F.array_distinct(F.concat(*found, finance)), 1, most)
+
+
+def sentiment_summary(scored: DataFrame, mentions_of: DataFrame, doc: str, name: str) -> DataFrame:
+    """(name, mention_count, avg, std, least, most score, breakdown: a map from sentiment to count) over the documents that
+    mention a name. Counted by (name, sentiment) first, so a name that every document has is a few rows a task."""
+    rows = mentions_of.join(scored.select(doc, "sentiment_score", "sentiment"), doc)
+    parts = rows.groupBy(name, "sentiment").agg(F.count(F.lit(1)).alias("_n"), F.sum("sentiment_score").alias("_s"), F.sum(F.col("sentiment_score") ** 2).alias("_q"), F.min("sentiment_score").alias("_a"), F.max("sentiment_score").alias("_b"))
+    a = parts.groupBy(name).agg(F.sum("_n").alias("mention_count"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.min("_a").alias("min_score"), F.max("_b").alias("max_score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("sentiment", "_n")))).alias("breakdown"))
+    n = F.col("mention_count").cast("double")
+    var = F.greatest((F.col("_q") - F.col("_s") ** 2 / n) / (n - 1), F.lit(0.0))
+    return a.select(name, "mention_count", (F.col("_s") / n).alias("avg_score"), F.when(n > 1, F.sqrt(var)).alias("std_score"), "min_score", "max_score", "breakdown")
+
+
+def insights(summary: DataFrame, name: str, top: int = 10, least_mentions: int = 3, bound: float = 0.4) -> DataFrame:
+    """(list, place, name, ...): the ``top`` names by attention, and of those with ``least_mentions`` the most bullish
+    (average over ``bound``) and the most bearish (under minus ``bound``). Ties go by name."""
+    enough = F.col("mention_count") >= least_mentions
+    lists = [
+        ("attention", summary, [F.desc("mention_count"), F.asc(name)]), ("bullish", summary.where(enough & (F.col("avg_score") > bound)), [F.desc("avg_score"), F.asc(name)]),
+        ("bearish", summary.where(enough & (F.col("avg_score") < -bound)), [F.asc("avg_score"), F.asc(name)]),
+    ]
+    parts = [df.orderBy(*by).limit(top).withColumn("list", F.lit(n)) for n, df, by in lists]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def centroid_cosines(df: DataFrame, vector: str, group: str, anchors: DataFrame, anchor: str) -> DataFrame:
+    """(group, anchor, cosine) of the mean vector of every group and of every anchor (``anchors`` has the same vector
+    column). Means are taken by dimension, so no group is gathered; the join is on the dimension."""
+
+    def means(t: DataFrame, key: str, out: str) -> DataFrame:
+        cells = t.where(F.col(key).isNotNull()).select(F.col(key).alias(out), F.posexplode(vector).alias("_p", "_v"))
+        return cells.groupBy(out, "_p").agg(F.avg(F.col("_v").cast("double")).alias(f"_{out}"))
+
+    a, b = means(df, group, "a"), means(anchors, anchor, "b")
+    both = a.join(b, "_p").groupBy("a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("_ab"), F.sum(F.col("_a") ** 2).alias("_aa"), F.sum(F.col("_b") ** 2).alias("_bb"))
+    return both.select(F.col("a").alias(group), F.col("b").alias(f"{anchor}_anchor"), F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa") * F.col("_bb"))).alias("cosine"))

@@ -508,6 +508,52 @@ def text_first_seen(spark, d):
     return text.keep_unseen(table(spark, d, "documents"), "title", "guid", "doc_id").select("doc_id")
 
 
+@query()
+def text_alpha_score(spark, d):
+    """Of every document: its complexity and length."""
+    docs = text.with_complexity(table(spark, d, "documents"), "text")
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\\s+"), lambda w: w != ""))
+    return docs.select("doc_id", text.alpha_score(F.col("complexity"), words).alias("alpha_score"))
+
+
+@query()
+def text_related_terms(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("; ", text.related_terms(F.col("text"))).alias("terms"))
+
+
+_SCORES = f"""s AS (SELECT doc_id, ticker, lower(coalesce(text, '')) AS t FROM documents), c AS (SELECT doc_id, ticker, {_sum(text.STRONG_POSITIVE, 2)} + {_sum(text.POSITIVE, 1)} AS p, {_sum(text.STRONG_NEGATIVE, 2)} + {_sum(text.NEGATIVE, 1)} AS n FROM s),
+x AS (SELECT doc_id, ticker, CASE WHEN p + n = 0 THEN 0 ELSE (p - n) / (p + n + 5) END AS v FROM c), m AS (SELECT ticker, v, CASE WHEN v > 0.25 THEN 'positive' WHEN v < -0.25 THEN 'negative' ELSE 'neutral' END AS s FROM x WHERE ticker IS NOT NULL),
+a AS (SELECT ticker, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi, count(*) FILTER (s = 'positive') AS pos, count(*) FILTER (s = 'negative') AS neg FROM m GROUP BY ticker)"""
+
+
+def _summary(spark, d):
+    docs = text.with_sentiment(table(spark, d, "documents"), "text")
+    return text.sentiment_summary(docs, docs.where("ticker is not null").select("doc_id", "ticker"), "doc_id", "ticker")
+
+
+@query(f"WITH {_SCORES} SELECT ticker, n AS mention_count, {R('m', 'avg_score')}, {R('sd', 'std_score')}, {R('lo', 'min_score')}, {R('hi', 'max_score')}, pos AS positive, neg AS negative FROM a")
+def text_sentiment_summary(spark, d):
+    return _summary(spark, d).selectExpr("ticker", "mention_count", *[R(c, c) for c in ("avg_score", "std_score", "min_score", "max_score")], "coalesce(breakdown['positive'], 0L) AS positive", "coalesce(breakdown['negative'], 0L) AS negative")
+
+
+_TOP = "SELECT '{n}' AS list, ticker, n, m FROM (SELECT *, row_number() OVER (ORDER BY {o}, ticker) AS k FROM a WHERE {w}) WHERE k <= 10"
+
+
+@query(f"WITH {_SCORES}, u AS ({_TOP.format(n='attention', o='n DESC', w='true')} UNION ALL {_TOP.format(n='bullish', o='m DESC', w='n >= 3 AND m > 0.1')} UNION ALL {_TOP.format(n='bearish', o='m', w='n >= 3 AND m < -0.1')}) SELECT list, ticker, n AS mention_count, {R('m', 'avg_score')} FROM u")
+def text_top_mentions(spark, d):
+    """The ten most mentioned tickers, and the ten most bullish and bearish of those mentioned three times."""
+    s = _summary(spark, d).withColumn("avg_score", F.col("avg_score"))
+    return text.insights(s, "ticker", 10, 3, 0.1).selectExpr("list", "ticker", "mention_count", R("avg_score", "avg_score"))
+
+
+@query(f"""WITH e AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS p FROM embeddings WHERE label IS NOT NULL), c AS (SELECT label, p, avg(CAST(v AS DOUBLE)) AS v FROM e GROUP BY label, p)
+SELECT a.label, b.label AS label_anchor, {R('sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v))', 'cosine')} FROM c a JOIN c b USING (p) GROUP BY a.label, b.label""")
+def text_centroid_cosines(spark, d):
+    """Mean vectors of labels against each other."""
+    e = table(spark, d, "embeddings")
+    return text.centroid_cosines(e, "embedding", "label", e, "label").selectExpr("label", "label_anchor", R("cosine", "cosine"))
+
+
 @query("SELECT ticker, count(*) AS n, count(DISTINCT source) AS sources, max(length(text)) AS longest FROM documents WHERE ticker IS NOT NULL GROUP BY ticker HAVING count(*) >= 3")
 def text_daily_attention(spark, d):
     docs = table(spark, d, "documents").where("ticker is not null")

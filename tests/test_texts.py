@@ -65,3 +65,19 @@ def test_mentions_match_brute_force(spark, small):
     universe = list(zip(names.ticker, names.name))
     got = [(r.doc_id, r.ticker) for r in E.queries()["text_mentions"](spark, small).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, t) for i, x in zip(docs.doc_id, docs.text) for t in mentioned(x, universe)}
+
+
+def test_related_terms_and_alpha(spark):
+    from pyspark.sql import functions as F
+
+    t = "The Heston model and the Black-Scholes equation guide options pricing. Statistical arbitrage and pairs trading. Index Fund and New York. The Euler theorem, a kalman method, one more model."
+    rows = spark.createDataFrame([(1, t, 0.5, 900), (2, None, 0.2, 4000), (3, "", 0.0, 20000)], "i int, t string, c double, w int")
+    out = {r.i: r for r in rows.select("i", text.related_terms(F.col("t")).alias("terms"), text.alpha_score(F.col("c"), F.col("w")).alias("a")).collect()}
+    assert out[1].terms[:3] == ["heston model", "scholes equation", "euler theorem"] and len(out[1].terms) == 5
+    assert out[2].terms == [] and [out[i].a for i in (1, 2, 3)] == [0.625, 0.3, 0.025]
+
+
+def test_first_seen_with_shared_titles(spark):
+    rows = [(1, "Same", "a"), (2, " same ", "b"), (3, None, "a"), (4, None, None), (5, "other", "c"), (6, "OTHER", "d"), (7, None, None)]
+    got = {r.i for r in text.keep_unseen(spark.createDataFrame(rows, "i int, t string, l string"), "t", "l", "i").collect()}
+    assert got == {1, 4, 5, 7}
