@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import features
-from tesserae.operators import joins, kernels, models
+from tesserae.operators import evaluate, joins, kernels, models
 from tesserae.plans import blocks
 from tesserae.plans.scale import shared_dir
-from tesserae.queries.panel import bars, rounded, table
+from tesserae.queries.panel import BARS, bars, rounded, table
 from tesserae.queries.relational import panel
 from tesserae.sources import io
 from tesserae.streaming import windows
@@ -36,6 +36,13 @@ _OPTIONS = {"quantile_visibility": {"norm": 100}}
 
 def _kernel(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
+        if name in ("primitives", "matrix_powers"):
+            columns = ("open", "high", "low", "close", "volume")
+            p = kernels.run(bars(spark, d), ["primitives"], columns=columns)
+            if name == "primitives":
+                return p
+            scales = p.agg(*[F.stddev_pop(f"prim_{k}") for k in kernels.PRIMITIVES]).first()
+            return kernels.run(bars(spark, d), [name], columns=columns, options={name: {"scales": tuple(x or 1.0 for x in scales)}})
         if name == "reversion_probability":
             vix = table(spark, d, "rfpredictions").where("date is not null and vix_close > 0").groupBy("date").agg(F.max("vix_close").alias("vix"))
             return kernels.run(joins.asof(bars(spark, d), vix, "date"), [name], columns=("high", "low", "close", "volume", "vix"))
@@ -106,6 +113,103 @@ def model_boosted(spark: SparkSession, d: str) -> DataFrame:
     return models.boosted_scores(p.where(F.col("date") <= cut), p.where(F.col("date") > cut), cols, "up", trees=5).select("ticker", "date", "probability")
 
 
+@query()
+def model_boosted_stopped(spark: SparkSession, d: str) -> DataFrame:
+    """Boosting that stops by the last fifth of its rows."""
+    p = panel(spark, d).where("ret is not null and score is not null")
+    return models.boosted_scores(p.where(F.col("date") <= "2025-04-15"), p.where(F.col("date") > "2025-04-15"), ["score", "back", "volume"], "up", trees=8, time="date").select("ticker", "date", "probability")
+
+
+@query()
+def model_seed_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    p = panel(spark, d).where("ret is not null and score is not null")
+    return models.ensemble_scores(p.where(F.col("date") <= "2025-04-15"), p.where(F.col("date") > "2025-04-15"), ["score", "back", "volume"], "up", ["ticker", "date"], [1, 2, 3])
+
+
+@query()
+def model_adversarial(spark: SparkSession, d: str) -> DataFrame:
+    """How well the second half of the days is told from the first."""
+    p = panel(spark, d).where("ret is not null and score is not null").withColumn("era", F.expr("CASE WHEN date > DATE '2025-03-01' THEN 1 ELSE 0 END"))
+    return models.adversarial(p, "era", ["score", "back", "volume", "close"], ["ticker", "date"])
+
+
+@query()
+def model_search(spark: SparkSession, d: str) -> DataFrame:
+    p = panel(spark, d).where("ret is not null and score is not null")
+    found = models.search(p, ["score", "back", "volume"], "up", "date", [{"depth": a, "trees": b} for a in (2, 3) for b in (2, 4)])
+    return spark.createDataFrame([(i + 1, float(a), s["depth"], s["trees"]) for i, (a, s) in enumerate(found)], "place int, auc double, depth int, trees int")
+
+
+@query()
+def model_walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps of a walk-forward with the rows of the last 40 days, and their decay against one percent."""
+    p = panel(spark, d).where("ret is not null and score is not null")
+    steps = [(r.anchor, r.next_month) for r in evaluate.anchors(p, "date", "2025-04").orderBy("month").collect()]  # a row a month
+    table_ = models.walk_forward(p, ["score", "back", "volume"], "up", "ret", "date", steps, lambda df, a: evaluate.training_rows(df, "date", a, "recent_40"))
+    return models.decay(table_, 0.01)
+
+
+@query()
+def portfolio_volatility_draws(spark: SparkSession, d: str) -> DataFrame:
+    groups = table(spark, d, "tickerciks").groupBy("ticker").agg(F.max(F.expr("coalesce(nullif(trim(sector), ''), '-')")).alias("g"))
+    return models.portfolio_draws(panel(spark, d), "ticker", "date", "back", groups, "g")
+
+
+_ORDERED = f"b AS (SELECT ticker, date, high, low, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS r FROM ({BARS}))"
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, k AS (SELECT ticker, date, r, close AS x, 1.01 * (1 - 1.01 / 2.01) AS p FROM b WHERE r = 1 UNION ALL
+SELECT b.ticker, b.date, b.r, k.x + (k.p + 0.01) / (k.p + 1.01) * (b.close - k.x), (k.p + 0.01) * (1 - (k.p + 0.01) / (k.p + 1.01)) FROM k JOIN b ON b.ticker = k.ticker AND b.r = k.r + 1)
+SELECT ticker, CAST(date AS VARCHAR) AS day, {rounded('x')} AS kalman FROM k""")
+def kalman_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.run(bars(spark, d), ["kalman"]).selectExpr("ticker", "CAST(date AS STRING) AS day", f"{rounded('kalman')} AS kalman")
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, k AS (SELECT ticker, date, r, low AS sar, high AS ep, 0.02e0 AS af, high AS h, low AS l, close AS c FROM b WHERE r = 1 UNION ALL
+SELECT b.ticker, b.date, b.r, CASE WHEN b.close > k.c THEN least(k.sar + k.af * (k.ep - k.sar), b.low, k.l) ELSE greatest(k.sar + k.af * (k.ep - k.sar), b.high, k.h) END,
+CASE WHEN b.close > k.c THEN greatest(b.high, k.ep) ELSE least(b.low, k.ep) END, CASE WHEN b.close > k.c THEN least(k.af + 0.02, 0.2) ELSE 0.02 END, b.high, b.low, b.close FROM k JOIN b ON b.ticker = k.ticker AND b.r = k.r + 1)
+SELECT ticker, CAST(date AS VARCHAR) AS day, {rounded('sar')} AS parabolic_sar FROM k""")
+def parabolic_stops(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.run(bars(spark, d), ["parabolic_sar"]).selectExpr("ticker", "CAST(date AS STRING) AS day", f"{rounded('parabolic_sar')} AS parabolic_sar")
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, k AS (SELECT ticker, date, r, close AS x, 1.01 * (1 - 1.01 / 2.01) AS p FROM b WHERE r = 1 UNION ALL
+SELECT b.ticker, b.date, b.r, k.x + (k.p + 0.01) / (k.p + 1.01) * (b.close - k.x), (k.p + 0.01) * (1 - (k.p + 0.01) / (k.p + 1.01)) FROM k JOIN b ON b.ticker = k.ticker AND b.r = k.r + 1)
+SELECT ticker, CAST(date AS VARCHAR) AS day, {rounded('x')} AS filtered FROM k""")
+def stream_carried_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The filter with its state carried through a stream of the bars."""
+    path = f"{shared_dir(spark)}/stream-bars-{uuid.uuid4().hex}"
+    bars(spark, d).select("ticker", "date", "close").coalesce(1).write.parquet(path)
+    out = windows.drained(windows.carried_filter(windows.source(spark, path), "ticker", "date", "close"))
+    return out.selectExpr("ticker", "CAST(date AS STRING) AS day", f"{rounded('filtered')} AS filtered")
+
+
+@query("SELECT * FROM (VALUES ('a.csv', 0, 'x', '1'), ('a.csv', 1, 'y', '2'), ('b.csv', 0, 'z', '3')) AS v(member, line, a, b)")
+def source_unzipped(spark: SparkSession, d: str) -> DataFrame:
+    """Delimited members of a ZIP file, read as one table."""
+    import io as memory
+    import zipfile
+
+    raw = memory.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, text in (("a.csv", "x,1\ny, 2\n"), ("b.csv", "z,3\n\n"), ("readme.txt", "no")):
+            z.writestr(name, text)
+    path = f"{shared_dir(spark)}/zip-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/x.zip")
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(raw.getvalue()))
+    out.close()
+    rows = io.text_rows(io.unzipped(spark, path, r".*\.csv"), "text", ["member"])
+    return rows.select("member", "line", F.col("cells")[0].alias("a"), F.col("cells")[1].alias("b"))
+
+
+@query("SELECT * FROM (VALUES (1000045, 'NICHOLAS', '10-Q', DATE '2024-02-13', 'edgar/data/1.txt')) AS v(cik, company, form, filed, path)")
+def source_form_index(spark: SparkSession, d: str) -> DataFrame:
+    lines = ["Description: Master Index", "CIK|Company Name|Form Type|Date Filed|Filename", "-----", "1000045|NICHOLAS |10-Q|2024-02-13|edgar/data/1.txt", "x|y"]
+    return io.form_index(spark.createDataFrame([(x,) for x in lines], "l string"), "l")
+
+
 @query()
 def model_calibrated(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "rfpredictions").where("upprobability is not null and not isnan(upprobability) and upprediction is not null").withColumn("y", F.expr("CASE WHEN upprediction = 1 THEN 1 ELSE 0 END"))

@@ -57,6 +57,42 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def unzipped(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
+    """(path, member, text) of the members of ZIP files whose name matches ``pattern``, a member at a time; files that are
+    no ZIP give nothing."""
+    import io as memory
+    import re
+    import zipfile
+
+    def members(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                raw = memory.BytesIO(content)
+                if not zipfile.is_zipfile(raw):
+                    continue
+                with zipfile.ZipFile(raw) as z:
+                    for name in z.namelist():
+                        if re.fullmatch(pattern, name):
+                            yield pd.DataFrame({"path": [p], "member": [name], "text": [z.read(name).decode("utf-8", "replace")]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, member string, text string")
+
+
+def text_rows(df: DataFrame, text: str, keep: list[str], delimiter: str = ",") -> DataFrame:
+    """(keep, line number, cells) of delimited texts, without blank lines."""
+    lines = F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line", "_l")
+    return df.select(*keep, lines).where(F.trim("_l") != "").select(*keep, "line", F.transform(F.split("_l", "\\Q" + delimiter + "\\E"), lambda c: F.trim(c)).alias("cells"))
+
+
+def form_index(df: DataFrame, line: str) -> DataFrame:
+    """(cik, company, form, filed, path) of the pipe-delimited lines of a quarterly form index; its head is left out."""
+    c = F.split(F.col(line), r"\|")
+    rows = df.where(F.size(c) == 5).select(c[0].try_cast("bigint").alias("cik"), F.trim(c[1]).alias("company"), F.trim(c[2]).alias("form"), F.expr(f"try_cast(split({line}, '[|]')[3] AS date)").alias("filed"), F.trim(c[4]).alias("path"))
+    return rows.where("cik is not null and filed is not null")
+
+
 def feed(spark: SparkSession, path: str, item: str = "item") -> DataFrame:
     """Articles (title, link, description, published) of RSS or Atom files; missing elements are null."""
     df = spark.read.format("xml").option("rowTag", item).schema("title string, link string, description string, summary string, pubDate string, updated string, guid string").load(path)

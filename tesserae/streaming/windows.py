@@ -41,3 +41,29 @@ def tumbling(stream: DataFrame, time: str, value: str, by: str, width: str = "1
 def first_seen(stream: DataFrame, keys: list[str], time: str, late: str = "2 hours") -> DataFrame:
     """Each key once, by state that is dropped after ``late``."""
     return stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark(keys).drop("_t")
+
+
+def carried_filter(stream: DataFrame, entity: str, order: str, value: str, q: float = 0.01, r: float = 1.0) -> DataFrame:
+    """(entity, order, value, filtered): a random-walk filter whose state (level, variance) is carried from batch to batch
+    of the stream, an entity a state. Within a batch an entity's rows are taken in ``order``."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    out = f"{entity} string, {order} {stream.schema[order].dataType.simpleString()}, {value} double, filtered double"
+
+    def step(key: tuple, batches, state: GroupState):
+        rows = pd.concat(list(batches)).sort_values(order)
+        level, p = state.get if state.exists else (float("nan"), 1.0)
+        found = []
+        for x in rows[value].astype(float):
+            level = x if level != level else level
+            p += q
+            g = p / (p + r)
+            level += g * (x - level)
+            p *= 1 - g
+            found.append(level)
+        state.update((level, p))
+        yield pd.DataFrame({entity: [key[0]] * len(rows), order: rows[order].to_numpy(), value: rows[value].astype(float).to_numpy(), "filtered": found})
+
+    rows = stream.where(F.col(value).isNotNull() & F.col(entity).isNotNull()).withColumn(entity, F.col(entity).cast("string")).select(entity, order, value)
+    return rows.groupBy(entity).applyInPandasWithState(step, out, "level double, p double", "append", GroupStateTimeout.NoTimeout)
