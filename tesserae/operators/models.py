@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.cross import auc, pct_rank
-from tesserae.plans.scale import cut, quantiles
+from tesserae.plans.scale import BROADCAST_ROWS, at_most, cut, quantiles
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -60,11 +60,33 @@ def calibrated(train: DataFrame, score: DataFrame, probability: str, label: str)
 
 
 def balanced_sample(df: DataFrame, group: str, per_group: int, seed: int, keys: list[str]) -> DataFrame:
-    """The ``per_group`` rows of each group with the smallest seeded hash: repeatable, whatever the partitioning."""
+    """The ``per_group`` rows of each group with the smallest seeded hash: repeatable, whatever the partitioning. Null
+    groups are a group.
+
+    Only rows whose hash lies in the share that surely holds so many are ordered, so a group of any size sends a bounded
+    number of rows to its task; a group that falls short (one in more than a billion) is taken whole."""
     from pyspark.sql.window import Window
 
     h = F.xxhash64(F.lit(seed), *keys)
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(h, *keys))).where(F.col("_k") <= per_group).drop("_k")
+    share = (h.cast("double") + 2.0**63) / 2.0**64
+    wanted = per_group + 10 * per_group**0.5 + 50
+    counts = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("_all")))
+    rows = _with(df.withColumn("_share", share), counts, group)
+    kept = rows.where(F.col("_share") <= F.lit(wanted) / F.col("_all"))
+    got = cut(kept.groupBy(group).agg(F.count(F.lit(1)).alias("_kept")))
+    short = _with(counts, got, group).where(F.coalesce("_kept", F.lit(0)) < F.least(F.col("_all"), F.lit(per_group)))
+    if short.limit(1).count():
+        short = cut(short.select(group, F.lit(True).alias("_short")))
+        kept = _with(rows, short, group).where(F.col("_short") | (F.col("_share") <= F.lit(wanted) / F.col("_all"))).drop("_short")
+    ranked = kept.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_share", *keys)))
+    return ranked.where(F.col("_k") <= per_group).select(*df.columns)
+
+
+def _with(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of ``small``, null keys meeting null keys; the small side is broadcast behind a count."""
+    right = small.withColumnRenamed(key, "_key")
+    on = df[key].eqNullSafe(right["_key"])
+    return df.join(F.broadcast(right) if at_most(small, BROADCAST_ROWS) else right, on, "left").drop("_key")
 
 
 def split_by_hash(df: DataFrame, keys: list[str], seed: int, share: float = 0.7) -> DataFrame:

@@ -22,6 +22,15 @@ def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     return fill.fill_numeric(_bars(spark, d))
 
 
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The masks of the fills, and the readings of the cells that were not filled, which are those stored; whether every
+    fill is a reading (a price above 0, a volume of at least 0)."""
+    rows = fill.fill_numeric(_bars(spark, d))
+    kept = {f"{c}_kept": F.when(~F.col(f"{c}_filled"), F.col(c)) for c in ("close", "volume")}
+    sound = (~F.col("close_filled") | (F.col("close") > 0)) & (~F.col("volume_filled") | (F.col("volume") >= 0))
+    return rows.withColumns(kept | {"sound": sound}).select("bar_id", "close_filled", "volume_filled", "close_kept", "volume_kept", "sound")
+
+
 def p1_sectors(spark: SparkSession, d: str) -> DataFrame:
     return fill.fill_categorical(spark.read.parquet(f"{d}/tickerciks.parquet"), "sector", "ticker", "snapshot_date")
 
@@ -68,6 +77,12 @@ def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return spikes.verdicts(_bars(spark, d))
 
 
+def p4_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """The bars with a negative reading or a high below the low."""
+    v = spikes.verdicts(_bars(spark, d))
+    return v.where("close_impossible or volume_impossible or high_impossible").select("bar_id").distinct()
+
+
 def _usable_bars(spark: SparkSession, d: str) -> DataFrame:
     ok = fill.usable(_bars(spark, d))
     return ok.drop("close", "volume").withColumnsRenamed({"_ok_close": "close", "_ok_volume": "volume"})
@@ -85,7 +100,7 @@ def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns(sums | {"day": F.date_format("day", "yyyy-MM-dd")})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_sectors, p1_holdout, p3_found, p3_compacted, p4_found, p4_verdicts, p5_found, p5_trailing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p1_kept, p1_sectors, p1_holdout, p3_found, p3_compacted, p4_found, p4_verdicts, p4_impossible, p5_found, p5_trailing)}
 
 _GONE_CLOSE = "(close IS NULL OR NOT isfinite(close) OR close IN (0, -1, -999, -9999, 999999))"
 _GONE_VOLUME = "(volume IS NULL OR NOT isfinite(volume) OR volume IN (-1, -999, -9999))"
@@ -113,6 +128,8 @@ FROM pricedata WHERE date IS NOT NULL AND ticker IS NOT NULL AND NOT {gone}) WHE
 ORACLE = {
     "p1_holdout": f"SELECT field, readings, count(*) AS cells, true AS no_worse_than_mean FROM ({_held_out('close', _GONE_CLOSE)} UNION ALL {_held_out('volume', _GONE_VOLUME)}) GROUP BY field, readings",
     "p1_found": f"SELECT bar_id, 'close' AS field FROM pricedata WHERE {_GONE_CLOSE} UNION ALL SELECT bar_id, 'volume' FROM pricedata WHERE {_GONE_VOLUME}",
+    "p1_kept": f"SELECT bar_id, {_GONE_CLOSE} AS close_filled, {_GONE_VOLUME} AS volume_filled, CASE WHEN NOT {_GONE_CLOSE} THEN close END AS close_kept, CASE WHEN NOT {_GONE_VOLUME} THEN volume END AS volume_kept, true AS sound FROM pricedata",
+    "p4_impossible": f"""SELECT bar_id FROM pricedata WHERE (NOT {_GONE_CLOSE} AND close < 0) OR (NOT {_GONE_VOLUME} AND volume < 0) OR (isfinite(high) AND high NOT IN (0, -1, -999, -9999, 999999) AND (high < 0 OR (low > 0 AND isfinite(low) AND high > 0 AND high < low)))""",
     "p3_found": f"SELECT pred_id FROM (SELECT pred_id, min(pred_id) OVER (PARTITION BY {_RF_CONTENT}) AS first_id FROM rfpredictions) WHERE pred_id > first_id",
     "p3_compacted": f"SELECT * REPLACE ({', '.join(f'CASE WHEN isfinite({c}) OR isinf({c}) THEN {c} END AS {c}' for c in _SCORES)}), {', '.join(f'coalesce(NOT isfinite({c}) AND NOT isinf({c}), false) AS {c}_nan' for c in _SCORES)} FROM (SELECT pred_id, {_RF_CONTENT}, file_id FROM (SELECT *, min(pred_id) OVER (PARTITION BY {_RF_CONTENT}) AS first_id FROM rfpredictions) WHERE pred_id = first_id)",
     "p5_found": f"""{_CALENDAR} SELECT c.ticker, strftime(c.day, '%Y-%m-%d') AS day FROM calendar c WHERE NOT EXISTS

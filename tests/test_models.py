@@ -53,3 +53,12 @@ def test_hash_split_and_draws(spark, rows):
     assert set(out) == {"random", "one group", "diversified"} and all(r.sims == 20 and r.p05 <= r.mean_vol <= r.p95 for r in out.values())
     again = {r.kind: r for r in models.portfolio_draws(rows.repartition(5), "ticker", "date", "ret", groups, "g", sims=20, picks=4).collect()}
     assert all(abs(out[k].mean_vol - again[k].mean_vol) < 1e-12 for k in out)
+
+
+def test_balanced_sample_is_that_of_the_whole_order(spark):
+    rows = [(i, [None, "a", "a", "a", "b"][i % 5]) for i in range(3000)] + [(9000 + i, "few") for i in range(5)]
+    df = spark.createDataFrame(rows, "id bigint, g string")
+    got = models.balanced_sample(df, "g", 40, 3, ["id"]).toPandas()
+    order = df.selectExpr("id", "g", "xxhash64(3, id) AS h").toPandas().sort_values(["h", "id"])
+    want = order.groupby(order.g.fillna("?")).head(40)
+    assert set(got.id) == set(want.id) and len(got) == 40 * 3 + 5
