@@ -77,6 +77,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "eval_id").distinct()
 
 
+def p8_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """Of the leaks, those in which the whole passage stands letter by letter."""
+    docs, items = _table(spark, d, "documents").select("doc_id", "text"), _table(spark, d, "eval_items").select("eval_id", "passage")
+    found = leaks(docs, items).select("doc_id", "eval_id").distinct()
+    return found.join(docs, "doc_id").join(items, "eval_id").where(F.contains("text", "passage")).select("doc_id", "eval_id")
+
+
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each reason takes out."""
+    return residue(_table(spark, d, "documents")).groupBy("reason").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(_table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -85,7 +97,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_best_by_model, p6_ranks_by_date, p6_percentiles_by_date, p6_percentiles_by_model, p6_p99_by_feature, p6_bounded_by_date, p7_found, p7_containers, p7_fill, p8_found, p9_found, p9_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_best_by_model, p6_ranks_by_date, p6_percentiles_by_date, p6_percentiles_by_model, p6_p99_by_feature, p6_bounded_by_date, p7_found, p7_containers, p7_fill, p8_found, p8_verbatim, p9_found, p9_kept, p9_reasons)}
 
 _SCORED = "upprobability IS NOT NULL AND NOT isnan(upprobability)"
 
@@ -107,6 +119,7 @@ FROM (SELECT date, upprobability AS value, count(*) AS n FROM rfpredictions WHER
     "p6_percentiles_by_date": _percentiles("rfpredictions", "date", "upprobability"),
     "p6_percentiles_by_model": _percentiles("rfpredictions", "model_tag", "upprobability"),
     "p6_p99_by_feature": _percentiles("(SELECT lower(feature) AS feature, p99 FROM distribution_summary) AS s", "feature", "p99"),
+    "p8_verbatim": "SELECT doc_id, eval_id FROM documents, eval_items WHERE contains(text, passage)",
     "p7_fill": """SELECT spec_id, count(*) FILTER (n > 0) AS items, CAST(sum(n) AS BIGINT) AS tokens, true AS within, CAST(ceil(sum(n) / capacity_tokens) AS BIGINT) AS least, true AS well_filled
 FROM (SELECT coalesce(octet_length(encode(text)), 0) AS n FROM documents), container_specs GROUP BY spec_id, capacity_tokens""",
     "p7_found": "SELECT spec_id, doc_id FROM documents, container_specs WHERE octet_length(encode(text)) > capacity_tokens",

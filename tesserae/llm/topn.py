@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tesserae.plans.scale import cut, lookup_join
+from tesserae.plans.scale import BROADCAST_ROWS, cut, lookup_join
 
 #: Bisection steps a pass.
 BITS = 6
@@ -101,12 +101,13 @@ def _narrowed(counts: DataFrame) -> DataFrame:
     )
 
 
-def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[str, bool]]) -> DataFrame:
+def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[str, bool]], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The ``n`` rows of highest ``score`` of every group; ``ties``: (column, descending) that order equal scores.
 
     Null and NaN scores take no part. Null groups are a group, null tie values come last. Where rows equal in all of
     these compete for the last places, those with the larger hash of the whole row go first; equal rows are
-    interchangeable, and as many as places are left are returned. Groups of fewer than ``n`` rows come whole."""
+    interchangeable, and as many as places are left are returned. Groups of fewer than ``n`` rows come whole. Beyond
+    ``broadcast_rows`` groups the cutoffs are joined by a shuffle, salted for groups that hold more than their share."""
     columns = df.columns
     x = F.col(score).cast("double")
     coded = df.where(x.isNotNull() & ~F.isnan(x)).select(*columns, F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]).alias("_g"), score_code(x).alias("_s"))
@@ -119,7 +120,7 @@ def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[
     state = first.select("_g", F.lit(0).alias("_digit"), "_lo", "_hi", F.lit(n).cast("bigint").alias("_need"), (F.col("_n") <= n).alias("_done"))
     rows, taken = coded, []
     while True:
-        joined = lookup_join(rows, state, ["_g"], "inner")
+        joined = lookup_join(rows, state, ["_g"], "inner", broadcast_rows)
         counts = (
             joined.where(~F.col("_done")).withColumn("_x", _digit(ds))
             .groupBy("_g", "_digit", "_need", _part(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_part"))
@@ -128,7 +129,7 @@ def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[
         narrowed = cut(_narrowed(counts))
         whole = state.where("_done").select("_g", "_digit", "_lo", "_hi", "_need", "_done", F.lit(False).alias("_next"))
         decided = cut(narrowed.unionByName(whole))
-        split = lookup_join(rows, decided, ["_g"], "inner").withColumn("_x", _digit(ds)).where(F.col("_x") >= F.col("_lo"))
+        split = lookup_join(rows, decided, ["_g"], "inner", broadcast_rows).withColumn("_x", _digit(ds)).where(F.col("_x") >= F.col("_lo"))
         split = cut(split.select(*columns, "_g", "_s", (F.col("_done") | (F.col("_x") > F.col("_hi"))).alias("_take")))
         taken.append(split.where("_take").select(*columns))
         rows = split.where(~F.col("_take")).drop("_take")
@@ -145,7 +146,7 @@ def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[
             # rows equal in every digit, so copies of each other: any of them; the limit before the shuffle keeps a task
             # from holding more than n rows of a group
             w = Window.partitionBy("_g").orderBy(F.lit(1))
-            rest = lookup_join(rows, cut(spent.select("_g", F.col("_need").alias("_left"))), ["_g"], "inner")
+            rest = lookup_join(rows, cut(spent.select("_g", F.col("_need").alias("_left"))), ["_g"], "inner", broadcast_rows)
             taken.append(rest.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).where(F.col("_k") <= F.col("_left")).select(*columns))
             state = state.where(F.col("_digit") < len(ds))
         if not state.limit(1).count():

@@ -68,6 +68,14 @@ def test_top_n_matches_sorting(spark, seed):
     assert sorted(map(tuple, out), key=str) == brute(rows, 7)
 
 
+def test_top_n_with_more_groups_than_are_broadcast(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 400) if i % 3 else 7, round(rng.uniform(-1, 1), 2), "A") for i in range(4000)]  # one group holds a third
+    df = spark.createDataFrame(rows, "id bigint, g int, score double, t string")
+    out = top_n(df, ["g"], "score", 3, [("t", False), ("id", False)], broadcast_rows=10).select("id", "g", "score", "t").collect()
+    assert sorted(map(tuple, out), key=str) == brute(rows, 3)
+
+
 def test_top_n_of_copies_and_of_nothing(spark):
     df = spark.createDataFrame([(1, 0, 0.5)] * 40 + [(2, 0, 0.4)], "id bigint, g int, score double")
     assert [tuple(r) for r in top_n(df, ["g"], "score", 5, [("id", False)]).collect()] == [(1, 0, 0.5)] * 5
