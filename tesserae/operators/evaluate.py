@@ -58,9 +58,10 @@ def rank_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def daily_summary(daily: DataFrame, value: str = "ic") -> DataFrame:
-    """One row: ``days``, mean, deviation, their ratio (``icir``) and the share of positive days of a daily series."""
+    """One row: ``days``, mean, deviation, their ratio (``icir``) and the share of positive days of a daily series (over floating noise: equal
+    ranks cancel to 0 only up to it)."""
     x = F.col(value)
-    a = daily.where(x.isNotNull()).agg(F.count(x).alias("days"), F.avg(x).alias("mean_ic"), F.stddev_samp(x).alias("std_ic"), F.avg(F.when(x > 0, 1.0).otherwise(0.0).cast("double")).alias("positive"))
+    a = daily.where(x.isNotNull()).agg(F.count(x).alias("days"), F.avg(x).alias("mean_ic"), F.stddev_samp(x).alias("std_ic"), F.avg(F.when(x > 1e-12, 1.0).otherwise(0.0).cast("double")).alias("positive"))
     return a.withColumn("icir", F.try_divide("mean_ic", "std_ic"))
 
 

@@ -85,7 +85,7 @@ def rank_correlation_matrix(spark, d):
 
 
 @query(f"""WITH {PANEL}, {FULL}, r AS (SELECT date, {Q.rank('score')} AS a, {Q.rank('ret')} AS b FROM full_panel), i AS (SELECT date, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM r GROUP BY date HAVING count(*) >= 5)
-SELECT count(ic) AS days, {R('avg(ic)', 'mean_ic')}, {R('stddev_samp(ic)', 'std_ic')}, {R('avg(ic) / stddev_samp(ic)', 'icir')}, {R('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)', 'positive')} FROM i WHERE ic IS NOT NULL""")
+SELECT count(ic) AS days, {R('avg(ic)', 'mean_ic')}, {R('stddev_samp(ic)', 'std_ic')}, {R('avg(ic) / stddev_samp(ic)', 'icir')}, {R('avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END)', 'positive')} FROM i WHERE ic IS NOT NULL""")
 def daily_ic_summary(spark, d):
     s = evaluate.daily_summary(cross.rank_correlations(full(spark, d), "score", "ret", "date"))
     return s.selectExpr("days", *[R(c, c) for c in ("mean_ic", "std_ic", "icir", "positive")])
