@@ -139,6 +139,15 @@ def stuck(days: list[set[float]]) -> list[list[float] | None]:
     return out
 
 
+def _may_be_stuck(first: np.ndarray, last: np.ndarray, more: list) -> bool:
+    """Whether any reading can stand on three days in a row: two neighbouring days share one twice in a row, or some day has
+    more than two readings. Without that :func:`stuck` finds nothing, as runs are longer than two."""
+    if any(m is not None for m in more):
+        return True
+    same = (first[1:] == first[:-1]) | (first[1:] == last[:-1]) | (last[1:] == first[:-1]) | (last[1:] == last[:-1])
+    return bool((same[1:] & same[:-1]).any())
+
+
 def _kernel(names: list[str], ticks: list[float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,6 +166,8 @@ def _kernel(names: list[str], ticks: list[float]):
                         x = np.log(last[use])
                         lo[use], hi[use] = accepted(x, tick / float(np.median(last[use])) if tick else 1e-9)
                     move = np.where(~np.isnan(last) & ~flat)[0]
+                    if not _may_be_stuck(first[move], last[move], [more[k] for k in move]):
+                        move = move[:0]
                     for k, held in zip(move, stuck([{first[k], last[k], *(() if more[k] is None else more[k])} for k in move])):
                         fz[k] = held
                     frame |= {f"_lo_{name}": lo, f"_hi_{name}": hi, f"_fz_{name}": fz}

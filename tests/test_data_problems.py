@@ -252,6 +252,16 @@ def test_stuck_runs_may_overlap():
     assert [i for i in range(100) if got[i]] == list(range(21, 40)) and got[29] == [-1.0] and got[30] == [-2.0]
 
 
+def test_the_check_before_stuck_runs_drops_none():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        n = int(rng.integers(1, 30))
+        first, last = rng.integers(0, 4 if rng.random() < 0.5 else 40, (2, n)).astype(float)
+        held = [x for x in spikes.stuck([{a, b} for a, b in zip(first, last)]) if x]
+        assert not held or spikes._may_be_stuck(first, last, [None] * n)
+    assert spikes._may_be_stuck(np.array([1.0]), np.array([1.0]), [[1.0, 2.0, 3.0]])
+
+
 def test_implausible_of_nothing(spark):
     assert spikes.implausible(frame(spark, [])).count() == 0
 
