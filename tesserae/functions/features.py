@@ -174,8 +174,8 @@ def wilder_rsi(q: Dialect) -> Stages:
     """RSI with exponential averages (alpha 1/n, not adjusted), known from n changes on."""
     a = {"_d": q.diff("close")}
     b = {"_up": "(CASE WHEN _d > 0 THEN _d WHEN _d IS NOT NULL THEN 0.0 END)", "_dn": "(CASE WHEN _d < 0 THEN -_d WHEN _d IS NOT NULL THEN 0.0 END)"}
-    c = {f"_l{k}{n}": q.ewm(x, 1 / n) for n in (7, 14, 28) for k, x in (("u", "_up"), ("d", "_dn"))} | {"_n": f"count(_d) {q.so_far}"}
-    d = {f"_{k}{n}": q.fold_ewm(f"_l{k}{n}", 1 / n, False) for n in (7, 14, 28) for k in ("u", "d")}
+    c = {"_lu": q.ewm("_up", 1 / 28), "_ld": q.ewm("_dn", 1 / 28), "_n": f"count(_d) {q.so_far}"}  # the longest serves all
+    d = {f"_{k}{n}": q.fold_ewm(f"_l{k}", 1 / n, False) for n in (7, 14, 28) for k in ("u", "d")}
     e = {f"rsi_{n}": f"(CASE WHEN _n >= {n} AND _d{n} > 1e-12 THEN 100 - 100 / (1 + _u{n} / _d{n}) END)" for n in (7, 14, 28)}
     return [a, b, c, d, e]
 
