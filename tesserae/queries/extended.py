@@ -184,6 +184,40 @@ def stream_carried_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.selectExpr("ticker", "CAST(date AS STRING) AS day", f"{rounded('filtered')} AS filtered")
 
 
+_DAY = "CAST(date AS STRING) AS day"
+
+
+@query(f"""WITH w AS (SELECT ticker, date, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS 119 PRECEDING) AS l FROM ({BARS})), t AS (SELECT ticker, date, ln(k) AS x, ln(list_aggregate(list_transform(range(1, 121 - k), lambda i: l[i + k] - l[i]), 'stddev_pop')) AS y FROM w, range(2, 100) r(k) WHERE len(l) = 120)
+SELECT ticker, CAST(date AS VARCHAR) AS day, {rounded('2 * regr_slope(y, x)')} AS hurst FROM t GROUP BY ticker, date HAVING min(y) > -700""")
+def hurst_rolling(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.run(bars(spark, d), ["rolling_hurst"]).where("hurst is not null").selectExpr("ticker", _DAY, f"{rounded('hurst')} AS hurst")
+
+
+def _extreme(sign: str) -> str:
+    return f"list_filter(range(2, len(l)), lambda p: len(list_filter(range(1, 11), lambda k: {sign} * l[p] <= {sign} * l[greatest(p - k, 1)] OR {sign} * l[p] <= {sign} * l[least(p + k, len(l))])) = 0)"
+
+
+@query(f"""WITH w AS (SELECT ticker, date, close, high, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS 50 PRECEDING) AS l FROM ({BARS})), e AS (SELECT *, CASE WHEN len(l) > 10 THEN list_max({_extreme('1')}) END AS a, CASE WHEN len(l) > 10 THEN list_max({_extreme('-1')}) END AS b FROM w),
+x AS (SELECT *, coalesce((close - l[a]) / l[a], 0) AS peak, coalesce((close - l[b]) / l[b], 0) AS trough FROM e)
+SELECT ticker, CAST(date AS VARCHAR) AS day, {rounded('peak')} AS distance_from_peak, {rounded('trough')} AS distance_from_trough, {rounded('(-peak * (high - close) / (close + 1e-10))')} AS pattern_indicator FROM x""")
+def extrema_distance(spark: SparkSession, d: str) -> DataFrame:
+    out = kernels.run(bars(spark, d), ["extrema_distances"])
+    return out.selectExpr("ticker", _DAY, *[f"{rounded(c)} AS {c}" for c in ("distance_from_peak", "distance_from_trough", "pattern_indicator")])
+
+
+_W60 = "OVER (PARTITION BY ticker ORDER BY date ROWS 59 PRECEDING)"
+
+
+@query(f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS r, abs(close - lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS step FROM ({BARS})), w AS (SELECT *, list(close) {_W60} AS l,
+list(CASE WHEN step > 1e-10 THEN ln(step) END) OVER (PARTITION BY ticker ORDER BY date ROWS 58 PRECEDING) AS s, corr(r, volume) OVER (PARTITION BY ticker ORDER BY date ROWS 50 PRECEDING) AS c, stddev_pop(volume) OVER (PARTITION BY ticker ORDER BY date ROWS 50 PRECEDING) AS sv FROM b)
+SELECT ticker, CAST(date AS VARCHAR) AS day, {rounded("CASE WHEN r >= 60 THEN coalesce(list_avg(list_filter(s, lambda e: e IS NOT NULL)), 0) END")} AS lyapunov_60, {rounded("CASE WHEN r >= 60 THEN (list_position(l, list_max(l)) - list_position(l, list_min(l))) / 59.0 END")} AS time_between_extremes_60,
+{rounded("CASE WHEN r >= 51 AND sv > 0 THEN c END")} AS vg_volume_trend FROM w""")
+def kernel_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Those readings of the complexity and path kernels that windows of SQL can state."""
+    out = kernels.run(bars(spark, d), ["complexity", "visibility_paths"])
+    return out.selectExpr("ticker", _DAY, *[f"{rounded(c)} AS {c}" for c in ("lyapunov_60", "time_between_extremes_60", "vg_volume_trend")])
+
+
 @query("SELECT * FROM (VALUES ('a.csv', 0, 'x', '1'), ('a.csv', 1, 'y', '2'), ('b.csv', 0, 'z', '3')) AS v(member, line, a, b)")
 def source_unzipped(spark: SparkSession, d: str) -> DataFrame:
     """Delimited members of a ZIP file, read as one table."""
