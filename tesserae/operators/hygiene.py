@@ -9,24 +9,39 @@ from pyspark.sql.window import Window
 from tesserae.functions.missing import finite
 
 
-def interpolate(df: DataFrame, columns: list[str], entity: str, time: str, limit: int = 50, mark: bool = False) -> DataFrame:
-    """Linear by row position between known values, at most ``limit`` rows after the last one; further gaps, and those
+def interpolate(df: DataFrame, columns: list[str], entity: str, time: str, limit: int = 50, mark: bool = False, by_time: bool = False) -> DataFrame:
+    """Linear by row position (or, ``by_time``, by days) between known values, at most ``limit`` rows after the last one; further gaps, and those
     without a later value, carry the last value for up to ``limit`` rows. ``mark`` adds ``<column>_interpolated``."""
     w = Window.partitionBy(entity).orderBy(time)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("_row", F.row_number().over(w))
+    df = df.withColumn("_row", F.row_number().over(w)).withColumn("_at", F.unix_date(F.col(time).cast("date")) if by_time else F.col("_row"))
     out = {}
     for c in columns:
         x = finite(F.col(c))
-        here = F.when(x.isNotNull(), F.struct(F.col("_row").alias("r"), x.alias("v")))
+        here = F.when(x.isNotNull(), F.struct(F.col("_row").alias("r"), F.col("_at").alias("t"), x.alias("v")))
         a, b = F.last(here, True).over(back), F.first(here, True).over(ahead)
         since = F.col("_row") - a["r"]
-        line = a["v"] + (b["v"] - a["v"]) * since / (b["r"] - a["r"])
+        line = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col("_at") - a["t"], b["t"] - a["t"])
         filled = F.when(since <= limit, F.when(b["r"].isNotNull(), line).otherwise(a["v"]))
         out[c] = F.coalesce(x, filled)
         if mark:
             out[f"{c}_interpolated"] = x.isNull() & filled.isNotNull()
-    return df.withColumns(out).drop("_row")
+    return df.withColumns(out).drop("_row", "_at")
+
+
+def forward_filled(df: DataFrame, columns: list[str], entity: str, time: str) -> DataFrame:
+    """``columns`` as floats, unknown values carried forward from the entity's last known one; leading ones stay unknown."""
+    w = Window.partitionBy(entity).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(finite(F.col(c)), True).over(w).cast("float") for c in columns})
+
+
+def big_moves(df: DataFrame, entity: str, price: str, time: str, size: float = 1.0, most: int = 10) -> DataFrame:
+    """(entity, moves, warns): how many changes from one known price to the next are larger than ``size``, and whether they
+    are more than ``most``."""
+    w = Window.partitionBy(entity).orderBy(time)
+    known = df.where(finite(F.col(price)).isNotNull() & (F.col(price) != 0)).withColumn("_b", F.lag(price).over(w))
+    each = known.groupBy(entity).agg(F.sum(F.when(F.abs(F.col(price) / F.col("_b") - 1) > size, 1).otherwise(0)).alias("moves"))
+    return each.withColumn("warns", F.col("moves") > most)
 
 
 def winsorise(df: DataFrame, column: str, entity: str, time: str, rows: int = 282, sigmas: float = 3.0) -> DataFrame:

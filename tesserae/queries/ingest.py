@@ -195,3 +195,24 @@ def source_columnar_json(spark, d):
 @query("SELECT \"column\", known FROM (VALUES ('cik', (SELECT count(cik) FROM tickerciks)), ('exchange', (SELECT count(exchange) FROM tickerciks)), ('sector', (SELECT count(sector) FROM tickerciks))) AS v(\"column\", known)")
 def source_profile_known(spark, d):
     return io.profile(table(spark, d, "tickerciks").select("cik", "exchange", "sector")).select("column", "known")
+
+
+@query("SELECT 'first' AS built, count(*) AS n FROM tickerciks UNION ALL SELECT 'again', 1")
+def source_cached(spark, d):
+    """A fresh copy is read as it is; one that is too old is built again."""
+    path = tables.scratch(spark, "cached")
+    t = table(spark, d, "tickerciks").select("ticker")
+    io.cached(spark, path, lambda: t)
+    first = io.cached(spark, path, lambda: spark.range(1)).agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    again = io.cached(spark, path, lambda: spark.createDataFrame([("one",)], "ticker string"), max_age_hours=0.0).count()
+    return spark.createDataFrame([("first", first), ("again", again)], "built string, n bigint")
+
+
+@query("SELECT '2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824' AS sha256, 1 AS files, 5 AS bytes")
+def source_checksums(spark, d):
+    """Of a file of known content."""
+    path = tables.scratch(spark, "sums")
+    tables.put(spark, f"{path}/x.txt", b"hello")
+    sums = io.checksums(spark, path).select("sha256")
+    files = io.inventory(spark, path).select("files", "bytes")
+    return sums.withColumn("_k", F.lit(1)).join(files.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -248,6 +248,26 @@ def hygiene_interpolate(spark, d):
     return hygiene.interpolate(days, ["x"], "ticker", "date", 3, True).selectExpr("ticker", DAY, R("x", "x"), "x_interpolated AS filled")
 
 
+@query(f"""WITH gappy AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS r FROM (SELECT ticker, date, arg_max(close, bar_id) FILTER ({_USABLE.format('isfinite(close)')}) AS x FROM pricedata WHERE date IS NOT NULL GROUP BY ticker, date)),
+ends AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN r END IGNORE NULLS) OVER p AS ra, last_value(CASE WHEN x IS NOT NULL THEN date END IGNORE NULLS) OVER p AS ta, last_value(x IGNORE NULLS) OVER p AS va, first_value(CASE WHEN x IS NOT NULL THEN date END IGNORE NULLS) OVER f AS tb, first_value(x IGNORE NULLS) OVER f AS vb FROM gappy
+WINDOW p AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT ticker, CAST(date AS VARCHAR) AS day, {R("coalesce(x, CASE WHEN r - ra <= 50 THEN CASE WHEN tb IS NOT NULL THEN va + (vb - va) * date_diff('day', ta, date) / date_diff('day', ta, tb) ELSE va END END)", "x")} FROM ends""")
+def hygiene_interpolate_by_time(spark, d):
+    ok = F.expr(_USABLE.format("NOT isnan(close)"))
+    days = table(spark, d, "pricedata").where("date is not null").groupBy("ticker", "date").agg(F.max_by(F.when(ok, F.col("close")), F.when(ok, F.col("bar_id"))).alias("x"))
+    return hygiene.interpolate(days, ["x"], "ticker", "date", by_time=True).selectExpr("ticker", DAY, R("x", "x"))
+
+
+@query(f"""SELECT bar_id, {R('CAST(last_value(CASE WHEN isfinite(close) THEN close END IGNORE NULLS) OVER w AS FLOAT)', 'close')}, {R('CAST(last_value(CASE WHEN isfinite(volume) THEN volume END IGNORE NULLS) OVER w AS FLOAT)', 'volume')} FROM pricedata WINDOW w AS (PARTITION BY ticker ORDER BY bar_id ROWS UNBOUNDED PRECEDING)""")
+def hygiene_forward_fill(spark, d):
+    return hygiene.forward_filled(table(spark, d, "pricedata"), ["close", "volume"], "ticker", "bar_id").selectExpr("bar_id", R("close", "close"), R("volume", "volume"))
+
+
+@query("""WITH k AS (SELECT ticker, close, lag(close) OVER (PARTITION BY ticker ORDER BY bar_id) AS b FROM pricedata WHERE isfinite(close) AND close <> 0) SELECT ticker, CAST(sum(CASE WHEN abs(close / b - 1) > 1 THEN 1 ELSE 0 END) AS BIGINT) AS moves, sum(CASE WHEN abs(close / b - 1) > 1 THEN 1 ELSE 0 END) > 10 AS warns FROM k GROUP BY ticker""")
+def hygiene_big_moves(spark, d):
+    return hygiene.big_moves(table(spark, d, "pricedata"), "ticker", "close", "bar_id")
+
+
 @query(f"""WITH bars AS ({BARS}), m AS (SELECT *, avg(back) OVER w AS mu, stddev_samp(back) OVER w AS sd FROM (SELECT *, close / {Q.lag('close')} - 1 AS back0, CASE WHEN close / {Q.lag('close')} - 1 <> 0 THEN close / {Q.lag('close')} - 1 END AS back FROM bars)
 WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 281 PRECEDING)) SELECT ticker, CAST(date AS VARCHAR) AS day, {R('CASE WHEN sd IS NULL THEN back0 WHEN back0 IS NULL THEN least(mu + 3 * sd, greatest(NULL, mu - 3 * sd)) ELSE least(greatest(back0, mu - 3 * sd), mu + 3 * sd) END', 'x')} FROM m""")
 def hygiene_winsorise(spark, d):

@@ -57,6 +57,22 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def cached(spark: SparkSession, path: str, build, max_age_hours: float = 24.0) -> DataFrame:
+    """The Parquet table at ``path`` if it is complete and younger than ``max_age_hours``, otherwise what ``build()`` gives,
+    written beside it first and then renamed over it, so that readers see a whole table or the one before."""
+    import time
+
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    at, beside, mark = make(path), make(path + ".next"), make(path + "/_SUCCESS")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not (fs.exists(mark) and time.time() - fs.getFileStatus(mark).getModificationTime() / 1000 < max_age_hours * 3600):
+        build().write.mode("overwrite").parquet(path + ".next")
+        fs.delete(at, True)
+        fs.rename(beside, at)
+    return spark.read.parquet(path)
+
+
 def unzipped(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
     """(path, member, text) of the members of ZIP files whose name matches ``pattern``, a member at a time; files that are
     no ZIP give nothing."""

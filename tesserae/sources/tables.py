@@ -140,6 +140,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of ``content``, written under another name and then renamed, so that it is there as a whole or not at all."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(p(path + ".part"), True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    fs.rename(p(path + ".part"), p(path))
+
+
 def entity_from_path(df: DataFrame, entity: str, pattern: str = r"([^/]+?)(?:\.[A-Za-z0-9.]+)?$") -> DataFrame:
     """``df`` with ``entity`` taken from the path of the file a row comes from, by default its name without suffix."""
     return df.withColumn(entity, F.regexp_extract(F.input_file_name(), pattern, 1))
