@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -61,19 +62,13 @@ def filtered_returns(df: DataFrame, entity: str, time: str, x: str, least_days:
     return out.select(entity, time, F.when(F.col("_s").isNull(), F.col(x)).otherwise(F.least(F.greatest(F.col(x), lo), hi)).alias(x))
 
 
-def correlation_profiles(df: DataFrame, entity: str, time: str, x: str, decay_days: float | None = None, fill: float | None = None, block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """(entity, profile): each entity's row of the correlation matrix, its columns in the order of the entities. Series are
-    aligned on time; missing values are ``fill``, or without one filled backwards, then forwards. Null and flat entities are
-    left out. With ``decay_days`` a time weighs exp(-age / decay_days), age in days to the newest.
-
-    The series stay distributed. A block of columns is broadcast at a time, ``block_cells`` at most, whatever the number of
-    entities; a row of the matrix, as long as there are entities, is put together in the task that writes it."""
+def _series(df: DataFrame, entity: str, time: str, x: str, decay_days: float | None = None, fill: float | None = None) -> tuple[DataFrame | None, int]:
+    """((entity, _y), times): each entity's series over the calendar, less its weighted mean and of norm 1, so that the product
+    of two is their correlation; kept in the shared folder. None without any value."""
     known = df.where(F.col(x).isNotNull() & F.col(entity).isNotNull() & F.col(time).isNotNull())
     times = [r[0] for r in known.select(time).distinct().orderBy(time).collect()]  # the calendar
-    spark, kind = df.sparkSession, df.schema[entity].dataType.simpleString()
-    schema = f"{entity} {kind}, profile array<double>"
     if not times:
-        return spark.createDataFrame([], schema)
+        return None, 0
     place = {t: k for k, t in enumerate(times)}
     age = np.array([float((times[-1] - t).days) if decay_days else 0.0 for t in times])
     weight = np.exp(-age / decay_days) if decay_days else np.ones(len(times))
@@ -94,8 +89,22 @@ def correlation_profiles(df: DataFrame, entity: str, time: str, x: str, decay_da
             yield pd.DataFrame({entity: names, "_y": rows})
 
     cells = known.groupBy(entity).agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col(x).cast("double").alias("x"))).alias("_c"))
-    series = cut(cells.mapInPandas(standard, f"{entity} {kind}, _y array<double>"))
-    each = max(1, block_cells // len(times))
+    return cut(cells.mapInPandas(standard, f"{entity} {df.schema[entity].dataType.simpleString()}, _y array<double>")), len(times)
+
+
+def correlation_profiles(df: DataFrame, entity: str, time: str, x: str, decay_days: float | None = None, fill: float | None = None, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """(entity, profile): each entity's row of the correlation matrix, its columns in the order of the entities. Series are
+    aligned on time; missing values are ``fill``, or without one filled backwards, then forwards. Null and flat entities are
+    left out. With ``decay_days`` a time weighs exp(-age / decay_days), age in days to the newest.
+
+    The series stay distributed. A block of columns is broadcast at a time, ``block_cells`` at most, whatever the number of
+    entities; a row of the matrix, as long as there are entities, is put together in the task that writes it."""
+    spark, kind = df.sparkSession, df.schema[entity].dataType.simpleString()
+    schema = f"{entity} {kind}, profile array<double>"
+    series, times = _series(df, entity, time, x, decay_days, fill)
+    if series is None:
+        return spark.createDataFrame([], schema)
+    each = max(1, block_cells // times)
     number = 0
     parts: DataFrame | None = None
 
@@ -126,6 +135,59 @@ def correlation_profiles(df: DataFrame, entity: str, time: str, x: str, decay_da
     return whole.select(entity, F.flatten(F.col("_p._part")).alias("profile"))
 
 
+def _moments(series: DataFrame, times: int, weigh: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the outer products of (y, 1) over the series, each over y ``weigh`` y or 0 where that is next to none: with it
+    times x times sums of products, sums and the number. A partition sends one such matrix a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                y = np.stack(pdf["_y"].to_numpy())
+                z = np.hstack([y, np.ones((len(y), 1))])
+                by = np.ones(len(y)) if weigh is None else ((y @ weigh) * y).sum(axis=1)
+                by = np.divide(1.0, by, out=np.zeros(len(y)), where=by > 1e-12)
+                yield pd.DataFrame({"_a": range(times + 1), "_row": list((z * by[:, None]).T @ z)})
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    parts = series.mapInPandas(run, "_a int, _row array<double>").groupBy("_a").agg(Summarizer.sum(array_to_vector("_row")).alias("_s"))
+    out = np.zeros((times + 1, times + 1))
+    for r in parts.collect():  # one row a time
+        out[r["_a"]] = r["_s"].toArray()
+    return out
+
+
+def correlation_points(df: DataFrame, entity: str, time: str, x: str, scaled: bool = False) -> DataFrame:
+    """(entity, point): points as far from each other as the rows of :func:`correlation_profiles`, or if ``scaled`` as those
+    rows with every column scaled to mean 0 and deviation 1 (constant columns to 0); a point has a number a time where a row
+    has one an entity. Clusters of the points are clusters of the rows.
+
+    With the standardised series as rows of Y the matrix is Y Y', and two of its rows differ by (a - b) Y'Y (a - b)' squared:
+    the points are Y times a root of Y'Y. Scaling divides the products in Y'Y by the variance of their column. So no row of the
+    matrix is ever made: the work grows with entities x times squared. The driver holds times x times numbers."""
+    spark, kind = df.sparkSession, df.schema[entity].dataType.simpleString()
+    schema = f"{entity} {kind}, point array<double>"
+    series, times = _series(df, entity, time, x)
+    if series is None:
+        return spark.createDataFrame([], schema)
+    sums = _moments(series, times)
+    n = max(sums[-1, -1], 1.0)
+    mean, products = sums[-1, :-1] / n, sums[:-1, :-1]
+    if scaled:
+        products = _moments(series, times, (products - n * np.outer(mean, mean)) / max(n - 1, 1.0))[:-1, :-1]
+    values, vectors = np.linalg.eigh((products + products.T) / 2)
+    root = vectors * np.sqrt(np.maximum(values, 0)) * np.where(mean @ vectors < 0, -1, 1)
+    middle = mean if scaled else np.zeros(times)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({entity: pdf[entity].to_numpy(), "point": list((np.stack(pdf["_y"].to_numpy()) - middle) @ root)})
+
+    return series.mapInPandas(run, schema)
+
+
 def _each(df: DataFrame) -> Iterator:
     """Rows one by one, a partition at a time."""
     return df.toLocalIterator()
@@ -177,21 +239,35 @@ def loadings(corr: np.ndarray, factors: int) -> np.ndarray:
 def trees(df: DataFrame, entity: str, column: str, ks: range, seed: int = 7) -> DataFrame:
     """(entity, cluster): hierarchical clusters by division (bisecting k-means), with the k of the best silhouette."""
     from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     vec = cut(df.where(F.col(column).isNotNull()).select(entity, column)).select(entity, array_to_vector(column).alias("features"))
-    n, best = vec.count(), None
-    for k in ks:
-        if k >= n:
-            break
-        out = BisectingKMeans(k=k, seed=seed, predictionCol="cluster").fit(vec).transform(vec)
+    best = _best(vec, ks, lambda k: BisectingKMeans(k=k, seed=seed, predictionCol="cluster"))
+    return (vec.withColumn("cluster", F.lit(0)) if best is None else best).select(entity, "cluster")
+
+
+#: Fits of different k that run side by side; most of a fit's time is that of starting its many short jobs.
+FITS = 4
+
+
+def _best(vec: DataFrame, ks: range, of) -> DataFrame | None:
+    """``vec`` with the clusters of the estimator ``of(k)`` that has the best silhouette, the smallest k among equals; None if
+    no k under the number of rows makes two clusters. ``vec`` is materialised but not cached: a fit keeps its own vectors."""
+    from pyspark import inheritable_thread_target
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    def fitted(k: int):
+        out = of(k).fit(vec).transform(vec)
         if out.select("cluster").distinct().limit(2).count() < 2:
-            continue
-        score = ClusteringEvaluator(predictionCol="cluster").evaluate(out)
-        if best is None or score > best[0]:
-            best = (score, out)
-    return (best[1] if best else vec.withColumn("cluster", F.lit(0))).select(entity, "cluster")
+            return None
+        return ClusteringEvaluator(predictionCol="cluster").evaluate(out), out
+
+    n, best = vec.count(), None
+    with ThreadPoolExecutor(FITS) as pool:
+        for got in pool.map(inheritable_thread_target(vec.sparkSession)(fitted), [k for k in ks if k < n]):
+            if got and (best is None or got[0] > best[0]):
+                best = got
+    return best and best[1]
 
 
 def anchored(df: DataFrame, entity: str, time: str, anchors: list, rows: int = 252, least: int = 200) -> DataFrame:
@@ -207,31 +283,20 @@ def anchored(df: DataFrame, entity: str, time: str, anchors: list, rows: int = 2
     return out.select(F.col("_use.anchor").alias("anchor"), *df.columns)
 
 
-def clusters(df: DataFrame, entity: str, columns: list[str], ks: range = range(4, 10), seed: int = 7) -> DataFrame:
-    """(entity, cluster): scaled k-means with the k of the best silhouette. Columns are numbers or arrays of one length;
-    entities with a null column are left out."""
+def clusters(df: DataFrame, entity: str, columns: list[str], ks: range = range(4, 10), seed: int = 7, scale: bool = True) -> DataFrame:
+    """(entity, cluster): k-means, scaled unless ``scale`` is off, with the k of the best silhouette. Columns are numbers or
+    arrays of one length; entities with a null column are left out."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     known = df.dropna(subset=columns).withColumns({c: array_to_vector(c) for c, kind in df.dtypes if c in columns and kind.startswith("array")})
-    vec = VectorAssembler(inputCols=columns, outputCol="_v").transform(known)
-    scaled = StandardScaler(inputCol="_v", outputCol="features", withMean=True).fit(vec).transform(vec).select(entity, "features").cache()
-    best, chosen = None, None
-    n = scaled.count()
-    for k in ks:
-        if k >= n:
-            break
-        out = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled).transform(scaled)
-        if out.select("cluster").distinct().limit(2).count() < 2:
-            continue
-        score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
-        if best is None or score > best:
-            best, chosen = score, out
-    if chosen is None:
-        return scaled.select(entity, F.lit(0).alias("cluster"))
-    return chosen.select(entity, "cluster")
+    vec = VectorAssembler(inputCols=columns, outputCol="_v" if scale else "features").transform(known)
+    if scale:
+        vec = StandardScaler(inputCol="_v", outputCol="features", withMean=True).fit(vec).transform(vec)
+    scaled = cut(vec.select(entity, "features"))
+    best = _best(scaled, ks, lambda k: KMeans(k=k, seed=seed, predictionCol="cluster"))
+    return (scaled.withColumn("cluster", F.lit(0)) if best is None else best).select(entity, "cluster")
 
 
 def risk(df: DataFrame, groups: DataFrame, entity: str, time: str, ret: str, group: str) -> DataFrame:

@@ -440,8 +440,8 @@ def group_risk(spark, d):
 @query()
 def ticker_clusters(spark, d):
     """The scaled correlation matrix of daily returns, clustered with the best k of 6 to 19."""
-    profiles = relate.correlation_profiles(panel(spark, d), "ticker", "date", "back")
-    return relate.clusters(profiles, "ticker", ["profile"], range(6, 20))
+    points = relate.correlation_points(panel(spark, d), "ticker", "date", "back", scaled=True)
+    return relate.clusters(points, "ticker", ["point"], range(6, 20), scale=False)
 
 
 @query(f"""WITH {PANEL}, p AS (SELECT date, avg(back) AS p FROM panel WHERE back IS NOT NULL GROUP BY date) SELECT ticker, {R('stddev_samp(back) * sqrt(252)', 'vol')}, {R('covar_samp(back, p) * sqrt(252) / (SELECT stddev_samp(p) FROM p)', 'marginal')} FROM panel JOIN p USING (date) WHERE back IS NOT NULL GROUP BY ticker""")

@@ -70,3 +70,27 @@ def test_clusters_find_more_than_five_groups(spark, monkeypatch):
     got = relational.ticker_clusters(spark, "").toPandas()
     of = got.groupby(got.ticker.str[:3]).cluster.agg(["nunique", "first"])
     assert len(got) == 48 and got.cluster.nunique() >= 6 and (of["nunique"] == 1).all()
+
+
+def apart(m):
+    return np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2))
+
+
+def test_points_are_as_far_apart_as_rows_of_the_matrix(spark):
+    df = spark.createDataFrame(returns(10, 4, n=20, seed=5), "e string, t date, x double")
+    rows = np.stack(relate.correlation_profiles(df, "e", "t", "x").toPandas().sort_values("e").profile)
+    for scaled, want in ((False, rows), (True, (rows - rows.mean(axis=0)) / rows.std(axis=0, ddof=1))):
+        got = np.stack(relate.correlation_points(df, "e", "t", "x", scaled).toPandas().sort_values("e").point)
+        assert got.shape == (40, 20) and np.allclose(apart(got), apart(want), atol=1e-6)
+    assert relate.correlation_points(df.limit(0), "e", "t", "x").count() == 0
+    alike = spark.createDataFrame([(e, D0 + dt.timedelta(days=i), float(i * k)) for k, e in enumerate("abc", 1) for i in range(5)], "e string, t date, x double")
+    assert np.allclose(apart(np.stack(relate.correlation_points(alike, "e", "t", "x", True).toPandas().point)), 0, atol=1e-6)
+
+
+def test_clusters_never_make_the_matrix(spark, monkeypatch):
+    df = spark.createDataFrame(returns(8, 6, n=30, seed=2), "ticker string, date date, back double")
+    monkeypatch.setattr(relational, "panel", lambda s, d: df)
+    sizes, best = [], relate._best
+    monkeypatch.setattr(relate, "_best", lambda vec, ks, of: (sizes.append((vec.count(), len(vec.first().features))), best(vec, ks, of))[1])
+    assert relational.ticker_clusters(spark, "").count() == 48
+    assert sizes == [(48, 30)]
