@@ -487,7 +487,7 @@ def correlation_weighted(spark, d):
 @query()
 def ticker_tree(spark, d):
     """Hierarchical clusters of the correlation matrix."""
-    return relate.trees(relate.correlation_profiles(panel(spark, d), "ticker", "date", "back"), "ticker", "profile", range(4, 16))
+    return relate.trees(relate.correlation_points(panel(spark, d), "ticker", "date", "back"), "ticker", "point", range(4, 16))
 
 
 # texts -------------------------------------------------------------------------------------------------------------

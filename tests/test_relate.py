@@ -94,3 +94,13 @@ def test_clusters_never_make_the_matrix(spark, monkeypatch):
     monkeypatch.setattr(relate, "_best", lambda vec, ks, of: (sizes.append((vec.count(), len(vec.first().features))), best(vec, ks, of))[1])
     assert relational.ticker_clusters(spark, "").count() == 48
     assert sizes == [(48, 30)]
+
+
+def test_tree_never_makes_the_matrix(spark, monkeypatch):
+    df = spark.createDataFrame(returns(6, 5, n=25, seed=4), "ticker string, date date, back double")
+    monkeypatch.setattr(relational, "panel", lambda s, d: df)
+    sizes, best = [], relate._best
+    monkeypatch.setattr(relate, "_best", lambda vec, ks, of: (sizes.append((vec.count(), len(vec.first().features))), best(vec, [k for k in ks if k < 9], of))[1])
+    got = relational.ticker_tree(spark, "").toPandas()
+    assert len(got) == 30 and (got.groupby(got.ticker.str[:3]).cluster.nunique() == 1).sum() >= 5
+    assert sizes == [(30, 25)]
